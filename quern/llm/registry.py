@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, langid, tokens, urls
 
 QUERIES = {
+    "op1_tokens": tokens.op1_tokens,
+    "op5_langid": langid.op5_langid,
     "op8_chat": chat.op8_chat,
     "op10_urls": urls.op10_urls,
 }
