@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, tokens, urls
+from . import chat, langid, tokens, toxicity, urls
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op5_langid": langid.op5_langid,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
     "op10_urls": urls.op10_urls,
 }
