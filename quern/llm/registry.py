@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, langid, tokens, toxicity, urls
+from . import chat, langid, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op5_langid": langid.op5_langid,
+    "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
     "op10_urls": urls.op10_urls,
