@@ -40,23 +40,40 @@ MARK = "▁"
 LONGEST = 16  # characters of the longest piece looked up
 RUN = 64
 LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
+def indexed(pieces: list[str]) -> dict[str, int]:
+    """Piece to its number; -1 for what only begins a piece."""
+    index: dict[str, int] = {}
+    for p in pieces:
+        for k in range(1, min(len(p), LONGEST)):
+            index[p[:k]] = -1
+    return index | {p: k for k, p in enumerate(pieces)}
+
+
 def edges(words: list[str], index: dict[str, int], unknown: int) -> dict[tuple[int, int], np.ndarray]:
     """For words of one length n: (i, j) to the piece number of characters i to j in each word, -1 if it is none.
 
-    A character that isn't a piece gets the number ``unknown``.
+    A character that isn't a piece gets the number ``unknown``.  A word is looked
+    at no further from i once its characters begin no piece.
     """
     n, get, out = len(words[0]), index.get, {}
     for i in range(n):
+        left, at = words, np.arange(len(words))
         for j in range(i + 1, min(n, i + LONGEST) + 1):
-            ids = np.fromiter((get(w[i:j], -1) for w in words), np.int32, len(words))
-            if j == i + 1:
-                ids[ids < 0] = unknown
+            found = np.fromiter([get(w[i:j], -2) for w in left], np.int32, len(left))
+            goes_on = found > -2
+            ids = np.full(len(words), -1, np.int32)
+            ids[at] = np.where(found < 0, unknown if j == i + 1 else -1, found)
             if (ids >= 0).any():
                 out[i, j] = ids
+            if not goes_on.all():
+                at = at[goes_on]
+                left = [w for w, g in zip(left, goes_on.tolist()) if g]
+                if not left:
+                    break
     return out
 
 
@@ -87,23 +104,58 @@ def word_scores(words: list[str], index: dict[str, int], table: np.ndarray) -> n
     return out
 
 
+def runs_of(word: str) -> list[str]:
+    w = MARK + word
+    return [w] if len(w) <= RUN else [w[k : k + RUN] for k in range(0, len(w), RUN)]
+
+
 def split_words(text: str) -> list[str]:
-    found = []
-    for w in LETTERS.findall(text.lower()):
-        w = MARK + w
-        found += [w] if len(w) <= RUN else [w[k : k + RUN] for k in range(0, len(w), RUN)]
-    return found
+    return [r for w in LETTERS.findall(text.lower()) for r in runs_of(w)]
+
+
+class Memory:
+    """The scores of the words that a worker has met, across its tasks; it starts afresh at REMEMBERED words."""
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.scores = model, {}, np.zeros((4096, len(model.langs)))
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(words)
+        if not new:
+            return
+        start = len(self.known)
+        while len(self.scores) < start + len(new):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        runs = [runs_of(w) for w in new]
+        values = word_scores([r for x in runs for r in x], self.model.index, self.model.table)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in runs])[:-1]])
+        self.scores[start : start + len(new)] = np.add.reduceat(values, first, axis=0)
+        self.known.update(zip(new, range(start, start + len(new))))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)
 
 
 class Model:
     def __init__(self, langs: list[str], pieces: list[str], probabilities: np.ndarray):
-        self.langs, self.index, self.table = langs, {p: k for k, p in enumerate(pieces)}, probabilities
+        self.langs, self.index, self.table = langs, indexed(pieces), probabilities
+
+    @property
+    def memory(self) -> Memory:
+        if "_memory" not in self.__dict__:
+            self._memory = Memory(self)
+        return self._memory
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_memory"}
 
 
 def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = 3, alpha: float = 0.05) -> Model:
     """samples: language to word counts.  Expected piece counts come from forward and backward passes over all segmentations."""
     langs = sorted(samples)
-    index = {p: k for k, p in enumerate(pieces)}
+    index = indexed(pieces)
     unknown = len(pieces)
     probabilities = np.zeros((len(pieces) + 2, len(langs)))
     for column, lang in enumerate(langs):
@@ -164,38 +216,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         many = len(model.langs)
-        known: dict[bytes, int] = {}  # a word between white space, to its row of scores
-        scores = np.zeros((1024, many + 1))  # the last: letters in it
+        memory = model.memory
         for batch in rows:
             bodies = texts(batch.column(2))
             lang, score = [], []
             for k in range(0, len(bodies), 256):
-                some = [b.split() for b in bodies[k : k + 256]]
-                new = list({w for ws in some for w in ws if w not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list({w for ws in some for w in ws})
-                if new and many:
-                    parts = [split_words(w.decode("utf-8", "replace")) for w in new]
-                    distinct = list({p for x in parts for p in x})
-                    values = dict(zip(distinct, word_scores(distinct, model.index, model.table)))
-                    start = len(known)
-                    while len(scores) < start + len(new):
-                        scores = np.concatenate([scores, np.zeros_like(scores)])
-                    for n, (w, x) in enumerate(zip(new, parts), start):
-                        known[w] = n
-                        row = scores[n]
-                        row[:] = 0
-                        for p in x:
-                            row[:many] += values[p]
-                            row[many] += 1
+                some = [LETTERS.findall(b.decode("utf-8", "replace").lower()) for b in bodies[k : k + 256]]
+                if many:
+                    memory.learn({w for ws in some for w in ws})
                 for ws in some:
-                    total = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0) if ws and many else np.zeros(many + 1)
-                    if total[many] == 0:
+                    if not ws or not many:
                         lang.append("und")
                         score.append(0.0)
                         continue
-                    odds = np.exp(total[:many] - total[:many].max())
+                    total = memory.total(ws)
+                    odds = np.exp(total - total.max())
                     best = int(odds.argmax())
                     lang.append(model.langs[best])
                     score.append(float(odds[best] / odds.sum()))
