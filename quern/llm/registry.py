@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, langid, lm, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
+    "op2_lm": lm.op2_lm,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_langid": langid.op5_langid,
     "op6_simhash": simhash.op6_simhash,
