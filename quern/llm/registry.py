@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, lm, simhash, tokens, toxicity, urls
+from . import chat, decontaminate, langid, lm, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op2_lm": lm.op2_lm,
+    "op3_topk": topk.op3_topk,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_langid": langid.op5_langid,
     "op6_simhash": simhash.op6_simhash,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_topk": topk.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
     "op10_urls": urls.ORACLE_SQL,
 }
