@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, lm, simhash, tokens, topk, toxicity, urls
+from . import chat, decontaminate, langid, lm, sentencepiece, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
+    "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     "op10_urls": urls.op10_urls,
 }
 
