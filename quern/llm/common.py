@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,3 +86,24 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
             block = []
     if block:
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*block), schema)], schema=schema)
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
+    """The rows of docs whose text a mask keeps, all columns as they are, without a shuffle.
+
+    ``judge`` is called once in each task and gives the function from texts to the mask.
+    """
+    at = docs.columns.index("text")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = judge()
+        for batch in rows:
+            yield batch.filter(pa.array(np.asarray(mask(texts(batch.column(at))), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder that the cluster names in spark.checkpoint.dir."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, texts
+from .common import keep_rows, table, texts
 
 _PUNCTUATION = string.punctuation.encode()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -196,5 +196,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: i
     return out if out is not None else spark.createDataFrame([], DDL)
 
 
+def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5, block_tokens: int = 1_000_000) -> DataFrame:
+    """The rows that cover no item enough, all columns as they are."""
+    for block in blocks(benchmark, seed, block_tokens):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_tokens
+        docs = keep_rows(docs, lambda shared=shared: lambda bodies: np.array([next(shared.value.matches(t, threshold), None) is None for t in bodies], bool))
+    return docs
+
+
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, held_out, pieces_of, table, texts
+from .common import TOKENIZERS, held_out, keep_rows, pieces_of, table, texts
 
 MARK = "▁"
 LONGEST = 16  # characters of the longest piece looked up
@@ -209,36 +209,52 @@ def train(docs: DataFrame, learn, vocabulary: str, per_language: int = 150, max_
     return fit(sample(docs, learn, per_language, max_chars), [p for p, _, _ in pieces_of(vocabulary)])
 
 
+def verdicts(model: Model, bodies: list[bytes]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    lang, score = [], []
+    for k in range(0, len(bodies), 256):
+        some = [LETTERS.findall(b.decode("utf-8", "replace").lower()) for b in bodies[k : k + 256]]
+        if model.langs:
+            model.memory.learn({w for ws in some for w in ws})
+        for ws in some:
+            if not ws or not model.langs:
+                lang.append("und")
+                score.append(0.0)
+                continue
+            total = model.memory.total(ws)
+            odds = np.exp(total - total.max())
+            best = int(odds.argmax())
+            lang.append(model.langs[best])
+            score.append(float(odds[best] / odds.sum()))
+    return lang, score
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs: (doc_id, held_out, text).  Adds lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary's size times the languages
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        many = len(model.langs)
-        memory = model.memory
         for batch in rows:
-            bodies = texts(batch.column(2))
-            lang, score = [], []
-            for k in range(0, len(bodies), 256):
-                some = [LETTERS.findall(b.decode("utf-8", "replace").lower()) for b in bodies[k : k + 256]]
-                if many:
-                    memory.learn({w for ws in some for w in ws})
-                for ws in some:
-                    if not ws or not many:
-                        lang.append("und")
-                        score.append(0.0)
-                        continue
-                    total = memory.total(ws)
-                    odds = np.exp(total - total.max())
-                    best = int(odds.argmax())
-                    lang.append(model.langs[best])
-                    score.append(float(odds[best] / odds.sum()))
+            lang, score = verdicts(shared.value, texts(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=SCHEMA)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model, least: float = 0.5, langs: frozenset[str] | None = None) -> DataFrame:
+    """The rows whose language is identified with a score of ``least``, and is one of ``langs`` where these are given."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge():
+        def mask(bodies: list[bytes]) -> np.ndarray:
+            lang, score = verdicts(shared.value, bodies)
+            return np.array([x != "und" and s >= least and (langs is None or x in langs) for x, s in zip(lang, score)], bool)
+
+        return mask
+
+    return keep_rows(docs, judge)
+
+
 def identify(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/piece_bpe_32k.model", modulus: int = 3, remainder: int = 1, **sizes) -> DataFrame:
     """Train on the documents whose crc32 remainder differs, and predict all of them."""
     out = held_out("doc_id", modulus, remainder)

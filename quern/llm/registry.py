@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, langid, lm, sentencepiece, simhash, tokens, topk, toxicity, urls
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     "op10_urls": urls.op10_urls,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -37,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpointed, table, texts, words
 
@@ -199,16 +200,38 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
-    """docs: (doc_id, text).  (doc_id, fp, component_id): the smallest doc_id that links reach."""
-    prints = checkpointed(fingerprints(docs, width))
+def classes(prints: DataFrame, t: int = 2) -> DataFrame:
+    """prints: (doc_id, fp).  (fp, root, component_id) for each distinct fingerprint; the root names the component."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = checkpointed(links(distinct, t))
     root = distinct.join(components(found), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = root.where("fp != root").groupBy("root").agg(F.min("least").alias("m"))
     top = root.where("fp = root").select("root", "least").join(joined, "root", "left").select("root", F.least("least", "m").alias("component_id"))
-    named = root.select("fp", "root").join(top, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return root.select("fp", "root").join(top, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
+    """docs: (doc_id, text).  (doc_id, fp, component_id): the smallest doc_id that links reach."""
+    prints = checkpointed(fingerprints(docs, width))
+    return prints.join(classes(prints, t).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
+    """One row of each component, all columns as they are: the smallest doc_id (null last), then fingerprint."""
+    at, columns = docs.columns.index("text"), docs.columns
+    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            fps = np.array([fingerprint(t, width) for t in texts(batch.column(at))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, "_fp"])
+
+    prints = checkpointed(fingerprints(docs, width))
+    first = prints.join(classes(prints, t), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_k"), F.col("k.fp").alias("_kfp"))
+    kept = docs.mapInArrow(run, schema).join(first, (F.col("_fp") == F.col("_kfp")) & F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
+    again = prints.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_fp"]) if again else kept).select(*columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

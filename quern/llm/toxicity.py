@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table, texts
+from .common import held_out, keep_rows, table, texts
 
 WIDTH, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -281,50 +281,68 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_class: int = 300, max_c
     return fit(*by) if all(by) else None
 
 
+class Scorer:
+    """Scores texts; it remembers the gates of the words it has met, up to REMEMBERED of them."""
+
+    def __init__(self, net: Network | None):
+        self.net, self.known = net, {}
+        self.gates = np.zeros((2, 4096, 3 * HIDDEN), np.float32)  # the last row is padding's
+
+    def learn(self, some: list[list[bytes]]) -> None:
+        new = list({w for ws in some for w in ws if w not in self.known})
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = list({w for ws in some for w in ws})
+        start, end = len(self.known), len(self.known) + len(new)
+        while self.gates.shape[1] <= end:
+            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)], axis=1)
+        self.gates[:, -1] = 0
+        self.gates[:, -1, :HIDDEN] = 30
+        if new:
+            self.gates[:, start:end] = self.net.gates(self.net.inputs(self.net.features(new)))[:, :-1]
+            self.known.update(zip(new, range(start, end)))
+
+    def scores(self, bodies: list[bytes]) -> np.ndarray:
+        result = np.zeros(len(bodies))
+        for k in range(0, len(bodies) if self.net else 0, 128):
+            some = [split_words(b) for b in bodies[k : k + 128]]
+            at = [n for n, ws in enumerate(some) if ws]
+            if not at:
+                continue
+            self.learn(some)
+            pad = self.gates.shape[1] - 1
+            wins = [cut(np.fromiter(map(self.known.__getitem__, some[n]), np.int64, len(some[n])), pad) for n in at]
+            every = np.concatenate(wins)
+            logit = np.concatenate([self.net.forward(self.gates, every[x : x + 2048]) for x in range(0, len(every), 2048)])
+            starts = np.concatenate([[0], np.cumsum([len(w) for w in wins])[:-1]])
+            result[np.array(at) + k] = sigmoid(np.maximum.reduceat(logit, starts))
+        return result
+
+
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs: (doc_id, held_out, text).  Adds score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # bounded by VOCABULARY and BUCKETS
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
-        known: dict[bytes, int] = {}
-        gates = np.zeros((2, 0, 3 * HIDDEN), np.float32)
+        scorer = Scorer(shared.value)
         for batch in rows:
-            bodies, result = texts(batch.column(2)), np.zeros(batch.num_rows)
-            for k in range(0, len(bodies) if net else 0, 128):
-                some = [split_words(b) for b in bodies[k : k + 128]]
-                new = list({w for ws in some for w in ws if w not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known, gates = {}, gates[:, :0]
-                    new = list({w for ws in some for w in ws})
-                if new:
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                    added = net.gates(net.inputs(net.features(new)))[:, :-1]
-                    if gates.shape[1] < len(known):
-                        larger = np.zeros((2, max(2 * len(known), 4096), 3 * HIDDEN), np.float32)
-                        larger[:, : len(known) - len(new)] = gates[:, : len(known) - len(new)]
-                        gates = larger
-                    gates[:, len(known) - len(new) : len(known)] = added
-                pad = gates.shape[1] - 1  # the last row is never a word's: see below
-                if pad < len(known):
-                    gates = np.concatenate([gates, np.zeros((2, 4096, 3 * HIDDEN), np.float32)], axis=1)
-                    pad = gates.shape[1] - 1
-                gates[:, pad] = 0
-                gates[:, pad, :HIDDEN] = 30
-                wins = [cut(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)), pad) if ws else None for ws in some]
-                at = [k + n for n, w in enumerate(wins) if w is not None]
-                if not at:
-                    continue
-                sizes = [len(w) for w in wins if w is not None]
-                every = np.concatenate([w for w in wins if w is not None])
-                logit = np.concatenate([net.forward(gates, every[x : x + 2048]) for x in range(0, len(every), 2048)])
-                result[at] = np.maximum.reduceat(logit, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                result[at] = sigmoid(result[at])
+            result = scorer.scores(texts(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(result), pa.array((result >= 0.5).astype(np.int32))], schema=SCHEMA)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep(docs: DataFrame, net: Network | None, most: float = 0.5) -> DataFrame:
+    """The rows that score below ``most``."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def judge():
+        scorer = Scorer(shared.value)
+        return lambda bodies: scorer.scores(bodies) < most
+
+    return keep_rows(docs, judge)
+
+
 def judge(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, **sizes) -> DataFrame:
     """Train on the labels whose crc32 remainder differs, and score all documents."""
     net = train(docs, labels, ~held_out("doc_id", modulus, remainder), **sizes)
