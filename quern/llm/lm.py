@@ -163,8 +163,11 @@ def value_of(kind: int, level: np.ndarray) -> np.ndarray:
     return np.where(last < first, low * least, np.sqrt(first * np.maximum(first, last)))
 
 
-def positions(keys: np.ndarray, level: np.ndarray, probe: int, m: np.ndarray) -> np.ndarray:
-    return mix(keys, (level * PROBES + probe).astype(np.uint64)) % m
+def places(h: np.ndarray, probe: int, m: np.ndarray | np.uint64) -> np.ndarray:
+    """The place among m < 2^32 bits of one probe; h hashes a key with its level, and steps by its own halves, exchanged."""
+    with np.errstate(over="ignore"):
+        x = h + ((h << np.uint64(32)) | (h >> np.uint64(32)) | np.uint64(1)) * np.uint64(probe)
+        return ((x >> np.uint64(32)) * m) >> np.uint64(32)
 
 
 class LogBloom:
@@ -190,9 +193,9 @@ class LogBloom:
         m = max(64, BITS * int(level.sum()))
         bits = np.zeros(-(-m // 8) * 8, bool)
         for n in range(1, int(level.max(initial=0)) + 1):
-            some = keys[level >= n]
+            h = mix(keys[level >= n], np.uint64(n))
             for probe in range(PROBES):
-                bits[positions(some, np.full(len(some), n), probe, np.uint64(m)).astype(np.int64)] = True
+                bits[places(h, probe, np.uint64(m)).astype(np.int64)] = True
         return m, np.packbits(bits, bitorder="little").tobytes()
 
     def level(self, keys: np.ndarray) -> np.ndarray:
@@ -202,9 +205,12 @@ class LogBloom:
         shard = keys >> self.shift
         m, offset, n = self.size[shard], self.offset[shard], 1
         while len(at):
+            h = mix(keys[at], np.uint64(n))
             for probe in range(PROBES):
-                p = positions(keys[at], np.full(len(at), n), probe, m[at]) + offset[at]
-                at = at[(self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                p = places(h, probe, m) + offset
+                hit = np.flatnonzero((self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(hit) < len(at):
+                    at, h, m, offset = at[hit], h[hit], m[hit], offset[hit]
                 if not len(at):
                     break
             out[at] = n
@@ -231,15 +237,14 @@ class Model:
             exact[k[at] == keys] = n[at][k[at] == keys]
         return np.stack([c, p, left, exact], axis=1)
 
-    def log10(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before; the first comes after an end."""
-        before = np.concatenate([[END], keys[:-1]])
-        u = np.concatenate([self.word_values(np.array([END])), values[:-1]])
-        level = self.filters[2].level(pair_keys(before, keys))
-        pair = np.where(level > 0, value_of(2, np.maximum(level, 1)), 0.0)
-        pair = np.minimum(pair, np.minimum(u[:, 0], values[:, 0]))
-        pair = np.maximum(pair - D, 0)
-        p = np.where(u[:, 0] > 0, pair / np.maximum(u[:, 0], 1) + u[:, 2] * values[:, 1], values[:, 1])
+    def log10(self, keys: np.ndarray, values: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """log10 P of each token after the one before; the first comes after an end, whose values are ``end``."""
+        level = self.filters[2].level(pair_keys(np.concatenate([[END], keys[:-1]]), keys))
+        count = np.concatenate([end[:, 0], values[:-1, 0]])
+        p = np.where(count > 0, np.concatenate([end[:, 2], values[:-1, 2]]), 1.0) * values[:, 1]
+        at = np.flatnonzero((level > 0) & (count > 0))
+        pair = np.minimum(value_of(2, level[at]), np.minimum(count[at], values[at, 0]))
+        p[at] += np.maximum(pair - D, 0) / count[at]
         return np.log10(np.clip(p, 1e-300, 1))
 
 
@@ -292,22 +297,26 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known: dict[bytes, int] = {}
-        keys, values = np.array([END]), model.word_values(np.array([END]))  # row 0: the end
+        end = model.word_values(np.array([END]))
+        keys, values = np.full(4096, END), np.repeat(end, 4096, axis=0)  # row 0: the end
         for batch in rows:
             bodies, out = texts(batch.column(2)), []
             for k in range(0, len(bodies), 256):
                 some = [words(b) for b in bodies[k : k + 256]]
                 new = list({w for ws in some for w in ws if w not in known})
                 if len(known) + len(new) > REMEMBERED:
-                    known, keys, values = {}, keys[:1], values[:1]
+                    known = {}
                     new = list({w for ws in some for w in ws})
                 if new:
                     fresh = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-                    known.update(zip(new, range(len(keys), len(keys) + len(new))))
-                    keys, values = np.concatenate([keys, fresh]), np.concatenate([values, model.word_values(fresh)])
+                    start = len(known) + 1
+                    while len(keys) < start + len(new):
+                        keys, values = np.concatenate([keys, keys]), np.concatenate([values, values])
+                    keys[start : start + len(new)], values[start : start + len(new)] = fresh, model.word_values(fresh)
+                    known.update(zip(new, range(start, start + len(new))))
                 ids = np.concatenate([np.fromiter((*map(known.__getitem__, ws), 0), np.int64, len(ws) + 1) for ws in some])
                 t, v = keys[ids], values[ids]
-                logs = model.log10(t, v)
+                logs = model.log10(t, v, end)
                 starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in some])])
                 exact = v[:, 3]
                 common = exact >= 0
