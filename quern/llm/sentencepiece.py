@@ -38,18 +38,32 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, checkpointed, pieces_of, table, texts
+from .common import TOKENIZERS, partitions, pieces_of, shared_dir, table, texts
 
 CHUNK = regex.compile(r" *(?:[\p{L}\p{M}]+|[^\p{L}\p{M} ]+)| +")
 FOLD = 48
 HEAD = 400_000
 FLUSH = 600_000
+GROUPS = 12_000  # chunks of a task of the lattice, about
+REMEMBERED = 300_000
 FALLBACK = -1e6
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, a space in front of it."""
+    return CHUNK.findall(" " + text)
+
+
+def words_of(text: str) -> list[str] | None:
+    """The words between single spaces, whose chunks, each with its space, are the text's; None if spaces meet or end it."""
+    words = text.split(" ")
+    return None if "" in words else words
+
+
 class Vocabulary:
     """Pieces with spaces for marks, their ids and scores, the ids of the bytes, and each id's bytes."""
 
@@ -105,18 +119,28 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
         counts: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            for word, n in words.items():
+                for chunk in chunks_of(word):
+                    counts[chunk] += n
             keys, values = list(counts), list(counts.values())
             for k in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000], pa.string()), pa.array(values[k : k + 50_000], pa.int64())], schema=schema)
             counts.clear()
+            words.clear()
 
         for batch in rows:
-            for text in texts(batch.column(0)):
-                counts.update(CHUNK.findall(" " + text.decode("utf-8", "replace")))
-                if len(counts) > FLUSH:
+            for body in texts(batch.column(0)):
+                text = body.decode("utf-8", "replace")
+                found = words_of(text)
+                if found is None:
+                    counts.update(chunks_of(text))
+                else:
+                    words.update(found)
+                if len(counts) + len(words) > FLUSH:
                     yield from flush()
         yield from flush()
 
@@ -134,7 +158,7 @@ def segmentations(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     hit = F.col("id").isNotNull()
     edges = short.join(F.broadcast(pieces), "piece", "left").where(hit | (F.col("b") == F.col("a") + 1))  # the vocabulary is a fixed file
     edge = F.struct("b", "a", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(FALLBACK)).alias("score"))
-    grouped = edges.select("chunk", "n", edge.alias("e")).groupBy("chunk").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("e")).alias("edges"))
+    grouped = edges.select("chunk", "n", edge.alias("e")).groupBy("chunk").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("edges"))
 
     def step(state, e):
         """Append the state of place b, or better its last element."""
@@ -169,16 +193,61 @@ def segmentations(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattice(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The segmentations of all chunks of the texts, as a reliable checkpoint."""
+    """The segmentations of all chunks of the texts, as a table in the shared folder."""
     spark = docs.sparkSession
-    # groups of one task fit in its hash table, as a chunk has few edges; the default of 128 groups would sort all edges
+    # written once, as both branches of the fold read it
+    chunk_counts(docs).write.parquet(counted := shared_dir(spark, "chunks"))
+    chunks = spark.read.parquet(counted)
+    chunks = chunks.repartition(max(partitions(spark), -(-chunks.count() // GROUPS)), "chunk")
+    # a task's groups fit in its hash table, as a chunk has few edges; the default of 128 groups would sort all edges
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name)
-    spark.conf.set(name, "20000")
+    spark.conf.set(name, str(2 * GROUPS))
     try:
-        return checkpointed(segmentations(chunk_counts(docs), vocabulary))
+        segmentations(chunks, vocabulary).write.parquet(folder := shared_dir(spark, "lattice"))
     finally:
         spark.conf.set(name, before)
+    spark.sparkContext._jvm.System.gc()  # the count's shuffle files go when the driver collects its garbage
+    return spark.read.parquet(folder)
+
+
+def dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
+    return zstandard.ZstdCompressionDict(data) if data else None
+
+
+class Outside:
+    """What the broadcast chunks don't hold of a text, and a text's ids once that is known; words are remembered."""
+
+    def __init__(self, head: dict[str, bytes]):
+        self.head = head
+        self.known: dict[str, tuple[str, ...] | bytes] = {}  # a word: its ids, or its chunks if some are outside
+
+    def word(self, word: str) -> tuple[str, ...] | bytes:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        chunks = chunks_of(word)
+        parts = [self.head.get(c) for c in chunks]
+        self.known[word] = out = tuple(chunks) if None in parts else b"".join(parts)
+        return out
+
+    def values(self, text: str) -> list:
+        words = words_of(text)
+        if words is None:
+            return [chunks_of(text)]
+        known = self.known
+        out = list(map(known.get, words))
+        if None in out:
+            out = [v if v is not None else self.word(w) for v, w in zip(out, words)]
+        return out
+
+    def of(self, text: str) -> list[str]:
+        """The chunks outside, each once, in the order of their first places."""
+        head = self.head
+        return list(dict.fromkeys(c for v in self.values(text) if type(v) is not bytes for c in v if c not in head))
+
+    def ids(self, text: str, own: dict[str, bytes]) -> bytes:
+        head = self.head
+        return b"".join([v if type(v) is bytes else b"".join([head[c] if c in head else own[c] for c in v]) for v in self.values(text)])
 
 
 def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", head: int = HEAD) -> DataFrame:
@@ -187,50 +256,58 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
     vocabulary = Vocabulary(path)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = lattice(docs, vocabulary)
-    exponents = cut.select(F.floor(F.log2("n")).cast("int").alias("e")).groupBy("e").count().collect()  # at most 63 rows
-    least = next(1 << t for t in range(64) if sum(r["count"] for r in exponents if r["e"] >= t) <= head)
-    common = cut.where(F.col("n") >= least).select("chunk", "ids").toArrow()  # at most ``head`` rows
+    band = F.floor(F.log2("n") * 8).cast("int")  # counts within a twelfth of each other
+    tallies = cut.select(band.alias("b")).groupBy("b").count().collect()  # at most 504 rows
+    least = 1 + max((r["b"] for r in tallies if sum(x["count"] for x in tallies if x["b"] >= r["b"]) > head), default=-1)
+    common = cut.where(band >= least).select("chunk", "ids").toArrow()  # at most ``head`` rows
     known = spark.sparkContext.broadcast({c: np.array(vocabulary.expand(i), np.int32).tobytes() for c, i in zip(common.column(0).to_pylist(), common.column(1).to_pylist())})
     shared = spark.sparkContext.broadcast(vocabulary)
     key = F.xxhash64("doc_id", "text")
 
     def rest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = known.value
+        outside = Outside(known.value)
         for batch in rows:
-            keys, chunks = [], []
+            keys, places, chunks = [], [], []
             for k, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                others = {c for c in CHUNK.findall(" " + text.decode("utf-8", "replace")) if c not in head}
+                others = outside.of(text.decode("utf-8", "replace"))
                 keys += [k] * len(others)
+                places += range(len(others))
                 chunks += others
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(chunks, pa.string())], names=["key", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=["key", "place", "chunk"])
+
+    keyed = docs.select(key.alias("key"), "doc_id", "text")
+    sample = [r["text"].encode() for r in docs.where(F.length("text").between(500, 20_000)).select("text").limit(400).collect()]  # shapes the packing alone
+    packing = spark.sparkContext.broadcast(zstandard.train_dictionary(1 << 17, sample).as_bytes() if len(sample) >= 100 else b"")
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 3)
+        codec = zstandard.ZstdCompressor(level=5, dict_data=dictionary(packing.value))
         for batch in rows:
-            bodies = texts(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([len(t) for t in bodies], pa.int64()), pa.array([codec.compress(t, asbytes=True) for t in bodies], pa.binary())], names=["key", "doc_id", "size", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([codec.compress(t) for t in texts(batch.column(2))], pa.binary())], names=["key", "doc_id", "packed"])
 
-    keyed = docs.select(key.alias("key"), "doc_id", "text")
-    others = keyed.select("key", "text").mapInArrow(rest, "key long, chunk string").join(cut.where(F.col("n") < least).select("chunk", "ids"), "chunk")
-    others = others.groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("others"))  # bounded by the text
-    bodies = keyed.mapInArrow(packed, "key long, doc_id long, size long, packed binary")
+    others = keyed.select("key", "text").mapInArrow(rest, "key long, place int, chunk string").join(cut.where(band < least).select("chunk", "ids"), "chunk")
+    # bounded by the text; a key that comes twice has its places twice, with equal ids
+    others = others.select("key", "place", "ids").groupBy("key").agg(F.collect_list(F.struct("place", "ids")).alias("others"))
+    bodies = keyed.mapInArrow(packed, "key long, doc_id long, packed binary")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("round_trip", pa.bool_())])
 
     def put_together(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, vocabulary, codec = known.value, shared.value, pa.Codec("zstd", 3)
+        vocabulary, outside = shared.value, Outside(known.value)
+        codec = zstandard.ZstdDecompressor(dict_data=dictionary(packing.value))
         for batch in rows:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out, fits = [], []
-                for size, body, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    text = codec.decompress(body, size, asbytes=True) if size else b""
-                    own = {o["chunk"]: np.array(vocabulary.expand(o["ids"]), np.int32).tobytes() for o in tail or ()}
-                    ids = np.frombuffer(b"".join([head[c] if c in head else own[c] for c in CHUNK.findall(" " + text.decode("utf-8", "replace"))]), np.int32)
+                for body, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    source = codec.decompress(body)
+                    text = source.decode("utf-8", "replace")
+                    found = {o["place"]: np.array(vocabulary.expand(o["ids"]), np.int32).tobytes() for o in tail or ()}
+                    own = {c: found[k] for k, c in enumerate(outside.of(text))}
+                    ids = np.frombuffer(outside.ids(text, own), np.int32)
                     out.append(ids)
-                    fits.append(vocabulary.decode(ids.tolist()) == text)
+                    fits.append(vocabulary.decode(ids.tolist()) == source)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, schema.field("ids").type), pa.array([len(x) for x in out], pa.int64()), pa.array(fits)], schema=schema)
 
-    return bodies.join(others, "key", "left").select("doc_id", "size", "packed", "others").mapInArrow(put_together, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
+    return bodies.join(others, "key", "left").select("doc_id", "packed", "others").mapInArrow(put_together, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
