@@ -13,9 +13,11 @@ Filter: a count c enters as the levels 1 to 1 + floor(log_b(c / least)), each
 with its own hash functions; reading one probes level 1, 2, ... until a probe
 misses.  Three filters are kept in this way: words, pairs of ``PAIR_LEAST`` or
 more, and for each context of such pairs the mass left to the word model.  A
-shard's part of a filter has BITS bits an entry and at most its share of
-``max_mb``; a shard that exceeds its share leaves its smallest counts out, so
-the broadcast has a fixed bound and its error rate doesn't rise.
+shard's part of a filter has BITS bits an entry, so every kept count is in,
+filters grow with the corpus and their error rate doesn't rise.  Filters of up
+to ``max_mb`` are broadcast.  Larger ones stay dealt out in groups of shards: the
+texts are packed into blocks, a block's distinct keys are shuffled to their
+groups, and their levels back to the block.  Both ways give the same scores.
 
 Model (absolute discounting by D, interpolated):
 
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, mix, partitions, table, texts, words
+from .common import checkpointed, held_out, mix, partitions, shared_dir, table, texts, words
 
 END = np.uint64(0xE05D_E05D_E05D_E05D)
 PAIR_LEAST, D = 2, 0.75
@@ -54,6 +56,9 @@ BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts
 LOW = np.uint64(30)
 FLUSH = 4_000_000
 REMEMBERED = 500_000
+BLOCK, GROUP = 4 << 20, 16 << 20  # bytes: texts scored together, filters in a group
+TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
+TOLD_DDL = "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>"
 BLOBS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -185,9 +190,9 @@ class LogBloom:
         self.bits = np.frombuffer(b"".join(blobs), np.uint8)
 
     @staticmethod
-    def build(kind: int, keys: np.ndarray, values: np.ndarray, most_bits: int) -> tuple[int, bytes]:
+    def build(kind: int, keys: np.ndarray, values: np.ndarray, most_bits: int | None = None) -> tuple[int, bytes]:
         level = levels(kind, values)
-        while BITS * int(level.sum()) > most_bits and len(level):
+        while most_bits is not None and BITS * int(level.sum()) > most_bits and len(level):
             keep = level > level.min() if kind != 3 else level < level.max()
             keys, level = keys[keep], level[keep]
         m = max(64, BITS * int(level.sum()))
@@ -219,16 +224,20 @@ class LogBloom:
 
 
 class Model:
+    """filters: empty where they are too large to be broadcast."""
+
     def __init__(self, filters: dict[int, LogBloom], n: int, distinct: int, once: int, mass: float, head: tuple[np.ndarray, np.ndarray]):
         self.filters, self.n, self.distinct, self.mass, self.head = filters, n, distinct, max(mass, 1.0), head
         self.p0 = min(max(once, 1) / max(n, 2), 0.5)
 
     def word_values(self, keys: np.ndarray) -> np.ndarray:
         """Columns: filter's count, P(w), left(u), exact count of a common word or -1."""
-        level = self.filters[1].level(keys)
+        return self.values_of(keys, self.filters[1].level(keys), self.filters[3].level(keys >> LOW << LOW))
+
+    def values_of(self, keys: np.ndarray, level: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """word_values, by the levels of the words and of their contexts."""
         c = np.where(level > 0, value_of(1, np.maximum(level, 1)), 0.0)
         p = np.where(level > 0, (1 - self.p0) * c / self.mass, self.p0)
-        context = self.filters[3].level(keys >> LOW << LOW)
         left = np.where(context > 0, value_of(3, np.maximum(context, 1)), 1.0)
         exact = np.full(len(keys), -1.0)
         k, n = self.head
@@ -239,7 +248,10 @@ class Model:
 
     def log10(self, keys: np.ndarray, values: np.ndarray, end: np.ndarray) -> np.ndarray:
         """log10 P of each token after the one before; the first comes after an end, whose values are ``end``."""
-        level = self.filters[2].level(pair_keys(np.concatenate([[END], keys[:-1]]), keys))
+        return self.log10_of(self.filters[2].level(pair_keys(np.concatenate([[END], keys[:-1]]), keys)), values, end)
+
+    def log10_of(self, level: np.ndarray, values: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """log10, by the levels of the pairs."""
         count = np.concatenate([end[:, 0], values[:-1, 0]])
         p = np.where(count > 0, np.concatenate([end[:, 2], values[:-1, 2]]), 1.0) * values[:, 1]
         at = np.flatnonzero((level > 0) & (count > 0))
@@ -248,8 +260,8 @@ class Model:
         return np.log10(np.clip(p, 1e-300, 1))
 
 
-def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, int]:
-    """docs: (text).  The model, the table (key, c) of the words outside its head, and the head's least count."""
+def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, DataFrame, int]:
+    """docs: (text).  The model, its filters' table (kind, shard, size, bits), the table (key, c) of the words outside its head, and the head's least count."""
     spark = docs.sparkSession
     shard_bits = max(4, (2 * partitions(spark) - 1).bit_length())
     counts = checkpointed(count(docs, shard_bits))
@@ -260,14 +272,17 @@ def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, int]:
         for batch in rows:
             for kind, shard, k, c in zip(*(batch.column(x).to_pylist() for x in range(4))):
                 keys, values = np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64).astype(np.float64)
-                size, bits = LogBloom.build(kind, keys, values, most[kind] * (8 << 20) >> shard_bits)
+                size, bits = LogBloom.build(kind, keys, values)
                 mass = float(value_of(kind, levels(kind, values)).sum()) if kind == 1 else 0.0
                 above = [int((values >= 1 << j).sum()) for j in range(48)] if kind == 1 else []
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, shard, size, bits, int(values.sum()), len(keys), int((values == 1).sum()), mass, above), schema)], schema=schema)
 
-    # at most max_mb for each kind
-    rows = counts.mapInArrow(build, "kind int, shard int, size long, bits binary, n long, distinct long, once long, mass double, above array<long>").collect()
-    filters = {k: LogBloom(k, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in rows if r["kind"] == k}) for k in (1, 2, 3)}
+    built = checkpointed(counts.mapInArrow(build, "kind int, shard int, size long, bits binary, n long, distinct long, once long, mass double, above array<long>"))
+    rows = built.drop("bits").collect()
+    filters = {}
+    if all(sum(r["size"] for r in rows if r["kind"] == k) <= most[k] << 23 for k in most):  # at most max_mb for each kind
+        parts = built.select("kind", "shard", "size", "bits").collect()
+        filters = {k: LogBloom(k, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts if r["kind"] == k}) for k in most}
     own = [r for r in rows if r["kind"] == 1]
     above = np.array([r["above"] for r in own] or [[0] * 48]).sum(axis=0)
     least = 1 << int(np.flatnonzero(above <= HEAD)[0])
@@ -286,13 +301,112 @@ def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, int]:
     keys, exact = head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(float)
     order = np.argsort(keys)
     sums = [sum(r[x] for r in own) for x in ("n", "distinct", "once", "mass")]
-    return Model(filters, *sums, (keys[order], exact[order])), unpack(False), least
+    return Model(filters, *sums, (keys[order], exact[order])), built.select("kind", "shard", "size", "bits"), unpack(False), least
+
 
+def told_batch(ids: pa.Array, held: pa.Array, sizes: list[int], t: np.ndarray, v: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+    """The rows of texts of so many tokens each, from all tokens' keys, word values and log10 P."""
+    starts, out = np.concatenate([[0], np.cumsum(sizes)]), []
+    exact = v[:, 3]
+    common = exact >= 0
+    totals = [np.add.reduceat(x, starts[:-1]) for x in (common.astype(np.int64), np.where(common, np.log10(np.maximum(exact, 0) + 1), 0.0), logs)]
+    for n, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+        out.append((b - a, int(totals[0][n]), float(totals[1][n]), float(totals[2][n]), t[a:b][~common[a:b]].view(np.int64)))
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), held, *(pa.array([o[x] for o in out], TOLD[x + 2].type) for x in range(5))], schema=TOLD)
+
+
+def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
+    """docs: (doc_id, held_out, text).  The rows of told_batch by shuffling each block's distinct keys to the filters' groups."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)  # at most HEAD words
+    bounds = filters.groupBy("kind").agg(F.sum(F.length("bits")).alias("bytes")).collect()
+    shard_bits = max(4, (2 * partitions(spark) - 1).bit_length())
+    group_bits = min(shard_bits, max(max(b["bytes"] for b in bounds) // GROUP, partitions(spark) // 3).bit_length())
 
-def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
+    def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = ([], [], []), 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x, kind in zip(block, (pa.int64(), pa.bool_(), pa.binary()))], names=["ids", "held", "bodies"])
+
+        for batch in rows:
+            for one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+                for held, x in zip(block, one):
+                    held.append(x)
+                size += len(one[2]) + 64
+                if size >= BLOCK:
+                    yield row()
+                    block, size = ([], [], []), 0
+        if size:
+            yield row()
+
+    folder = shared_dir(spark, "lm")
+    docs.select("doc_id", "held_out", "text").mapInArrow(pack, "ids array<long>, held array<boolean>, bodies array<binary>").withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
+    blocks = spark.read.parquet(folder)
+
+    def tokens(bodies: list[bytes], hashes: Hashes) -> tuple[np.ndarray, list[int], dict[int, np.ndarray]]:
+        """Token keys, tokens of each text, and the keys of each kind for the tokens."""
+        each = [np.append(hashes.of(words(b)), END) for b in bodies]
+        t = np.concatenate(each)
+        return t, [len(x) for x in each], {1: t, 2: pair_keys(np.concatenate([[END], t[:-1]]), t), 3: t >> LOW << LOW}
+
+    probes = pa.schema([("kind", pa.int32()), ("group", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in rows:
+            for block, bodies in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for kind, keys in tokens(bodies.as_py(), hashes)[2].items():
+                    keys = np.unique(keys)
+                    at = np.searchsorted(keys >> np.uint64(64 - group_bits), np.arange((1 << group_bits) + 1).astype(np.uint64)) if group_bits else [0, len(keys)]
+                    some = [g for g in range(1 << group_bits) if at[g] < at[g + 1]]
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, some, [block] * n, [0] * n, [0] * n, [keys[at[g] : at[g + 1]].tobytes() for g in some]), probes)], schema=probes)
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, bloom = None, {}, None
+        for batch in rows:
+            for kind, group, block, shard, size, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (kind, group) != at:
+                    at, parts, bloom = (kind, group), {}, None
+                if block < 0:  # these come first
+                    parts[shard] = size, data
+                    continue
+                bloom = bloom or LogBloom(kind, shard_bits, parts)
+                level = bloom.level(np.frombuffer(data, np.uint64)).astype(np.uint16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind], pa.int32()), pa.array([group], pa.int32()), pa.array([level], pa.binary())], names=["block", "kind", "group", "data"])
+
+    def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, hashes = shared.value, Hashes()
+
+        def finish(ids: list, held: list, bodies: list[bytes], found: dict[int, list[bytes]]) -> pa.RecordBatch:
+            t, sizes, keys = tokens(bodies, hashes)
+            level = {k: np.frombuffer(b"".join(found[k]), np.uint16).astype(np.int64)[np.unique(keys[k], return_inverse=True)[1]] for k in keys}
+            v = model.values_of(t, level[1], level[3])
+            return told_batch(pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), sizes, t, v, model.log10_of(level[2], v, v[sizes[0] - 1 : sizes[0]]))
+
+        block = None
+        for batch in rows:
+            for kind, data, *texts_of in zip(*(batch.column(x) for x in ("kind", "data", "ids", "held", "bodies"))):
+                if kind.as_py() == 0:  # it comes first, and then the levels by groups
+                    if block:
+                        yield finish(*block)
+                    block = (*(x.as_py() for x in texts_of), {1: [], 2: [], 3: []})
+                else:
+                    block[3][kind.as_py()].append(data.as_py())
+        if block:
+            yield finish(*block)
+
+    asked = blocks.select("block", "bodies").mapInArrow(ask, "kind int, group int, block long, shard int, size long, data binary")
+    own = filters.select("kind", F.shiftright("shard", shard_bits - group_bits).alias("group"), F.lit(-1).cast("long").alias("block"), "shard", "size", F.col("bits").alias("data"))
+    levels = own.union(asked).repartition("kind", "group").sortWithinPartitions("kind", "group", "block").mapInArrow(answer, "block long, kind int, group int, data binary")
+    both = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("group"), F.lit(None).cast("binary").alias("data"), "ids", "held", "bodies").unionByName(levels, allowMissingColumns=True)
+    return both.repartition("block").sortWithinPartitions("block", "kind", "group").mapInArrow(tell, TOLD_DDL)
+
+
+def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) -> DataFrame:
     """docs: (doc_id, held_out, text).  Adds n_tokens, n_known, train_tokens, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # filters of a fixed bound and at most HEAD words
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # filters of max_mb or none, and at most HEAD words
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -300,7 +414,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
         end = model.word_values(np.array([END]))
         keys, values = np.full(4096, END), np.repeat(end, 4096, axis=0)  # row 0: the end
         for batch in rows:
-            bodies, out = texts(batch.column(2)), []
+            bodies = texts(batch.column(2))
             for k in range(0, len(bodies), 256):
                 some = [words(b) for b in bodies[k : k + 256]]
                 new = list({w for ws in some for w in ws if w not in known})
@@ -317,15 +431,9 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
                 ids = np.concatenate([np.fromiter((*map(known.__getitem__, ws), 0), np.int64, len(ws) + 1) for ws in some])
                 t, v = keys[ids], values[ids]
                 logs = model.log10(t, v, end)
-                starts = np.concatenate([[0], np.cumsum([len(ws) + 1 for ws in some])])
-                exact = v[:, 3]
-                common = exact >= 0
-                totals = [np.add.reduceat(x, starts[:-1]) for x in (common.astype(np.int64), np.where(common, np.log10(np.maximum(exact, 0) + 1), 0.0), logs)]
-                for n, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
-                    out.append((b - a, int(totals[0][n]), float(totals[1][n]), float(totals[2][n]), t[a:b][~common[a:b]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array([o[x] for o in out], schema[x + 2].type) for x in range(5))], schema=schema)
-
-    told = docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>")
+                yield told_batch(batch.column(0).slice(k, 256), batch.column(1).slice(k, 256), [len(ws) + 1 for ws in some], t, v, logs)
+
+    told = docs.select("doc_id", "held_out", "text").mapInArrow(run, TOLD_DDL) if model.filters else dealt(docs, model, filters)
     told = checkpointed(told.withColumn("row", F.monotonically_increasing_id()))
     found = told.select("row", F.explode("others").alias("key")).join(rest, "key").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("logs_rest"))
     whole = F.log10(F.lit(float(model.n + model.distinct + 1)))
@@ -338,8 +446,8 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
 def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = 64) -> DataFrame:
     """Learn from the documents whose crc32 remainder differs, and score all of them."""
     out = held_out("doc_id", modulus, remainder)
-    model, rest, _ = train(docs.where(~out).select("text"), max_mb)
-    return score(docs.select("doc_id", out.alias("held_out"), "text"), model, rest)
+    model, filters, rest, _ = train(docs.where(~out).select("text"), max_mb)
+    return score(docs.select("doc_id", out.alias("held_out"), "text"), model, filters, rest)
 
 
 def op2_lm(spark, sf_dir: str) -> DataFrame:
