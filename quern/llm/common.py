@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are; every operator takes a path of its own.
 TOKENIZERS = "/opt/tokenizers"
 
-SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,15 +37,21 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one has a temporary folder of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
+    return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
-    Only where spark.checkpoint.dir is unset (a local test session) is a folder chosen here.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or f"/tmp/checkpoints/{sc.applicationId}")
+        sc.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -103,7 +110,37 @@ def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.nd
     return docs.mapInArrow(run, docs.schema)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder of its own in the shared folder that the cluster names in spark.checkpoint.dir."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; what the process hasn't removed by its end goes then."""
+    if not _written:
+        atexit.register(lambda: [remove(*w) for w in list(_written)])
+    _written.append((spark, f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"))
+    return _written[-1][1]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of shared_dir, if the session still runs."""
+    _written[:] = [w for w in _written if w[1] != folder]
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def least_hashed(rows: DataFrame, by: str, most: Callable[[object], int]) -> list[tuple]:
+    """rows: (by, doc_id).  (by, doc_id) of the ``most(value)`` ids of each value of ``by`` that have the least hash.
+
+    A bound on the hash, from the rows' number for each value, goes before the shuffle: a value's window then sees
+    about five times what is taken, however many rows it has.  ``by`` has few values.
+    """
+    share = (F.xxhash64("doc_id").cast("double") + 2.0**63) / 2.0**64
+    bounds = {r[by]: min(1.0, (5 * most(r[by]) + 100) / r["count"]) for r in rows.groupBy(by).count().collect()}
+    if not bounds:
+        return []
+    near = rows.where(reduce(lambda a, b: a | b, [(F.col(by) == v) & (share < b) for v, b in bounds.items()])).select(by, "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(share, "doc_id"))
+    limit = reduce(lambda c, v: c.when(F.col(by) == v, most(v)), bounds, F.when(F.lit(False), 0))
+    return [(r[by], r["doc_id"]) for r in near.withColumn("k", rank).where(F.col("k") <= limit).select(by, "doc_id").collect()]

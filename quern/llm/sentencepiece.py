@@ -6,16 +6,18 @@ front (spaces stand for the model's word marks); a character that is no piece
 falls back to the model's byte pieces at a score below every piece's.  Of equal
 sums the one whose last piece is longest wins, place by place.
 
-A text is cut into chunks: spaces and then either letters (with their marks) or
-other characters.  No piece of the vocabulary crosses a cut (this is checked),
-so the best segmentation is the chunks' best ones in a row.
+A text is cut into chunks between any two characters that no piece has side by
+side.  No piece can cross such a cut, so the best segmentation is the chunks'
+best ones in a row.
 
     1  the distinct chunks are counted, in each task before the shuffle
     2  lattice: each chunk's substrings of at most the longest piece's length
        are exploded and joined with the piece table on equality; the edges are
        grouped by chunk and a higher-order aggregate folds Viterbi over them in
-       order of their ends (a chunk of over ``FOLD`` characters is folded by the
-       same recurrence in Python, as the fold copies its state at each step)
+       order of their ends.  Its state is flat: as many last scores as the longest
+       piece reaches back, and one character for each place, the last piece's
+       length.  Chunks of any length go this way (the aggregate copies its
+       state, so one of n characters copies about 16 n^2 bytes)
     3  the ``head`` commonest chunks, a bound, are broadcast with their ids; the
        other chunks of each text are joined with the lattice's result and meet
        the text, which travels compressed, under a hash of its row
@@ -37,15 +39,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, partitions, pieces_of, shared_dir, table, texts
+from .common import TOKENIZERS, partitions, pieces_of, remove, shared_dir, table, texts
 
-CHUNK = regex.compile(r" *(?:[\p{L}\p{M}]+|[^\p{L}\p{M} ]+)| +")
-FOLD = 48
+BLOCK = 256  # ends of pieces exploded from a row
 HEAD = 400_000
 FLUSH = 600_000
 GROUPS = 12_000  # chunks of a task of the lattice, about
@@ -53,17 +53,6 @@ REMEMBERED = 300_000
 FALLBACK = -1e6
 
 
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a text, a space in front of it."""
-    return CHUNK.findall(" " + text)
-
-
-def words_of(text: str) -> list[str] | None:
-    """The words between single spaces, whose chunks, each with its space, are the text's; None if spaces meet or end it."""
-    words = text.split(" ")
-    return None if "" in words else words
-
-
 class Vocabulary:
     """Pieces with spaces for marks, their ids and scores, the ids of the bytes, and each id's bytes."""
 
@@ -79,48 +68,47 @@ class Vocabulary:
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
         self.longest = max(len(p) for p, _, _ in self.pieces)
-        crossing = [p for p, _, _ in self.pieces if len(CHUNK.findall(p)) > 1]
-        if crossing:
-            raise ValueError(f"pieces cross chunks: {crossing[:5]}")
+        if self.longest > 200:
+            raise ValueError("pieces of over 200 characters")
+        self.id_of = {p: i for p, i, _ in self.pieces}
+        self.pairs = frozenset(p[k : k + 2] for p, _, _ in self.pieces for k in range(len(p) - 1))
+        self.by_words = not any(q[1] == " " != q[0] for q in self.pairs)
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text, a space in front of it."""
+        text, pairs = " " + text, self.pairs
+        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+
+    def words(self, text: str) -> list[str] | None:
+        """The words between single spaces, whose chunks, each with its space, are the text's; None if spaces meet or end it."""
+        words = text.split(" ")
+        return words if self.by_words and "" not in words else None
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
 
-    def expand(self, ids: list[int]) -> list[int]:
-        """A negative id -1 - c is the character c, and becomes its bytes' ids."""
-        if min(ids) >= 0:
-            return ids
-        return [j for i in ids for j in ((i,) if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "replace")])]
-
-
-def viterbi(chunk: str, pieces: dict[str, tuple[int, float]], longest: int) -> list[int]:
-    """The fold's recurrence, for one chunk."""
-    best: list[float] = [0.0]
-    back: list[tuple[int, int]] = [(0, 0)]
-    for end in range(1, len(chunk) + 1):
-        top = None
-        for start in range(max(0, end - longest), end):
-            hit = pieces.get(chunk[start:end])
-            if hit is None and start == end - 1:
-                hit = (-1 - ord(chunk[start]), FALLBACK)
-            if hit is not None and (top is None or best[start] + hit[1] > top[0]):
-                top = (best[start] + hit[1], start, hit[0])
-        best.append(top[0])
-        back.append(top[1:])
-    ids, at = [], len(chunk)
-    while at:
-        at, i = back[at]
-        ids.append(i)
-    return ids[::-1]
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
+    def ids(self, chunk: str, ways: str) -> bytes:
+        """The ids, as int32, along the ways back that the fold found: the length of the last piece into each place, as a character from "0" on."""
+        out, at = [], len(chunk)
+        while at:
+            start = at - ord(ways[at]) + 48
+            piece = chunk[start:at]
+            i = self.id_of.get(piece)
+            out += (i,) if i is not None else [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "replace"))]
+            at = start
+        return np.array(out[::-1], np.int32).tobytes()
+
+
+def chunk_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """docs: (text).  (chunk, n) over all texts."""
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         counts: Counter = Counter()
+        chunks_of, words_of = shared.value.chunks, shared.value.words
 
         def flush() -> Iterator[pa.RecordBatch]:
             for word, n in words.items():
@@ -148,66 +136,52 @@ def chunk_counts(docs: DataFrame) -> DataFrame:
 
 
 def segmentations(chunks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """chunks: (chunk, n), distinct.  Adds ids: the best segmentation of each chunk."""
+    """chunks: (cid, chunk, n), cid different for each, dealt out by it.  (chunk, n, ways): the best segmentation of each chunk, for Vocabulary.ids."""
     spark = chunks.sparkSession
-    pieces = spark.createDataFrame(pa.table({"piece": [p for p, _, _ in vocabulary.pieces], "id": pa.array([i for _, i, _ in vocabulary.pieces], pa.int32()), "score": [s for _, _, s in vocabulary.pieces]}))
-    longest = vocabulary.longest
-    n = F.length("chunk")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("chunk") - i)), lambda k: F.struct(i.alias("a"), (i + k).alias("b"), F.substring(F.col("chunk"), i + 1, k).alias("piece")))))
-    short = chunks.where(n <= FOLD).select("chunk", "n", F.inline(spans))
-    hit = F.col("id").isNotNull()
-    edges = short.join(F.broadcast(pieces), "piece", "left").where(hit | (F.col("b") == F.col("a") + 1))  # the vocabulary is a fixed file
-    edge = F.struct("b", "a", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(FALLBACK)).alias("score"))
-    grouped = edges.select("chunk", "n", edge.alias("e")).groupBy("chunk").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("e")).alias("edges"))
+    pieces = spark.createDataFrame(pa.table({"piece": [p for p, _, _ in vocabulary.pieces], "score": [s for _, _, s in vocabulary.pieces]}))
+    longest, col = vocabulary.longest, F.col
+    # a row for each BLOCK of ends, with the characters before it that a piece may begin with; one for each end; one for each piece's length
+    starts = F.sequence(F.lit(0), F.length("chunk") - 1, F.lit(BLOCK))
+    first = lambda o: F.greatest(o - longest + 1, F.lit(0))
+    blocks = chunks.select("cid", F.inline(F.transform(starts, lambda o: F.struct(o.alias("o"), F.substring(col("chunk"), first(o) + 1, o + BLOCK - first(o)).alias("body")))))
+    blocks = blocks.select("cid", "o", "body", first(col("o")).alias("base"))
+    ends = blocks.select("cid", "base", "body", F.explode(F.sequence(col("o") + 1, col("base") + F.length("body"))).alias("b"))
+    reach = F.least(col("b"), F.lit(longest))
+    ends = ends.select("cid", "b", F.substring(col("body"), col("b") - col("base") - reach + 1, reach).alias("tail"), reach.alias("reach"))
+    spans = ends.select("cid", "b", "tail", "reach", F.explode(F.sequence(F.lit(1), col("reach"))).alias("k"))
+    spans = spans.select("cid", "b", "k", F.substring(col("tail"), col("reach") - col("k") + 1, col("k")).alias("piece"))
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where(col("score").isNotNull() | (col("k") == 1))  # the vocabulary is a fixed file
+    edge = F.struct("b", "k", F.coalesce("score", F.lit(FALLBACK)).alias("score"))
+    grouped = edges.select("cid", edge.alias("e")).groupBy("cid").agg(F.sort_array(F.collect_list("e")).alias("edges"))
 
     def step(state, e):
-        """Append the state of place b, or better its last element."""
-        total = F.get(state["best"], e["a"]) + e["score"]
-        new = F.struct(e["a"].alias("a"), e["id"].alias("id"))
-        first = F.size(state["best"]) == e["b"]
-        better = total > F.element_at(state["best"], -1)
-        grown = F.struct(F.concat(state["best"], F.array(total)).alias("best"), F.concat(state["back"], F.array(new)).alias("back"))
-        mended = F.struct(F.concat(F.slice(state["best"], F.lit(1), e["b"]), F.array(total)).alias("best"), F.concat(F.slice(state["back"], F.lit(1), e["b"]), F.array(new)).alias("back"))
-        return F.when(first, grown).when(better, mended).otherwise(state)
+        """score and k: of the best way into place at so far; best: the scores of the places before it; ways: the k of all places before it.
 
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("id"))).alias("back"))
-    folded = grouped.select("chunk", "n", F.aggregate("edges", start, step, lambda s: s["back"]).alias("back"))
-
-    def walk(state, k):
-        here = F.element_at(F.col("back"), k + 1)
-        return F.when(state["at"] == k, F.struct(here["a"].alias("at"), F.concat(F.array(here["id"]), state["ids"]).alias("ids"))).otherwise(state)
-
-    size = F.size("back") - 1
-    end = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids"))
-    by_fold = folded.select("chunk", "n", F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), end, walk, lambda s: s["ids"]).alias("ids"))
-
-    shared = spark.sparkContext.broadcast({p: (i, s) for p, i, s in vocabulary.pieces})
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            ids = [viterbi(c, shared.value, longest) for c in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["chunk", "n", "ids"])
+        The aggregate copies its state at each step, so it is flat and small.
+        """
+        at, best, ways = state["at"], state["best"], state["ways"]
+        a = e["b"] - e["k"]
+        score = F.when(a == at, state["score"]).otherwise(F.get(best, a - at + F.size(best))) + e["score"]
+        recent = F.slice(best, F.greatest(F.size(best) - longest + 1, F.lit(1)), F.lit(longest))
+        on = F.struct(e["b"].alias("at"), score.alias("score"), e["k"].alias("k"), F.concat(recent, F.array(state["score"])).alias("best"), F.concat(ways, F.char(48 + state["k"])).alias("ways"))
+        # lengths come in ascending order, so of equal sums the longest stays
+        better = F.struct(at.alias("at"), score.alias("score"), e["k"].alias("k"), best.alias("best"), ways.alias("ways"))
+        return F.when(at < e["b"], on).when(score >= state["score"], better).otherwise(state)
 
-    by_python = chunks.where(n > FOLD).select("chunk", "n").mapInArrow(run, "chunk string, n long, ids array<int>")
-    return by_fold.unionByName(by_python)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("k"), F.array().cast("array<double>").alias("best"), F.lit("").alias("ways"))
+    folded = grouped.select("cid", F.aggregate("edges", start, step, lambda s: F.concat(s["ways"], F.char(48 + s["k"]))).alias("ways"))
+    return chunks.join(folded, "cid").select("chunk", "n", "ways")
 
 
 def lattice(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The segmentations of all chunks of the texts, as a table in the shared folder."""
     spark = docs.sparkSession
-    # written once, as both branches of the fold read it
-    chunk_counts(docs).write.parquet(counted := shared_dir(spark, "chunks"))
+    # written once, so that a chunk's number is the same in every reading
+    chunk_counts(docs, vocabulary).withColumn("cid", F.monotonically_increasing_id()).write.parquet(counted := shared_dir(spark, "chunks"))
     chunks = spark.read.parquet(counted)
-    chunks = chunks.repartition(max(partitions(spark), -(-chunks.count() // GROUPS)), "chunk")
-    # a task's groups fit in its hash table, as a chunk has few edges; the default of 128 groups would sort all edges
-    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(2 * GROUPS))
-    try:
-        segmentations(chunks, vocabulary).write.parquet(folder := shared_dir(spark, "lattice"))
-    finally:
-        spark.conf.set(name, before)
-    spark.sparkContext._jvm.System.gc()  # the count's shuffle files go when the driver collects its garbage
+    chunks = chunks.repartition(max(partitions(spark), -(-chunks.count() // GROUPS)), "cid")
+    segmentations(chunks, vocabulary).write.parquet(folder := shared_dir(spark, "lattice"))
+    remove(spark, counted)
     return spark.read.parquet(folder)
 
 
@@ -218,22 +192,22 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 class Outside:
     """What the broadcast chunks don't hold of a text, and a text's ids once that is known; words are remembered."""
 
-    def __init__(self, head: dict[str, bytes]):
-        self.head = head
+    def __init__(self, vocabulary: Vocabulary, head: dict[str, bytes]):
+        self.vocabulary, self.head = vocabulary, head
         self.known: dict[str, tuple[str, ...] | bytes] = {}  # a word: its ids, or its chunks if some are outside
 
     def word(self, word: str) -> tuple[str, ...] | bytes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        chunks = chunks_of(word)
+        chunks = self.vocabulary.chunks(word)
         parts = [self.head.get(c) for c in chunks]
         self.known[word] = out = tuple(chunks) if None in parts else b"".join(parts)
         return out
 
     def values(self, text: str) -> list:
-        words = words_of(text)
+        words = self.vocabulary.words(text)
         if words is None:
-            return [chunks_of(text)]
+            return [self.vocabulary.chunks(text)]
         known = self.known
         out = list(map(known.get, words))
         if None in out:
@@ -259,13 +233,13 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
     band = F.floor(F.log2("n") * 8).cast("int")  # counts within a twelfth of each other
     tallies = cut.select(band.alias("b")).groupBy("b").count().collect()  # at most 504 rows
     least = 1 + max((r["b"] for r in tallies if sum(x["count"] for x in tallies if x["b"] >= r["b"]) > head), default=-1)
-    common = cut.where(band >= least).select("chunk", "ids").toArrow()  # at most ``head`` rows
-    known = spark.sparkContext.broadcast({c: np.array(vocabulary.expand(i), np.int32).tobytes() for c, i in zip(common.column(0).to_pylist(), common.column(1).to_pylist())})
+    common = cut.where(band >= least).select("chunk", "ways").toArrow()  # at most ``head`` rows
+    known = spark.sparkContext.broadcast({c: vocabulary.ids(c, w) for c, w in zip(common.column(0).to_pylist(), common.column(1).to_pylist())})
     shared = spark.sparkContext.broadcast(vocabulary)
     key = F.xxhash64("doc_id", "text")
 
     def rest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outside = Outside(known.value)
+        outside = Outside(shared.value, known.value)
         for batch in rows:
             keys, places, chunks = [], [], []
             for k, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
@@ -284,14 +258,14 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
         for batch in rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([codec.compress(t) for t in texts(batch.column(2))], pa.binary())], names=["key", "doc_id", "packed"])
 
-    others = keyed.select("key", "text").mapInArrow(rest, "key long, place int, chunk string").join(cut.where(band < least).select("chunk", "ids"), "chunk")
-    # bounded by the text; a key that comes twice has its places twice, with equal ids
-    others = others.select("key", "place", "ids").groupBy("key").agg(F.collect_list(F.struct("place", "ids")).alias("others"))
+    others = keyed.select("key", "text").mapInArrow(rest, "key long, place int, chunk string").join(cut.where(band < least).select("chunk", "ways"), "chunk")
+    # bounded by the text; a key that comes twice has its places twice, with equal ways
+    others = others.select("key", "place", "ways").groupBy("key").agg(F.collect_list(F.struct("place", "ways")).alias("others"))
     bodies = keyed.mapInArrow(packed, "key long, doc_id long, packed binary")
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("round_trip", pa.bool_())])
 
     def put_together(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, outside = shared.value, Outside(known.value)
+        vocabulary, outside = shared.value, Outside(shared.value, known.value)
         codec = zstandard.ZstdDecompressor(dict_data=dictionary(packing.value))
         for batch in rows:
             for at in range(0, batch.num_rows, 256):
@@ -300,8 +274,8 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
                 for body, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                     source = codec.decompress(body)
                     text = source.decode("utf-8", "replace")
-                    found = {o["place"]: np.array(vocabulary.expand(o["ids"]), np.int32).tobytes() for o in tail or ()}
-                    own = {c: found[k] for k, c in enumerate(outside.of(text))}
+                    found = {o["place"]: o["ways"] for o in tail or ()}
+                    own = {c: vocabulary.ids(c, found[k]) for k, c in enumerate(outside.of(text))}
                     ids = np.frombuffer(outside.ids(text, own), np.int32)
                     out.append(ids)
                     fits.append(vocabulary.decode(ids.tolist()) == source)
