@@ -5,40 +5,46 @@ which is a token and also stands before the first word.  Tokens are known by
 the XXH64 of their bytes.
 
 Counting: each task reduces its words and word pairs to sorted (key, count)
-arrays, cut by leading bits of the key into shards; the shards are shuffled and
-merged.  A pair's key is 34 bits of its first and 30 of its second token's hash,
-so a shard holds all pairs of a context.
-
-Filter: a count c enters as the levels 1 to 1 + floor(log_b(c / least)), each
-with its own hash functions; reading one probes level 1, 2, ... until a probe
-misses.  Three filters are kept in this way: words, pairs of ``PAIR_LEAST`` or
-more, and for each context of such pairs the mass left to the word model.  A
-shard's part of a filter has BITS bits an entry, so every kept count is in,
-filters grow with the corpus and their error rate doesn't rise.  Filters of up
-to ``max_mb`` are broadcast.  Larger ones stay dealt out in groups of shards: the
-texts are packed into blocks, a block's distinct keys are shuffled to their
-groups, and their levels back to the block.  Both ways give the same scores.
+arrays, cut by leading bits of the key into shards; the shards, whose number
+follows the size of the text, are shuffled and merged.  A pair's key is 34 bits
+of its first and 30 of its second token's hash, so a shard holds all pairs of a
+context.  Every count is kept, those of one included.
+
+Filter: counts are quantised to levels, each its own whole number at first and
+then wider by a factor.  A count enters its level and all below, each with its
+own hash functions; reading one probes level 1, 2, ... until a probe misses.
+Three filters are kept in this way: words, pairs, and for each context u the
+tokens after it for each distinct one, c(u) / T(u) (level 0, about 1, isn't
+stored).  A shard's part of a filter has BITS bits an entry, so filters grow with
+the corpus and their error rate doesn't rise.  Filters of up to ``max_mb`` in all
+are broadcast.  Larger ones stay dealt out in groups of shards: the texts are
+packed into blocks, a block's distinct keys are shuffled to their groups, and
+their levels back to the block.  Both ways give the same scores.
 
 Model (absolute discounting by D, interpolated):
 
-    P(w | u) = max(c(u,w) - D, 0) / c(u) + left(u) P(w),   left(u) = 1 - sum of (c(u,w) - D) / c(u) over kept pairs
-    P(w)     = (1 - p0) c(w) / sum of c,  or p0 = tokens seen once / all tokens (Good and Turing) if the filter lacks w
+    P(w | u) = max(c(u,w) - D, 0) / c(u) + left(u) P(w),   left(u) = D T(u) / c(u)
+    P(w)     = (1 - p0) c(w) / sum of c,  or p0 / U for each word that the filter lacks
 
 with counts as the filter gives them, a pair's at most its words'.  After an
-unknown word, P(w).
+unknown word, P(w).  p0 is the share of tokens seen once (Good and Turing), one
+half at most; U estimates how many unseen words there are, once^2 / (2 twice)
+(Chao), one at least.  So the probabilities of all seen words and U unseen ones
+add up to 1, but for what quantisation and false hits change.
 
 Base score: exact counts.  The commonest words (at most ``HEAD``, a bound) are
 broadcast with their counts; the other words of the texts are joined with the
 table of counts and summed for each text.
 
-Null and empty texts hold only the end.  Each row gives one row; repeated and
-null ids are kept (a null id is learned from); with nothing to learn from, N and
+Null and empty texts hold only the end; texts of any length are read whole.  Each row gives one row; repeated and
+null ids are kept (a null id is learned from; ids are whole numbers); with nothing to learn from, N and
 V are zero; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +55,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, held_out, mix, partitions, shared_dir, table, texts, words
 
 END = np.uint64(0xE05D_E05D_E05D_E05D)
-PAIR_LEAST, D = 2, 0.75
+D = 0.75
 HEAD = 300_000
 BITS, PROBES = 12, 8
-BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts
+BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts: the factor between levels
+SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
-FLUSH = 4_000_000
+FLUSH, MERGE = 4_000_000, 2_000_000  # tokens and keys held before they are reduced
 REMEMBERED = 500_000
 BLOCK, GROUP = 4 << 20, 16 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
@@ -99,15 +106,15 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 def count(docs: DataFrame, shard_bits: int) -> DataFrame:
     """docs: (text).  One row for each kind (1 words, 2 pairs) and shard that has any: sorted keys and their counts, packed.
 
-    Of the pairs only those of PAIR_LEAST or more are kept, and beside them (kind 3) the contexts that they have,
-    with the millionths of mass left to the word model.
+    Beside the pairs (kind 3) their contexts, with the millionths of c(u) / T(u).
     """
     shift = np.uint64(64 - shard_bits)
 
     def shards(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        at = np.searchsorted(keys >> shift, np.arange((1 << shard_bits) + 1).astype(np.uint64))
-        some = [s for s in range(1 << shard_bits) if at[s] < at[s + 1]]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([keys[at[s] : at[s + 1]].tobytes() for s in some], pa.binary()), pa.array([counts[at[s] : at[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())], schema=BLOBS)
+        own = keys >> shift
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ends, some = np.append(starts[1:], len(keys)), own[starts].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some), *(pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()) for x in (keys, counts.astype(np.uint32)))], schema=BLOBS)
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
@@ -127,45 +134,63 @@ def count(docs: DataFrame, shard_bits: int) -> DataFrame:
         if held:
             yield from flush()
 
+    def row(kind: int, shard: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.uint64).tobytes()], pa.binary())], schema=BLOBS)
+
     def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], tuple[list, list]] = {}
-        for batch in rows:
-            for kind, shard, k, c in zip(*(batch.column(n).to_pylist() for n in range(4))):
-                held = parts.setdefault((kind, shard), ([], []))
-                held[0].append(np.frombuffer(k, np.uint64))
-                held[1].append(np.frombuffer(c, np.uint32).astype(np.uint64))
-        row = lambda kind, shard, k, c: pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.uint64).tobytes()], pa.binary())], schema=BLOBS)
-        for kind, shard in sorted(parts):
-            k, c = merged(*parts.pop((kind, shard)))
-            if kind == 2:
+        """Rows come by kind and shard, so that one shard is held at a time."""
+        at, held, size, least = None, [], 0, MERGE
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            k, c = merged(*zip(*held))
+            if at[0] == 2:
                 context = k >> LOW
                 starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                kept = np.where(c >= PAIR_LEAST, c - D, 0.0)
-                left = 1 - np.add.reduceat(kept, starts) / np.add.reduceat(c, starts)
-                has = left < 1 - 1e-9
-                yield row(3, shard, (context[starts] << LOW)[has], np.maximum(left[has] * 1e6, 1))
-                k, c = k[c >= PAIR_LEAST], c[c >= PAIR_LEAST]
-            yield row(kind, shard, k, c)
+                ratio = np.add.reduceat(c, starts) / np.diff(np.append(starts, len(k)))
+                yield row(3, at[1], context[starts] << LOW, np.round(ratio * 1e6))
+            yield row(*at, k, c)
+
+        for batch in rows:
+            for kind, shard, k, c in zip(*(batch.column(n) for n in range(4))):
+                if (kind.as_py(), shard.as_py()) != at:
+                    if at:
+                        yield from finish()
+                    at, held, size, least = (kind.as_py(), shard.as_py()), [], 0, MERGE
+                held.append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64)))
+                size += len(held[-1][0])
+                if size >= least:
+                    held = [merged(*zip(*held))]
+                    size = len(held[0][0])
+                    least = size + MERGE
+        if at:
+            yield from finish()
 
     names = "kind int, shard int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(gather, names).repartition("kind", "shard").mapInArrow(merge, names)
+    return docs.select("text").mapInArrow(gather, names).repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge, names)
+
+
+@cache
+def steps(kind: int) -> np.ndarray:
+    """The least count of each level from 1 on."""
+    out = [1]
+    while out[-1] < 1 << 50:
+        out.append(max(out[-1] + 1, int(out[-1] * BASES[kind])))
+    return np.array(out, np.float64)
 
 
 def levels(kind: int, values: np.ndarray) -> np.ndarray:
-    """The quantised level, 1 at least."""
-    x = {1: values, 2: values / PAIR_LEAST, 3: 1e6 / np.maximum(values, 1)}[kind]
-    return 1 + np.floor(np.log(np.maximum(x, 1)) / np.log(BASES[kind]) + 1e-9).astype(np.int64)
+    """The quantised level: of counts 1 at least, of a context's millionths 0 at least."""
+    if kind == 3:
+        return np.floor(np.log(np.maximum(values / 1e6, 1)) / np.log(BASES[3]) + 1e-9).astype(np.int64)
+    return np.searchsorted(steps(kind), values, side="right")
 
 
 def value_of(kind: int, level: np.ndarray) -> np.ndarray:
-    """The middle (geometric) of the values of a level; the least value itself where a level holds one whole number."""
-    b = BASES[kind]
-    low = b ** (level - 1.0)
+    """The middle (geometric) of the values of a level, of 1 or more for counts."""
     if kind == 3:
-        return 1 / (low * b**0.5)
-    least = 1 if kind == 1 else PAIR_LEAST
-    first, last = np.ceil(low * least - 1e-9), np.ceil(low * b * least - 1e-9) - 1
-    return np.where(last < first, low * least, np.sqrt(first * np.maximum(first, last)))
+        return np.where(level > 0, BASES[3] ** (level + 0.5), 1.0)
+    first, last = steps(kind)[level - 1], steps(kind)[np.minimum(level, len(steps(kind)) - 1)] - 1
+    return np.sqrt(first * np.maximum(first, last))
 
 
 def places(h: np.ndarray, probe: int, m: np.ndarray | np.uint64) -> np.ndarray:
@@ -190,11 +215,8 @@ class LogBloom:
         self.bits = np.frombuffer(b"".join(blobs), np.uint8)
 
     @staticmethod
-    def build(kind: int, keys: np.ndarray, values: np.ndarray, most_bits: int | None = None) -> tuple[int, bytes]:
+    def build(kind: int, keys: np.ndarray, values: np.ndarray) -> tuple[int, bytes]:
         level = levels(kind, values)
-        while most_bits is not None and BITS * int(level.sum()) > most_bits and len(level):
-            keep = level > level.min() if kind != 3 else level < level.max()
-            keys, level = keys[keep], level[keep]
         m = max(64, BITS * int(level.sum()))
         bits = np.zeros(-(-m // 8) * 8, bool)
         for n in range(1, int(level.max(initial=0)) + 1):
@@ -226,9 +248,12 @@ class LogBloom:
 class Model:
     """filters: empty where they are too large to be broadcast."""
 
-    def __init__(self, filters: dict[int, LogBloom], n: int, distinct: int, once: int, mass: float, head: tuple[np.ndarray, np.ndarray]):
-        self.filters, self.n, self.distinct, self.mass, self.head = filters, n, distinct, max(mass, 1.0), head
-        self.p0 = min(max(once, 1) / max(n, 2), 0.5)
+    def __init__(self, filters: dict[int, LogBloom], shard_bits: int, totals: dict[str, float], head: tuple[np.ndarray, np.ndarray]):
+        self.filters, self.shard_bits, self.head = filters, shard_bits, head
+        self.n, self.distinct, self.mass = int(totals["n"]), int(totals["distinct"]), max(totals["mass"], 1.0)
+        once, twice = totals["once"], totals["twice"]
+        self.p0 = min(max(once, 1) / (self.n + 1), 0.5) if self.n else 1.0
+        self.unseen = max(once * once / (2 * twice) if twice else once * (once - 1) / 2, 1.0)
 
     def word_values(self, keys: np.ndarray) -> np.ndarray:
         """Columns: filter's count, P(w), left(u), exact count of a common word or -1."""
@@ -237,8 +262,8 @@ class Model:
     def values_of(self, keys: np.ndarray, level: np.ndarray, context: np.ndarray) -> np.ndarray:
         """word_values, by the levels of the words and of their contexts."""
         c = np.where(level > 0, value_of(1, np.maximum(level, 1)), 0.0)
-        p = np.where(level > 0, (1 - self.p0) * c / self.mass, self.p0)
-        left = np.where(context > 0, value_of(3, np.maximum(context, 1)), 1.0)
+        p = np.where(level > 0, (1 - self.p0) * c / self.mass, self.p0 / self.unseen)
+        left = D / value_of(3, context)
         exact = np.full(len(keys), -1.0)
         k, n = self.head
         if len(k):
@@ -263,35 +288,35 @@ class Model:
 def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, DataFrame, int]:
     """docs: (text).  The model, its filters' table (kind, shard, size, bits), the table (key, c) of the words outside its head, and the head's least count."""
     spark = docs.sparkSession
-    shard_bits = max(4, (2 * partitions(spark) - 1).bit_length())
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    shard_bits = (max(15, 2 * partitions(spark) - 1, size // SHARD)).bit_length()
     counts = checkpointed(count(docs, shard_bits))
-    most = {1: max_mb, 2: max_mb, 3: max_mb // 4}
-    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("bits", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64()), ("once", pa.int64()), ("mass", pa.float64()), ("above", pa.list_(pa.int64()))])
+    sums = ("size", "n", "distinct", "once", "twice", "mass")
+    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary()), *((x, pa.float64() if x == "mass" else pa.int64()) for x in sums), ("above", pa.list_(pa.int64()))])
 
     def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for kind, shard, k, c in zip(*(batch.column(x).to_pylist() for x in range(4))):
-                keys, values = np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64).astype(np.float64)
+            for kind, shard, k, c in zip(*(batch.column(x) for x in range(4))):
+                kind, keys, values = kind.as_py(), np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64).astype(np.float64)
                 size, bits = LogBloom.build(kind, keys, values)
                 mass = float(value_of(kind, levels(kind, values)).sum()) if kind == 1 else 0.0
-                above = [int((values >= 1 << j).sum()) for j in range(48)] if kind == 1 else []
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, shard, size, bits, int(values.sum()), len(keys), int((values == 1).sum()), mass, above), schema)], schema=schema)
+                above = [int((values >= 1 << j).sum()) if kind == 1 else 0 for j in range(48)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, shard.as_py(), bits, size, int(values.sum()), len(keys), int((values == 1).sum()), int((values == 2).sum()), mass, above), schema)], schema=schema)
 
-    built = checkpointed(counts.mapInArrow(build, "kind int, shard int, size long, bits binary, n long, distinct long, once long, mass double, above array<long>"))
-    rows = built.drop("bits").collect()
+    built = checkpointed(counts.mapInArrow(build, "kind int, shard int, bits binary, size long, n long, distinct long, once long, twice long, mass double, above array<long>"))
+    rows = {r["kind"]: r for r in built.groupBy("kind").agg(*(F.sum(x).alias(x) for x in sums), F.array(*(F.sum(F.get("above", F.lit(j))) for j in range(48))).alias("above")).collect()}
     filters = {}
-    if all(sum(r["size"] for r in rows if r["kind"] == k) <= most[k] << 23 for k in most):  # at most max_mb for each kind
+    if sum(r["size"] for r in rows.values()) <= max_mb << 23:  # the bound of what is broadcast
         parts = built.select("kind", "shard", "size", "bits").collect()
-        filters = {k: LogBloom(k, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts if r["kind"] == k}) for k in most}
-    own = [r for r in rows if r["kind"] == 1]
-    above = np.array([r["above"] for r in own] or [[0] * 48]).sum(axis=0)
-    least = 1 << int(np.flatnonzero(above <= HEAD)[0])
+        filters = {k: LogBloom(k, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts if r["kind"] == k}) for k in (1, 2, 3)}
+    totals = rows[1].asDict() if 1 in rows else {"n": 0, "distinct": 0, "once": 0, "twice": 0, "mass": 0.0, "above": [0] * 48}
+    least = 1 << int(np.flatnonzero(np.array(totals["above"]) <= HEAD)[0])
 
     def unpack(common: bool):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
-                for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    keys, values = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+                for k, c in zip(batch.column(0), batch.column(1)):
+                    keys, values = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
                     take = (values >= least) == common
                     yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(values[take])], names=["key", "c"])
 
@@ -300,8 +325,7 @@ def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, DataFram
     head = unpack(True).toArrow()  # at most HEAD rows
     keys, exact = head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(float)
     order = np.argsort(keys)
-    sums = [sum(r[x] for r in own) for x in ("n", "distinct", "once", "mass")]
-    return Model(filters, *sums, (keys[order], exact[order])), built.select("kind", "shard", "size", "bits"), unpack(False), least
+    return Model(filters, shard_bits, totals, (keys[order], exact[order])), built.select("kind", "shard", "size", "bits"), unpack(False), least
 
 
 def told_batch(ids: pa.Array, held: pa.Array, sizes: list[int], t: np.ndarray, v: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
@@ -320,7 +344,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most HEAD words
     bounds = filters.groupBy("kind").agg(F.sum(F.length("bits")).alias("bytes")).collect()
-    shard_bits = max(4, (2 * partitions(spark) - 1).bit_length())
+    shard_bits = model.shard_bits
     group_bits = min(shard_bits, max(max(b["bytes"] for b in bounds) // GROUP, partitions(spark) // 3).bit_length())
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,10 +382,10 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
             for block, bodies in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for kind, keys in tokens(bodies.as_py(), hashes)[2].items():
                     keys = np.unique(keys)
-                    at = np.searchsorted(keys >> np.uint64(64 - group_bits), np.arange((1 << group_bits) + 1).astype(np.uint64)) if group_bits else [0, len(keys)]
-                    some = [g for g in range(1 << group_bits) if at[g] < at[g + 1]]
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, some, [block] * n, [0] * n, [0] * n, [keys[at[g] : at[g + 1]].tobytes() for g in some]), probes)], schema=probes)
+                    own = keys >> np.uint64(64 - group_bits) if group_bits else np.zeros(len(keys), np.uint64)
+                    starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    n, cuts = len(starts), zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, own[starts].tolist(), [block] * n, [0] * n, [0] * n, [keys[a:b].tobytes() for a, b in cuts]), probes)], schema=probes)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, bloom = None, {}, None
