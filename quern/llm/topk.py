@@ -3,28 +3,34 @@
 A vector's code has a bit for each dimension, set where it is above zero (more
 than 64 dimensions are first projected on 64 fixed random directions).  Equal
 codes are one entry of the index with their k + 1 smallest ids, cut in each task
-before the shuffle, so a hot code stays small.
-
-The entries are cut by hash into shards of about ``shard_rows``, the queries
-into blocks of about ``block_rows``; each block meets each shard in one task.
-There the 64 bits are four segments with a table each.  For r = 0, 1, 2, ... the
-search probes segment r mod 4 at radius r div 4 exactly, and verifies the full
-distance of what it finds.  After step r every code within distance r has been
-seen: if all segments before r mod 4 differ in over r div 4 bits and the others
-in r div 4 or more, the whole differs in over r bits.  So the search stops once
-the k-th verified distance is at most r, and the result is exact.  A task gives
-one row of k ids for each query; a query's rows of all shards are merged.
+before the shuffle, so a hot code stays small; equal query codes are one search.
+
+The 64 bits are cut into m segments of about log2(entries) bits, so that a
+segment's value leads to about one entry.  The index is one table of (segment,
+value, entry).  In round s = 0, 1, 2, ... each open query makes, for each
+segment, all values that differ from its own in exactly s bits, and meets the
+index in an equi-join; full distances are verified, and the best so far kept.  A
+pair that several probes find counts at the first of them alone, which the two
+codes themselves tell.  After round s every code within distance m (s + 1) - 1 has
+been seen, as otherwise each segment would differ in over s bits.  So a query is
+done, and leaves, once its last wanted distance is at most that: the result is
+exact.  When another round would make more probes for a query than there are
+entries, the queries still open read the entries instead, ``block`` queries at a
+time, which is exact too.
 
 Neighbours are ordered by (distance, id); a vector isn't its own neighbour, but
 copies under other ids are.  Fewer than k others give fewer rows.  Null, empty
 and null-id vectors are neither indexed nor asked for; null elements and NaN
-leave their bit unset.  Rows repeated with their id are one vector for each
-code; an empty table gives no rows; other columns are ignored.
+leave their bit unset; ids are whole numbers.  Rows repeated with their id are
+one vector for each code; an empty table gives no rows; other columns are
+ignored; vectors of any length are read whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb, log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,104 +39,138 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 
-SEGMENTS, WIDTH = 4, 16
+PROJECT = "id long, code long"
+
+
+def bits_of(column: pa.Array, seed: int, planes: dict[int, np.ndarray]) -> np.ndarray:
+    """The codes of the vectors of a batch, taken by their lengths from the flat values."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = np.nan_to_num(column.values.cast(pa.float64()).to_numpy(zero_copy_only=False), nan=0.0)
+    sizes, out = np.diff(offsets), np.zeros(len(column), np.uint64)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == n)
+        x = values[offsets[at][:, None] + np.arange(n)]
+        if n > 64:
+            if n not in planes:
+                planes[n] = np.random.default_rng(seed).standard_normal((64, n))
+            x = x @ planes[n].T
+        bits = np.zeros((len(at), 64), bool)
+        bits[:, : x.shape[1]] = x > 0
+        out[at] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def codes(vectors: DataFrame, seed: int = 11) -> DataFrame:
     """vectors: (id, vector).  (id, code), the code as a signed long."""
-    schema = pa.schema([("id", pa.int64()), ("code", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in rows:
-            out = np.zeros(batch.num_rows, np.uint64)
-            for n, v in enumerate(batch.column(1).to_pylist()):
-                x = np.array([0.0 if e is None else e for e in v], np.float64)
-                if len(x) > 64:
-                    if len(x) not in planes:
-                        planes[len(x)] = np.random.default_rng(seed).standard_normal((64, len(x)))
-                    x = planes[len(x)] @ x
-                bits = np.zeros(64, bool)
-                bits[: len(x)] = x > 0
-                out[n] = np.packbits(bits, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out.view(np.int64))], schema=schema)
-
-    return vectors.select("id", "vector").where("id is not null and size(vector) > 0").mapInArrow(run, "id long, code long")
-
-
-class Shard:
-    """Distinct codes, their smallest ids, and a table of each segment: values, and where their codes stand."""
-
-    def __init__(self, values: np.ndarray, ids: list[list[int]]):
-        self.codes, self.ids = values, ids
-        self.tables = []
-        for j in range(SEGMENTS):
-            part = (values >> np.uint64(WIDTH * j)) & np.uint64((1 << WIDTH) - 1)
-            order = np.argsort(part, kind="stable")
-            distinct, first = np.unique(part[order], return_index=True)
-            self.tables.append((distinct, np.append(first, len(order)), order))
-
-    def search(self, code: np.uint64, own: int | None, k: int) -> list[tuple[int, int]]:
-        """(distance, id) of the k nearest, own id left out."""
-        near = []
-        for j, (distinct, _, _) in enumerate(self.tables):
-            d = np.bitwise_count(distinct ^ ((code >> np.uint64(WIDTH * j)) & np.uint64((1 << WIDTH) - 1)))
-            order = np.argsort(d, kind="stable")
-            near.append((order, np.searchsorted(d[order], np.arange(WIDTH + 2))))
-        seen = np.zeros(len(self.codes), bool)
-        at, distance = [], []
-        for r in range(SEGMENTS * (WIDTH + 1)):
-            j, s = r % SEGMENTS, r // SEGMENTS
-            order, bounds = near[j]
-            _, first, places = self.tables[j]
-            buckets = order[bounds[s] : bounds[s + 1]]
-            if len(buckets):
-                found = np.concatenate([places[first[b] : first[b + 1]] for b in buckets.tolist()])
-                found = found[~seen[found]]
-                seen[found] = True
-                at.append(found)
-                distance.append(np.bitwise_count(self.codes[found] ^ code))
-            if at:
-                a, d = np.concatenate(at), np.concatenate(distance)
-                at, distance = [a], [d]
-                within = a[d <= r]
-                if len(within) > k or sum(len(self.ids[x]) for x in within.tolist()) > k or len(a) == len(self.codes):
-                    break
-        if not at:
-            return []
-        a, d = np.concatenate(at), np.concatenate(distance)
-        if len(a) > k + 1:  # all ties of the (k + 1)-th distance stay
-            cut = np.partition(d, k)[k]
-            a, d = a[d <= cut], d[d <= cut]
-        return sorted((int(n), i) for x, n in zip(a.tolist(), d.tolist()) for i in self.ids[x] if i != own)[:k]
-
-
-def search(vectors: DataFrame, k: int = 10, every: int = 20, shard_rows: int = 1 << 18, block_rows: int = 1 << 12) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bits_of(batch.column(1), seed, planes).view(np.int64))], names=["id", "code"])
+
+    return vectors.select("id", "vector").where("id is not null and size(vector) > 0").mapInArrow(run, PROJECT)
+
+
+def segments(entries: int, most: int = 8) -> list[tuple[int, int]]:
+    """(shift, width) of each segment."""
+    m = min(most, max(1, round(64 / log2(max(entries, 2)))))
+    cuts = [64 * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def part(code, shift: int, width: int):
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+
+
+def parts(code, cuts: list[tuple[int, int]]):
+    return F.array(*(part(code, *c) for c in cuts))
+
+
+def masks(spark, cuts: list[tuple[int, int]], s: int) -> DataFrame:
+    """(segment, mask): the ways to differ in s bits."""
+    by = {w: np.array([sum(1 << b for b in c) for c in combinations(range(w), s)], np.uint64).view(np.int64) for w in {w for _, w in cuts}}
+    each = [by[w] for _, w in cuts]
+    return spark.createDataFrame(pa.table({"segment": np.repeat(np.arange(len(cuts), dtype=np.int32), [len(x) for x in each]), "mask": np.concatenate(each)}))
+
+
+def best_of(found: DataFrame, want: int) -> DataFrame:
+    """found: (asked, distance, neighbor_id).  The first ``want`` of each search, cut in each task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy("distance", "neighbor_id"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= want).drop("_rank")
+
+
+def read_all(asked: DataFrame, entries: DataFrame, want: int, block: int) -> DataFrame:
+    """The first ``want`` of each asked code by reading all entries, ``block`` codes at a time."""
+    spark, out = asked.sparkSession, None
+    n = max(1, -(-asked.count() // block))
+    for b in range(n):
+        some = asked.where(F.pmod(F.xxhash64("asked"), F.lit(n)) == b).select("asked").toArrow().column(0).to_numpy().view(np.uint64)  # about ``block`` codes
+        shared = spark.sparkContext.broadcast(some)
+
+        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held: list[list[tuple[int, int]]] = [[] for _ in shared.value]
+            for batch in rows:
+                code, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
+                for n, q in enumerate(shared.value):
+                    d = np.bitwise_count(code ^ q)
+                    near = np.flatnonzero(d <= np.partition(d, want - 1)[want - 1]) if len(d) > want else np.arange(len(d))
+                    if len(held[n]) >= want:
+                        near = near[d[near] <= held[n][-1][0]]
+                    if len(near):
+                        held[n] = sorted(held[n] + [(int(d[x]), i) for x in near.tolist() for i in ids[x]])[:want]
+            for n, q in enumerate(shared.value.view(np.int64).tolist()):
+                if held[n]:
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(held[n])), pa.array([x for x, _ in held[n]], pa.int32()), pa.array([i for _, i in held[n]], pa.int64())], names=["asked", "distance", "neighbor_id"])
+
+        part_ = best_of(entries.select("code", "ids").mapInArrow(run, "asked long, distance int, neighbor_id long"), want)
+        out = part_ if out is None else out.union(part_)
+    return out
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 20, block: int = 1 << 12, most_segments: int = 8) -> DataFrame:
     """vectors: (id, vector).  (id, rank, neighbor_id, distance) for each id divisible by ``every``."""
-    coded = checkpointed(codes(vectors))
+    spark = vectors.sparkSession
+    coded = checkpointed(codes(vectors).distinct())
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    entries = coded.distinct().withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = checkpointed(entries)
-    queries = coded.where(F.col("id") % every == 0).distinct()
-    n_shards = max(1, -(-entries.count() // shard_rows))
-    n_blocks = max(1, -(-queries.count() // block_rows))
-    shard, block = F.pmod(F.xxhash64("code"), F.lit(n_shards).cast("long")), F.pmod(F.xxhash64("id"), F.lit(n_blocks).cast("long"))
-    index = entries.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    asked = queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
-    schema = pa.schema([("id", pa.int64()), ("code", pa.int64()), ("near", pa.list_(pa.struct([("distance", pa.int32()), ("neighbor_id", pa.int64())])))])
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        held = Shard(left.column("code").to_numpy().view(np.uint64), left.column("ids").to_pylist())
-        ids, asked_codes = right.column("id").to_pylist(), right.column("code").to_numpy()
-        found = [[{"distance": d, "neighbor_id": i} for d, i in held.search(c, own, k)] for own, c in zip(ids, asked_codes.view(np.uint64))]
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(asked_codes), pa.array(found, schema.field("near").type)], schema=schema)
-
-    local = index.select("shard", "block", "code", "ids").groupBy("shard", "block").cogroup(asked.select("shard", "block", "id", "code").groupBy("shard", "block")).applyInArrow(run, "id long, code long, near array<struct<distance:int,neighbor_id:long>>")
-    # one row of k for each shard and query
-    best = local.groupBy("id", "code").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return best.select("id", F.posexplode("near").alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.distance").alias("distance"))
+    entries = checkpointed(coded.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    own = coded.groupBy("id").count().agg(F.max("count")).first()[0] or 1  # how many codes an id has, one as a rule: so many places its own may take
+    want, total = k + own, entries.count()
+    cuts = segments(total, most_segments)
+    m = len(cuts)
+    index = checkpointed(entries.select("code", "ids", F.posexplode(parts(F.col("code"), cuts)).alias("segment", "value")))
+    queries = coded.where(F.col("id") % every == 0)
+    open_ = checkpointed(queries.select(F.col("code").alias("asked")).distinct().withColumn("bound", F.lit(64)))
+    found, done, s = None, [], 0
+    while s <= max(w for _, w in cuts) and sum(comb(w, s) for _, w in cuts) <= total and not open_.isEmpty():
+        probes = open_.select("asked", "bound", F.posexplode(parts(F.col("asked"), cuts)).alias("segment", "own")).join(masks(spark, cuts, s), "segment")
+        met = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).join(index, ["segment", "value"])
+        apart = F.col("asked").bitwiseXOR(F.col("code"))
+        first = None  # no earlier probe of this or a former round finds the pair
+        for j, c in enumerate(cuts):
+            other = F.bit_count(part(apart, *c))
+            test = F.when(F.col("segment") > j, other > s).when(F.col("segment") < j, other >= s).otherwise(True)
+            first = test if first is None else first & test
+        met = met.withColumn("distance", F.bit_count(apart)).where(first & (F.col("distance") <= F.col("bound"))).select("asked", "distance", F.explode("ids").alias("neighbor_id"))
+        if found is not None:
+            met = met.unionByName(found.join(open_.select("asked"), "asked", "left_semi"))
+        found = checkpointed(best_of(met, want))
+        state = found.groupBy("asked").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        sure = (F.col("n") == want) & (F.col("last") <= m * (s + 1) - 1)
+        state = open_.select("asked").join(state, "asked", "left")
+        done.append(found.join(state.where(sure).select("asked"), "asked", "left_semi"))
+        open_ = checkpointed(state.where(~F.coalesce(sure, F.lit(False))).select("asked", F.when(F.col("n") == want, F.col("last")).otherwise(64).alias("bound")))
+        s += 1
+    if not open_.isEmpty():
+        done.append(read_all(open_, entries, want, block))
+    if not done:
+        return spark.createDataFrame([], "id long, rank int, neighbor_id long, distance int")
+    near = done[0]
+    for more in done[1:]:
+        near = near.unionByName(more)
+    near = near.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))  # ``want`` at most
+    each = queries.join(near, F.col("code") == F.col("asked"))
+    others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k)
+    return each.select("id", F.posexplode(others).alias("rank", "n")).select("id", (F.col("rank") + 1).alias("rank"), F.col("n.neighbor_id").alias("neighbor_id"), F.col("n.distance").alias("distance"))
 
 
 def op3_topk(spark, sf_dir: str) -> DataFrame:

@@ -7,18 +7,18 @@ from quern.llm import topk
 
 
 def code(v):
-    return int(np.packbits(np.pad(np.array([x if x is not None else 0 for x in v]) > 0, (0, 64 - len(v))), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(np.pad(np.nan_to_num([x if x is not None else 0 for x in v]) > 0, (0, 64 - len(v))), bitorder="little").view(np.uint64)[0])
 
 
-@pytest.mark.parametrize("shard_rows, block_rows", [(1 << 18, 1 << 12), (30, 4)])
-def test_search_is_exact(spark, shard_rows, block_rows):
+@pytest.mark.parametrize("most_segments, block", [(8, 1 << 12), (8, 3), (40, 5)])
+def test_search_is_exact(spark, most_segments, block):
     r = np.random.default_rng(1)
     base = r.standard_normal((20, 64))
     rows = [(n, [float(x) for x in base[n % 20] + r.standard_normal(64) * (0.3 if n % 3 else 2)]) for n in range(200)]
-    rows += [(1000 + n, rows[0][1]) for n in range(60)] + [(2000, None), (2020, []), (None, rows[1][1]), (2040, [None, 1.0]), (0, rows[0][1])]
+    rows += [(1000 + n, rows[0][1]) for n in range(60)] + [(2000, None), (2020, []), (None, rows[1][1]), (2040, [None, 1.0]), (0, rows[0][1]), (2060, [float("nan"), -1.0] * 20)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "id long, vector array<double>, code int")
     got = {}
-    for x in topk.search(df, 7, 20, shard_rows, block_rows).collect():
+    for x in topk.search(df, 7, 20, block, most_segments).collect():
         got.setdefault(x["id"], []).append((x["rank"], x["distance"], x["neighbor_id"]))
     known = {i: code(v) for i, v in rows if i is not None and v}
     for q in [i for i in known if i % 20 == 0]:
