@@ -11,35 +11,42 @@ labelled documents: for each language the ``per_language`` documents with the
 smallest hash of their id, of at most ``max_chars`` characters each.  Language,
 source and id play no part in a prediction.
 
-A text's words (runs of letters, lower-cased, with the word mark U+2581 in
-front) are scored independently under each language; the posterior with a
-uniform prior over the languages gives ``lang_pred`` (ties: the first in sorted
-order) and ``score``, its probability.  A character that no piece covers has
-one fixed probability in every language.
+A text's words (runs of letters with their marks, lower-cased, with the word
+mark U+2581 in front) are scored independently under each language; the posterior
+with a uniform prior over the languages gives ``lang_pred`` (ties: the first in
+sorted order) and ``score``, its probability.  A character that no piece covers
+has one fixed probability in every language.  The passes are rescaled every
+STEP characters, so words of any length are scored whole.
+
+``keep`` also asks for evidence that a posterior among the learned languages
+can't give: the text's log probability for each character, under its language,
+must not lie more than ``margin`` below that of the ``quantile`` of the
+training sample's own texts, as that of an unlearned language or of random
+letters does.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  If nothing
-labelled can be learned from, every text is ``und``.  Very long words are
-scored in runs of ``RUN`` characters.  Each row gives one row; repeated and null
-ids are kept; an empty table gives no rows; other columns are ignored.
+labelled can be learned from, every text is ``und``.  Of sampled rows that share
+language and id, the least text is learned from.  Each row gives one row;
+repeated and null ids are kept; ids are whole numbers; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, held_out, keep_rows, pieces_of, table, texts
+from .common import TOKENIZERS, held_out, keep_rows, least_hashed, pieces_of, table, texts
 
 MARK = "▁"
-LONGEST = 16  # characters of the longest piece looked up
-RUN = 64
-LETTERS = re.compile(r"[^\W\d_]+")
+STEP = 16  # characters between two rescalings
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 REMEMBERED = 500_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -48,27 +55,28 @@ def indexed(pieces: list[str]) -> dict[str, int]:
     """Piece to its number; -1 for what only begins a piece."""
     index: dict[str, int] = {}
     for p in pieces:
-        for k in range(1, min(len(p), LONGEST)):
+        for k in range(1, len(p)):
             index[p[:k]] = -1
     return index | {p: k for k, p in enumerate(pieces)}
 
 
-def edges(words: list[str], index: dict[str, int], unknown: int) -> dict[tuple[int, int], np.ndarray]:
-    """For words of one length n: (i, j) to the piece number of characters i to j in each word, -1 if it is none.
+def edges(words: list[str], index: dict[str, int], unknown: int) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """For words of one length: by end j, each start i with the piece number of characters i to j in each word, -1 if it is none.
 
     A character that isn't a piece gets the number ``unknown``.  A word is looked
     at no further from i once its characters begin no piece.
     """
-    n, get, out = len(words[0]), index.get, {}
+    n, get = len(words[0]), index.get
+    out: dict[int, list[tuple[int, np.ndarray]]] = {j: [] for j in range(1, n + 1)}
     for i in range(n):
         left, at = words, np.arange(len(words))
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
+        for j in range(i + 1, n + 1):
             found = np.fromiter([get(w[i:j], -2) for w in left], np.int32, len(left))
             goes_on = found > -2
             ids = np.full(len(words), -1, np.int32)
             ids[at] = np.where(found < 0, unknown if j == i + 1 else -1, found)
             if (ids >= 0).any():
-                out[i, j] = ids
+                out[j].append((i, ids))
             if not goes_on.all():
                 at = at[goes_on]
                 left = [w for w, g in zip(left, goes_on.tolist()) if g]
@@ -77,14 +85,38 @@ def edges(words: list[str], index: dict[str, int], unknown: int) -> dict[tuple[i
     return out
 
 
+def passes(found: dict[int, list[tuple[int, np.ndarray]]], p: np.ndarray, rows: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """a(0..n) and their log scales, of shape (n + 1, rows, *p's columns): true values are a exp(scale).
+
+    p: probabilities by piece number, the last (-1) zero.  Backwards, the sums over what follows each place.
+    """
+    n = len(found)
+    a, scale = np.zeros((n + 1, rows, *p.shape[1:])), np.zeros((n + 1, rows, *p.shape[1:]))
+    if backwards:
+        back: dict[int, list[tuple[int, np.ndarray]]] = {i: [] for i in range(n)}
+        for j, some in found.items():
+            for i, ids in some:
+                back[i].append((j, ids))
+        order, into = range(n - 1, -1, -1), back
+        a[n] = 1
+    else:
+        order, into = range(1, n + 1), found
+        a[0] = 1
+    s = np.zeros((rows, *p.shape[1:]))
+    for step, j in enumerate(order, 1):
+        for i, ids in into[j]:
+            a[j] += a[i] * p[ids] if n <= STEP else a[i] * np.exp(scale[i] - s) * p[ids]
+        scale[j] = s
+        if step % STEP == 0:
+            s = s + np.log(a[j])
+            a[j], scale[j] = 1, s
+    return a, scale
+
+
 def forward(words: list[str], index: dict[str, int], table: np.ndarray) -> np.ndarray:
     """log P of words of one length under each language.  table: languages in columns; its last rows: unknown, none (0)."""
-    n, unknown = len(words[0]), len(table) - 2
-    a = np.zeros((n + 1, len(words), table.shape[1]))
-    a[0] = 1
-    for (i, j), ids in sorted(edges(words, index, unknown).items(), key=lambda e: e[0][1]):
-        a[j] += a[i] * table[ids]  # -1 is the row of zeros
-    return np.log(np.maximum(a[n], 1e-300))
+    a, scale = passes(edges(words, index, len(table) - 2), table, len(words))
+    return np.log(a[-1]) + scale[-1]
 
 
 def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
@@ -95,22 +127,18 @@ def by_length(words: list[str]) -> Iterator[tuple[int, list[int]]]:
 
 
 def word_scores(words: list[str], index: dict[str, int], table: np.ndarray) -> np.ndarray:
-    """log P of each word (with its mark, of at most RUN characters) under each language."""
+    """log P of each word (with its mark) under each language."""
     out = np.zeros((len(words), table.shape[1]))
     for n, at in by_length(words):
-        for k in range(0, len(at), 20_000):
-            some = at[k : k + 20_000]
+        size = max(1, 1_000_000 // (n * table.shape[1]))  # bounds the arrays of a pass
+        for k in range(0, len(at), size):
+            some = at[k : k + size]
             out[some] = forward([words[x] for x in some], index, table)
     return out
 
 
-def runs_of(word: str) -> list[str]:
-    w = MARK + word
-    return [w] if len(w) <= RUN else [w[k : k + RUN] for k in range(0, len(w), RUN)]
-
-
 def split_words(text: str) -> list[str]:
-    return [r for w in LETTERS.findall(text.lower()) for r in runs_of(w)]
+    return [MARK + w for w in LETTERS.findall(text.lower())]
 
 
 class Memory:
@@ -128,10 +156,7 @@ class Memory:
         start = len(self.known)
         while len(self.scores) < start + len(new):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        runs = [runs_of(w) for w in new]
-        values = word_scores([r for x in runs for r in x], self.model.index, self.model.table)
-        first = np.concatenate([[0], np.cumsum([len(x) for x in runs])[:-1]])
-        self.scores[start : start + len(new)] = np.add.reduceat(values, first, axis=0)
+        self.scores[start : start + len(new)] = word_scores(new, self.model.index, self.model.table)
         self.known.update(zip(new, range(start, start + len(new))))
 
     def total(self, words: list[str]) -> np.ndarray:
@@ -139,8 +164,11 @@ class Memory:
 
 
 class Model:
+    """usual: the log probability for each character that nearly all sampled texts of a language reach."""
+
     def __init__(self, langs: list[str], pieces: list[str], probabilities: np.ndarray):
         self.langs, self.index, self.table = langs, indexed(pieces), probabilities
+        self.usual = -np.inf
 
     @property
     def memory(self) -> Memory:
@@ -167,17 +195,11 @@ def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = 3, alpha:
         for _ in range(rounds):
             expected = np.zeros(len(pieces) + 2)
             for n, c, found in groups:
-                order = sorted(found, key=lambda e: e[1])
-                a, b = np.zeros((n + 1, len(c))), np.zeros((n + 1, len(c)))
-                a[0] = b[n] = 1
-                for i, j in order:
-                    a[j] += a[i] * p[found[i, j]]
-                for i, j in sorted(found, key=lambda e: -e[0]):
-                    b[i] += b[j] * p[found[i, j]]
-                whole = np.maximum(a[n], 1e-300)
-                for i, j in order:
-                    ids = found[i, j]
-                    expected += np.bincount(ids % len(expected), a[i] * p[ids] * b[j] / whole * c, len(expected))
+                (a, up), (b, down) = passes(found, p, len(c)), passes(found, p, len(c), True)
+                whole = np.log(a[n]) + up[n]
+                for j, some in found.items():
+                    for i, ids in some:
+                        expected += np.bincount(ids % len(expected), a[i] * p[ids] * b[j] * np.exp(up[i] + down[j] - whole) * c, len(expected))
             expected[-1] = 0
             p = expected + alpha
             p[-1] = 0
@@ -187,46 +209,52 @@ def fit(samples: dict[str, Counter], pieces: list[str], rounds: int = 3, alpha:
     return Model(langs, pieces, probabilities)
 
 
-def sample(docs: DataFrame, learn, per_language: int, max_chars: int) -> dict[str, Counter]:
-    """Word counts of the bounded sample, by language."""
+def sample(docs: DataFrame, learn, per_language: int, max_chars: int) -> list[tuple[str, str]]:
+    """(lang, text) of the bounded sample."""
     rows = docs.select("doc_id", "text", "lang").where(learn).where("doc_id is not null and lang is not null and text is not null").where(F.length("text") <= max_chars)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)  # cut in each task before the shuffle
-    ids = [(r["lang"], r["doc_id"]) for r in chosen.select("lang", "doc_id").collect()]  # at most per_language for each language
-    wanted = {i for _, i in ids}
-    out: dict[str, Counter] = {}
-    if wanted:
-        left: Counter = Counter(ids)
-        for r in rows.where(F.col("doc_id").isin(sorted(wanted))).collect():
-            if left[r["lang"], r["doc_id"]] > 0:
-                left[r["lang"], r["doc_id"]] -= 1
-                out.setdefault(r["lang"], Counter()).update(split_words(r["text"]))
-    return {k: v for k, v in out.items() if v}
-
-
-def train(docs: DataFrame, learn, vocabulary: str, per_language: int = 150, max_chars: int = 20_000) -> Model:
-    """docs: (doc_id, text, lang).  Fit on a sample of at most per_language documents of a language where ``learn`` holds."""
-    return fit(sample(docs, learn, per_language, max_chars), [p for p, _, _ in pieces_of(vocabulary)])
+    ids = least_hashed(rows.select("lang", "doc_id"), "lang", lambda _: per_language)  # at most per_language for each language
+    if not ids:
+        return []
+    found = rows.where(F.col("doc_id").isin(sorted({i for _, i in ids}))).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    wanted = set(ids)
+    return sorted((r["lang"], r["text"]) for r in found if (r["lang"], r["doc_id"]) in wanted)
 
 
-def verdicts(model: Model, bodies: list[bytes]) -> tuple[list[str], list[float]]:
-    """The language and score of each text."""
-    lang, score = [], []
+def train(docs: DataFrame, learn, vocabulary: str, per_language: int = 150, max_chars: int = 20_000, quantile: float = 0.01) -> Model:
+    """docs: (doc_id, text, lang).  Fit on a sample of at most per_language documents of a language where ``learn`` holds."""
+    words: dict[str, list[list[str]]] = {}
+    for lang, text in sample(docs, learn, per_language, max_chars):
+        words.setdefault(lang, []).append(split_words(text))
+    some = {lang: Counter(w for ws in texts_ for w in ws) for lang, texts_ in words.items() if any(texts_)}
+    model = fit(some, [p for p, _, _ in pieces_of(vocabulary)])
+    rates = []
+    for column, lang in enumerate(model.langs):
+        model.memory.learn(set(some[lang]))
+        rates += [model.memory.total(ws)[column] / sum(map(len, ws)) for ws in words[lang] if ws]
+    model.usual = float(np.quantile(rates, quantile)) if rates else -np.inf
+    return model
+
+
+def verdicts(model: Model, bodies: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """The language and score of each text, and its log probability for each character."""
+    lang, score, rate = [], [], []
     for k in range(0, len(bodies), 256):
-        some = [LETTERS.findall(b.decode("utf-8", "replace").lower()) for b in bodies[k : k + 256]]
+        some = [split_words(b.decode("utf-8", "replace")) for b in bodies[k : k + 256]]
         if model.langs:
             model.memory.learn({w for ws in some for w in ws})
         for ws in some:
             if not ws or not model.langs:
                 lang.append("und")
                 score.append(0.0)
+                rate.append(-np.inf)
                 continue
             total = model.memory.total(ws)
             odds = np.exp(total - total.max())
             best = int(odds.argmax())
             lang.append(model.langs[best])
             score.append(float(odds[best] / odds.sum()))
-    return lang, score
+            rate.append(float(total[best]) / sum(map(len, ws)))
+    return lang, score, rate
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -235,20 +263,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            lang, score = verdicts(shared.value, texts(batch.column(2)))
+            lang, score, _ = verdicts(shared.value, texts(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=SCHEMA)
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, model: Model, least: float = 0.5, langs: frozenset[str] | None = None) -> DataFrame:
-    """The rows whose language is identified with a score of ``least``, and is one of ``langs`` where these are given."""
+def keep(docs: DataFrame, model: Model, least: float = 0.5, langs: frozenset[str] | None = None, margin: float = 2.0) -> DataFrame:
+    """The rows whose language is identified with a score of ``least``, is one of ``langs`` where these are given, and fits the text (see above)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge():
         def mask(bodies: list[bytes]) -> np.ndarray:
-            lang, score = verdicts(shared.value, bodies)
-            return np.array([x != "und" and s >= least and (langs is None or x in langs) for x, s in zip(lang, score)], bool)
+            fits = [x != "und" and s >= least and r >= shared.value.usual - margin and (langs is None or x in langs) for x, s, r in zip(*verdicts(shared.value, bodies))]
+            return np.array(fits, bool)
 
         return mask
 

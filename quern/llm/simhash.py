@@ -23,7 +23,8 @@ isn't gathered in a task.  Each round is cut off by a reliable checkpoint.
 
 Null and empty texts have fingerprint zero and link like any other.  Repeated
 rows are rows of one component; null ids stay in the result but are nobody's
-component_id; an empty table gives no rows; other columns are ignored.
+component_id; texts of any length are read whole; ids are whole numbers; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, table, texts, words
+from .common import checkpointed, partitions, table, texts, words
 
 #: Generator polynomial of the binary Golay code of length 23, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY, LENGTH, RADIUS = 0b110001110101, 23, 3
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = np.arange(8) * 256
+PER_TASK = 50_000  # distinct fingerprints
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -139,8 +141,11 @@ def links(distinct: DataFrame, t: int = 2) -> DataFrame:
 
         return run
 
-    home = distinct.select("fp").mapInArrow(spread(True), "anchor long, fp long").withColumnRenamed("fp", "a")
-    near = distinct.select("fp").mapInArrow(spread(False), "anchor long, fp long").withColumnRenamed("fp", "b")
+    # dealt out by number before replicas are made, and sized so that a task's homes fit in its hash table
+    tasks = max(partitions(distinct.sparkSession), -(-distinct.count() // PER_TASK))
+    dealt = distinct.select("fp").repartition(tasks, "fp")
+    home = dealt.mapInArrow(spread(True), "anchor long, fp long").withColumnRenamed("fp", "a").repartition(tasks, "anchor")
+    near = dealt.mapInArrow(spread(False), "anchor long, fp long").withColumnRenamed("fp", "b").repartition(tasks, "anchor")
     return near.join(home.hint("shuffle_hash"), "anchor").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t).select("a", "b")
 
 
@@ -202,7 +207,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame, t: int = 2) -> DataFrame:
     """prints: (doc_id, fp).  (fp, root, component_id) for each distinct fingerprint; the root names the component."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = checkpointed(links(distinct, t))
     root = distinct.join(components(found), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     joined = root.where("fp != root").groupBy("root").agg(F.min("least").alias("m"))

@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A text is cut into words (white space; A-Z lower-cased, ASCII punctuation taken
-out).  A word's input is its own vector, if the training sample holds the word
+out).  A word of over RUN bytes is read as runs of so many bytes, each a position
+of its own, so that a text without spaces has windows too.  A word's input is its own vector, if the training sample holds the word
 often enough, beside the mean of vectors of its hashed character trigrams, so
 that unseen inflections of a seen word are near it.  Two gated recurrent layers
 read a window of ``WIDTH`` words forwards and backwards; attention weighs their
@@ -10,8 +11,8 @@ words, so neighbours overlap, and all windows of a text are scored: the text's
 score is the logistic of the largest logit.
 
 Training (backpropagation through time, Adam) runs on the driver over a bounded
-sample: for each class the labelled documents with the smallest hash of their
-id, at most ``per_class`` toxic and twice as many others, of at most
+sample: for each class the labelled documents with the least hash of their id
+(cut by a bound on the hash before any shuffle), at most ``per_class`` toxic and twice as many others, of at most
 ``max_chars`` characters each.  Windows of a toxic text first all count as
 toxic, and later only those that the network itself ranks in the text's upper
 half.  Only the text enters a score.
@@ -19,8 +20,8 @@ half.  Only the text enters a score.
 Null and empty texts score 0.  Without labelled examples of both classes every
 text scores 0.  Texts of any length are scored whole.  Repeated labels of one id
 count once, as toxic if any says so; null labels and ids aren't learned from.
-Each row gives one row, null ids stay null, an empty table gives no rows, other
-columns are ignored.
+Each row gives one row, null ids stay null (ids are whole numbers), an empty
+table gives no rows, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, table, texts
+from .common import held_out, keep_rows, least_hashed, table, texts
 
 WIDTH, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
@@ -43,15 +44,19 @@ BUCKETS = 1 << 13
 VOCABULARY = 20_000
 REMEMBERED = 300_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+RUN = 64
 _PUNCTUATION = string.punctuation.encode()
 
 
 def split_words(text: bytes) -> list[bytes]:
-    return text.lower().translate(None, _PUNCTUATION).split()
+    words = text.lower().translate(None, _PUNCTUATION).split()
+    if max(map(len, words), default=0) <= RUN:
+        return words
+    return [w[k : k + RUN] for w in words for k in range(0, len(w), RUN)]
 
 
 def trigrams(word: bytes) -> list[int]:
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     return [zlib.crc32(w[k : k + 3]) % BUCKETS for k in range(max(1, len(w) - 2))]
 
 
@@ -270,13 +275,11 @@ def parting(toxic: np.ndarray, clean: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, learn, per_class: int = 300, max_chars: int = 20_000) -> Network | None:
     """docs: (doc_id, text); labels: (doc_id, toxic).  None without examples of both classes."""
     known = labels.where("doc_id is not null and toxic is not null").where(learn).groupBy("doc_id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(first)).where(F.col("k") <= F.when(F.col("toxic") == 1, per_class).otherwise(2 * per_class)).where(f"k <= {2 * per_class}")
-    toxic = {r["doc_id"]: r["toxic"] for r in chosen.select("doc_id", "toxic").collect()}  # at most three times per_class
+    toxic = {i: y for y, i in least_hashed(known, "toxic", lambda y: per_class if y else 2 * per_class)}  # at most three times per_class
     if len(set(toxic.values())) < 2:
         return None
-    rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(sorted(toxic))).where(F.length("text") <= max_chars).collect()
-    found = sorted({(r["doc_id"], r["text"].encode()) for r in rows})
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isin(sorted(toxic))).where(F.length("text") <= max_chars).groupBy("doc_id").agg(F.min("text").alias("text")).collect()  # of repeated ids, the least text
+    found = sorted((r["doc_id"], r["text"].encode()) for r in rows)
     by = [[t for i, t in found if toxic[i] == k] for k in (1, 0)]
     return fit(*by) if all(by) else None
 

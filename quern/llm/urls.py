@@ -16,11 +16,14 @@ url's path starts with the rule's; the longest fitting rule wins and overrules
 the reputation.
 
 A null url or one without "://" has an empty host and path, no rule, and the
-reputation of the empty host.  Repeated pages each count; an empty labels table
-leaves the wide prior, which allows; a null or unmatched label id is no outcome;
-other columns are ignored.  Hosts are aggregated before any shuffle of pages,
-so a hot host moves as one row for each task; the join back to pages is split
-by adaptive skew handling.
+reputation of the empty host.  Urls of any length are judged whole.  Of rules of
+one length that fit, the first by (host, path, verdict) wins.  Repeated pages
+each count and each give a row; an empty labels table leaves the wide prior,
+which allows; a null or unmatched label id is no outcome; an id with several
+labels has as many outcomes; other columns are ignored.  Hosts are aggregated
+before any shuffle of pages, so a hot host moves as one row for each task, and
+written once; the levels above are aggregated from that table.  The join back to
+pages is split by adaptive skew handling.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed, table
+
 #: Fixed rules of the query: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Public suffixes of two labels; a parameter.
@@ -118,15 +123,13 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: fl
     pages = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.count("*").alias("n"), F.sum("bad").alias("x"))
     hosts = pages.join(seen, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("x"), F.lit(0)).alias("x"))
-    judged = reputation(hosts, threshold, z).select("host", "reputation")
+    judged = reputation(checkpointed(hosts), threshold, z).select("host", "reputation")
     rule = ruled(F.col("host"), F.col("path"), rules)
     return pages.join(judged, "host", "left").withColumn("r", rule).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.col("reputation")).alias("verdict"))
 
 
 def op10_urls(spark, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the document with its id: bad if its quality is 0."""
-    from .common import table
-
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
