@@ -1,45 +1,50 @@
 """Benchmark decontamination by greedy string tiling.
 
 Tokens are white-space words with A-Z lower-cased and ASCII punctuation taken
-out.  A document is compared with a benchmark item if they share a seed: a run
-of ``seed`` equal tokens (an item shorter than that is a seed as a whole).  For
-such a pair, greedy string tiling covers the item with tiles: search length by
-search length, from the longest down, Karp-Rabin hashes of the item's unmarked
-runs are looked up in the document's unmarked runs; equal runs are compared
-token by token, stretched as far as they stay equal and unmarked, and marked in
-both, longest first.  A tile never overlaps another, and tiles may come in any
-order, so a reordered passage is covered like one in order.  The pair is
-contaminated if the tiles, each of at least ``seed`` tokens, cover at least
-``threshold`` of the item's tokens.
-
-The benchmark goes to the workers in blocks of at most ``block_tokens`` tokens:
-one block as a rule, one pass over the documents for each.  Documents aren't
-shuffled; a long document only needs the seeds found in it.
-
-Null and empty texts, and items without tokens, match nothing.  Repeated rows
-give repeated rows; an item id that comes twice is two items; null ids stay
-null; an empty table gives no rows; other columns are ignored.
+out, known by 63 bits of their XXH64.  A document is compared with a benchmark
+item if they share a seed: a run of ``seed`` equal tokens (an item shorter than
+that is a seed as a whole).  Documents and items meet in a join on the seeds'
+hashes.  Before it, a Bloom filter of all seeds, of a size between two fixed
+bounds, is broadcast, so that only documents with seeds that are likely the
+benchmark's leave their partition, and each only with these; the join is exact.
+
+For a pair that shares a seed, greedy string tiling covers the item with tiles:
+search length by search length, from the longest down, Karp-Rabin hashes of the
+item's unmarked runs are looked up in the document's unmarked runs; equal runs
+are compared token by token and marked in both, the item's first with the
+document's first that is still unmarked.  A tile never overlaps another, and
+tiles may come in any order, so a reordered passage is covered like one in
+order.  The pair is contaminated if the tiles, each of at least ``seed`` tokens,
+cover at least ``threshold`` of the item's tokens.
+
+Null and empty texts, and items without tokens, match nothing.  Texts of any
+length are read whole.  Repeated rows give repeated rows; an item id that comes
+twice is two items; null ids stay null (ids are whole numbers); an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import keep_rows, table, texts
+from .common import checkpointed, keep_rows, mix, table, texts
 
 _PUNCTUATION = string.punctuation.encode()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPREAD = np.uint64(0xBF58476D1CE4E5B9)
 _POWERS = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+LEAST_BITS, MOST_BITS, PROBES = 22, 27, 6  # the seeds' filter: powers of two of its bits
+REMEMBERED = 300_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched", pa.int64()), ("item_tokens", pa.int64()), ("tiles", pa.int64()), ("coverage", pa.float64())])
-DDL = "doc_id long, item_id long, matched long, item_tokens long, tiles long, coverage double"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -68,18 +73,10 @@ def rolling(ids: np.ndarray, width: int, at: np.ndarray | None = None) -> np.nda
         return (prefix[at + width] - prefix[at]) * down[at]
 
 
-def common(item: np.ndarray, free_item: np.ndarray, doc: np.ndarray, free_doc: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """(start in item, start in doc) of the equal unmarked runs of one length."""
-    if len(item) < width or len(doc) < width:
-        return []
-    gone_i, gone_d = np.concatenate([[0], np.cumsum(~free_item)]), np.concatenate([[0], np.cumsum(~free_doc)])
-    at_i, at_d = np.flatnonzero(gone_i[width:] == gone_i[:-width]), np.flatnonzero(gone_d[width:] == gone_d[:-width])
-    hi, hd = rolling(item, width, at_i), rolling(doc, width, at_d)
-    met = np.isin(hd, hi)
-    places: dict[int, list[int]] = {}
-    for d, h in zip(at_d[met].tolist(), hd[met].tolist()):
-        places.setdefault(h, []).append(d)
-    return [(i, d) for i, h in zip(at_i.tolist(), hi.tolist()) for d in places.get(h, ()) if np.array_equal(item[i : i + width], doc[d : d + width])] if places else []
+def free_runs(marked: bytearray, width: int) -> np.ndarray:
+    """Starts of the unmarked runs of one length."""
+    gone = np.concatenate([[0], np.cumsum(np.frombuffer(marked, np.uint8))])
+    return np.flatnonzero(gone[width:] == gone[:-width]) if len(marked) >= width else np.zeros(0, np.int64)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -89,119 +86,204 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     runs of a length are shared, runs of any smaller length are too, so the
     longest shared length is found by halving.
     """
-    free_item, free_doc = np.ones(len(item), bool), doc >= 0
+    in_item, in_doc = bytearray(len(item)), bytearray((doc < 0).astype(np.uint8).tobytes())
     tiles: list[tuple[int, int, int]] = []
+
+    def runs(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes in the item, and in the document those that the item has too."""
+        i, d = free_runs(in_item, width), free_runs(in_doc, width)
+        if not len(i) or not len(d):
+            return i[:0], i[:0], d[:0], d[:0]
+        hi, hd = rolling(item, width, i), rolling(doc, width, d)
+        met = np.isin(hd, hi)
+        return i, hi, d[met], hd[met]
+
+    def mark(width: int) -> bool:
+        i, hi, d, hd = runs(width)
+        places: dict[int, list[int]] = {}
+        for at, h in zip(d[::-1].tolist(), hd[::-1].tolist()):
+            places.setdefault(h, []).append(at)  # the first place last, as places are taken off the end
+        if places:
+            for at, h in zip(i.tolist(), hi.tolist()):
+                left = places.get(h)
+                if not left or in_item.find(1, at, at + width) >= 0:
+                    continue
+                while left:  # a place that is marked, or taken, is never free again
+                    other = left.pop()
+                    if in_doc.find(1, other, other + width) < 0 and np.array_equal(item[at : at + width], doc[other : other + width]):
+                        in_item[at : at + width] = in_doc[other : other + width] = b"\1" * width
+                        tiles.append((at, other, width))
+                        break
+        return bool(places)
+
     width = len(item)
     while width >= least:
-        found = common(item, free_item, doc, free_doc, width)
-        if not found:
+        if not mark(width):
             low, high = least - 1, width  # shared at low (or below the least), not at high
             while high - low > 1:
                 middle = (low + high) // 2
-                if common(item, free_item, doc, free_doc, middle):
-                    low = middle
-                else:
-                    high = middle
+                low, high = (middle, high) if len(runs(middle)[2]) else (low, middle)
             if low < least:
                 break
             width = low
-            found = common(item, free_item, doc, free_doc, width)
-        for i, d in found:
-            if free_item[i : i + width].all() and free_doc[d : d + width].all():
-                free_item[i : i + width] = False
-                free_doc[d : d + width] = False
-                tiles.append((i, d, width))
+            mark(width)
         width -= 1
     return tiles
 
 
-class Block:
-    """Some benchmark items, and the seeds that lead to them."""
+class Tokens:
+    """The numbers of a text's tokens; words are remembered."""
 
-    def __init__(self, items: list[tuple[int | None, list[bytes]]], seed: int):
-        self.seed = seed
-        self.items = [(i, t) for i, t in items if t]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in self.items for w in t}), 1)}
-        self.ids = [np.array([self.vocabulary[w] for w in t], np.int64) for _, t in self.items]
-        self.widths = sorted({min(seed, len(t)) for t in self.ids})
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
-        for width in self.widths:
-            owners: dict[int, list[int]] = {}
-            for k, t in enumerate(self.ids):
-                if min(seed, len(t)) == width:
-                    for h in set(rolling(t, width).tolist()):
-                        owners.setdefault(h, []).append(k)
-            self.seeds[width] = np.array(sorted(owners), np.uint64), owners
-
-    def matches(self, text: bytes, threshold: float) -> Iterator[tuple]:
-        """(item_id, matched, item_tokens, tiles, coverage) of each item that the text covers enough."""
-        words = tokens(text)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-        candidates: set[int] = set()
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def of(self, text: bytes) -> np.ndarray:
+        found, known = tokens(text), self.known
+        values = list(map(known.get, found))
+        if None in values:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for k, v in enumerate(values):
+                if v is None:
+                    values[k] = known[found[k]] = xxhash.xxh64_intdigest(found[k]) >> 1
+        return np.array(values, np.int64)
+
+
+def seeds_of(ids: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the runs of ``width`` tokens."""
+    return mix(rolling(ids, width), np.uint64(width)).view(np.int64)
+
+
+class Seeds:
+    """A Bloom filter of the benchmark's seeds and their widths."""
+
+    def __init__(self, words: np.ndarray, widths: list[int]):
+        self.words, self.widths = words, widths
+
+    def hits(self, ids: np.ndarray) -> np.ndarray:
+        """The distinct seeds of a text that are likely the benchmark's."""
+        out = []
         for width in self.widths:
-            inside = np.concatenate([[0], np.cumsum(ids == 0)])
-            at = np.flatnonzero(inside[width:] == inside[:-width]) if len(ids) >= width else np.zeros(0, np.int64)
-            if len(at):
-                h = rolling(ids, width, at)
-                keys, owners = self.seeds[width]
-                near = np.searchsorted(keys, h).clip(max=len(keys) - 1)
-                for v in np.unique(h[keys[near] == h]).tolist():
-                    candidates.update(owners[v])
-        for k in sorted(candidates):
-            item = self.ids[k]
-            least = min(self.seed, len(item))
-            compact = self.near(ids, item, least)
-            found = tile(item, compact, least)
-            matched = sum(n for _, _, n in found)
-            if matched >= threshold * len(item):
-                yield self.items[k][0], matched, len(item), len(found), matched / len(item)
-
-    def near(self, ids: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
-        """The document's runs of ``least`` or more of the item's tokens, parted by -1."""
-        mine = np.isin(ids, item)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
-        parts = [np.append(ids[a:b], -1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= least]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
-
-
-def blocks(benchmark: DataFrame, seed: int, block_tokens: int) -> Iterator[Block]:
-    """The items in blocks, streamed to the driver, so that at most one block is held at a time."""
-    items, size = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        t = tokens((row["text"] or "").encode())
-        if items and size + len(t) > block_tokens:
-            yield Block(items, seed)
-            items, size = [], 0
-        items.append((row["item_id"], t))
-        size += len(t)
-    if items:
-        yield Block(items, seed)
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5, block_tokens: int = 1_000_000) -> DataFrame:
+            h = seeds_of(ids, width).view(np.uint64)
+            for probe in range(PROBES):
+                if not len(h):
+                    break
+                at = mix(h, np.uint64(probe)) & np.uint64(64 * len(self.words) - 1)
+                h = h[(self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+            out.append(h)
+        return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def seed_table(benchmark: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, Seeds]:
+    """benchmark: (item_id, text).  Items (item, item_id, tokens), their seeds (seed, item), and the seeds' filter."""
+
+    def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Tokens()
+        for batch in rows:
+            ids = [known.of(t) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([min(seed, len(x)) for x in ids], pa.int32())], names=["item_id", "tokens", "width"])
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for item, ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                found = np.unique(seeds_of(np.frombuffer(ids, np.int64), width))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), item))], names=["seed", "item"])
+
+    def places(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([mix(h, np.uint64(p)) & np.uint64(size - 1) for p in range(PROBES)])) if len(h) else h
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+    items = checkpointed(benchmark.select("item_id", "text").mapInArrow(read, "item_id long, tokens binary, width int").where("width > 0").withColumn("item", F.monotonically_increasing_id()))
+    seeds = checkpointed(items.select("item", "tokens", "width").mapInArrow(cut, "seed long, item long"))
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (24 * seeds.count()).bit_length()))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most ``seed``
+    held = seeds.select("seed").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^MOST_BITS bits
+    words = np.zeros(size >> 6, np.uint64)
+    words[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
+    return items.select("item", "item_id", "tokens"), seeds, Seeds(words, widths)
+
+
+def near(ids: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
+    """The document's runs of ``least`` or more of the item's tokens, parted by -1."""
+    mine = np.isin(ids, item)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mine.astype(np.int8), [0]])))
+    parts = [np.append(ids[a:b], -1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= least]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def candidates(docs: DataFrame, filtered: Callable[[], Seeds]) -> DataFrame:
+    """(row, doc, tokens, seeds) of the rows with a likely seed, doc holding all columns."""
+    at = docs.columns.index("text")
+    schema = StructType([StructField("doc", docs.schema), StructField("tokens", BinaryType()), StructField("seeds", ArrayType(LongType()))])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, seeds = Tokens(), filtered()
+        for batch in rows:
+            some, ids, hits = [], [], []
+            for n, text in enumerate(texts(batch.column(at))):
+                x = known.of(text)
+                found = seeds.hits(x)
+                if len(found):
+                    some.append(n)
+                    ids.append(x.tobytes())
+                    hits.append(found)
+            if some:
+                part = batch.take(pa.array(some))
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(part.columns, fields=list(part.schema)), pa.array(ids, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], names=["doc", "tokens", "seeds"])
+
+    return checkpointed(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+
+
+def verified(found: DataFrame, items: DataFrame, seeds: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """(row, item_id, matched, item_tokens, tiles, coverage) of the contaminated pairs."""
+    kind = "row long, item_id long, matched long, item_tokens long, tiles long, coverage double"
+    schema = pa.schema([("row", pa.int64()), *list(SCHEMA)[1:]])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            out = []
+            for row, item_id, a, b in zip(*(batch.column(n) for n in range(4))):
+                item, doc = (np.frombuffer(x.as_buffer(), np.int64) for x in (a, b))
+                least = min(seed, len(item))
+                tiles = tile(item, near(doc, item, least), least)
+                matched = sum(n for _, _, n in tiles)
+                if matched >= threshold * len(item):
+                    out.append((row.as_py(), item_id.as_py(), matched, len(item), len(tiles), matched / len(item)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    pairs = found.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").select("row", "item").distinct()
+    both = pairs.join(items.withColumnRenamed("tokens", "own"), "item").join(found.select("row", "tokens"), "row")
+    return both.select("row", "item_id", "own", "tokens").mapInArrow(run, kind)
+
+
+def filter_of(spark: SparkSession, seeds: Seeds) -> Callable[[], Seeds]:
+    shared = spark.sparkContext.broadcast(seeds)  # at most 2^MOST_BITS bits
+    return lambda: shared.value
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5) -> DataFrame:
     """docs: (doc_id, text); benchmark: (item_id, text).  One row for each contaminated pair."""
-    spark, out = docs.sparkSession, None
-    for block in blocks(benchmark, seed, block_tokens):
-        shared = spark.sparkContext.broadcast(block)  # bounded by block_tokens
-
-        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            for batch in rows:
-                found = [(i, *m) for i, t in zip(batch.column(0).to_pylist(), texts(batch.column(1))) for m in block.matches(t, threshold)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), SCHEMA)], schema=SCHEMA)
-
-        part = docs.select("doc_id", "text").mapInArrow(run, DDL)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], DDL)
-
-
-def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5, block_tokens: int = 1_000_000) -> DataFrame:
-    """The rows that cover no item enough, all columns as they are."""
-    for block in blocks(benchmark, seed, block_tokens):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by block_tokens
-        docs = keep_rows(docs, lambda shared=shared: lambda bodies: np.array([next(shared.value.matches(t, threshold), None) is None for t in bodies], bool))
-    return docs
+    items, seeds, bloom = seed_table(benchmark, seed)
+    found = candidates(docs.select("doc_id", "text"), filter_of(docs.sparkSession, bloom))
+    pairs = verified(found, items, seeds, threshold, seed)
+    return pairs.join(found.select("row", F.col("doc.doc_id").cast("long").alias("doc_id")), "row").select("doc_id", "item_id", "matched", "item_tokens", "tiles", "coverage")
+
+
+def keep(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, seed: int = 5) -> DataFrame:
+    """The rows that cover no item enough, all columns as they are; rows without a likely seed aren't shuffled."""
+    items, seeds, bloom = seed_table(benchmark, seed)
+    filtered = filter_of(docs.sparkSession, bloom)
+
+    def judge():
+        known, seeds = Tokens(), filtered()
+        return lambda bodies: np.array([not len(seeds.hits(known.of(t))) for t in bodies], bool)
+
+    found = candidates(docs, filtered)
+    bad = verified(found, items, seeds, threshold, seed).select("row").distinct()
+    return keep_rows(docs, judge).unionByName(found.join(bad, "row", "left_anti").select("doc.*"))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
