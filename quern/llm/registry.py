@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, langid, lm, sentencepiece, simhash, tokens, topk, toxicity, urls
 
+
+def pipeline(spark, sf_dir: str):
+    """The pipeline at the repository's top, which imports this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_tokens": tokens.op1_tokens,
     "op2_lm": lm.op2_lm,
@@ -17,7 +23,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_sentencepiece": sentencepiece.op9_sentencepiece,
     "op10_urls": urls.op10_urls,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {

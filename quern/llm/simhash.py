@@ -40,7 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from . import similar
 from .common import checkpointed, partitions, table, texts, words
+from .components import components
 
 #: Generator polynomial of the binary Golay code of length 23, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY, LENGTH, RADIUS = 0b110001110101, 23, 3
@@ -149,62 +151,6 @@ def links(distinct: DataFrame, t: int = 2) -> DataFrame:
     return near.join(home.hint("shuffle_hash"), "anchor").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t).select("a", "b")
 
 
-def forest(pairs: DataFrame) -> DataFrame:
-    """A spanning forest of each partition's (a, b) links; components stay the same."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[p]
-            return x
-
-        for batch in rows:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        pairs = [(root(x), x) for x in list(parent) if root(x) != x]
-        for k in range(0, len(pairs), 50_000):
-            some = pairs[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.int64())], schema=schema)
-
-    return pairs.select("a", "b").mapInArrow(run, "a long, b long")
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node of (a, b) links but the roots themselves; root is the component's least node."""
-
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        # (u, v) as seen from u; least: the least of u and the neighbours considered
-        if large:
-            seen = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        else:
-            seen = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))  # a < b
-        least = seen.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        joined = seen.join(least, "u")
-        if large:
-            out = joined.where("v > u and v > m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        else:
-            out = joined.where("v > m").select(F.col("m").alias("a"), F.col("v").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        return out.distinct()
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = checkpointed(forest(pairs).distinct())
-    before = mark(edges)
-    while before[0]:
-        edges = checkpointed(star(star(edges, True), False))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-
-
 def classes(prints: DataFrame, t: int = 2) -> DataFrame:
     """prints: (doc_id, fp).  (fp, root, component_id) for each distinct fingerprint; the root names the component."""
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -221,22 +167,43 @@ def near_duplicates(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
     return prints.join(classes(prints, t).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
-    """One row of each component, all columns as they are: the smallest doc_id (null last), then fingerprint."""
+def keep_one(docs: DataFrame, t: int = 2) -> DataFrame:
+    """One row of each component of near copies, all columns as they are: the smallest doc_id (null last), then text hash.
+
+    Near copies are texts with a similarity of 4/5 or more of their 5-word shingles.  Fingerprints of such texts differ
+    in up to a dozen bits, which no anchors can cover at a bearable number of replicas.  So the anchors give the first
+    candidates, those within t bits, which the whole sets verify; and a second covering, of the sets by their rare
+    shingles (see ``similar``), finds every link between texts that are still apart.
+    """
     at, columns = docs.columns.index("text"), docs.columns
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            fps = np.array([fingerprint(t, width) for t in texts(batch.column(at))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, "_fp"])
+            bodies = texts(batch.column(1))
+            fps = np.array([fingerprint(x, similar.WIDTH) for x in bodies], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([similar.key(x) for x in bodies], pa.int64()), pa.array(fps)], schema=schema)
 
-    prints = checkpointed(fingerprints(docs, width))
-    first = prints.join(classes(prints, t), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_k"), F.col("k.fp").alias("_kfp"))
-    kept = docs.mapInArrow(run, schema).join(first, (F.col("_fp") == F.col("_kfp")) & F.col("doc_id").eqNullSafe(F.col("_k")), "left_semi")
-    again = prints.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "_fp"]) if again else kept).select(*columns)
+    def keyed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([similar.key(x) for x in texts(batch.column(at))], pa.int64())], names=[*columns, "_key"])
+
+    prints = checkpointed(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, fp long"))
+    by = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("key")))
+    same = prints.select("fp", "key").distinct().join(by.withColumnRenamed("key", "a"), "fp").where("key != a").select("a", F.col("key").alias("b"))
+    ends = (by.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
+    near = links(by.select("fp"), t)
+    for end in ends:
+        near = near.join(end, end.columns[0])
+    pairs = same.union(near.select("ka", "kb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    texts_ = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    roots = components(similar.links(texts_.select(F.col("_key").alias("key"), "text"), pairs))
+    joined = prints.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_first"))
+    kept = texts_.join(first, (F.col("_key") == F.col("_first")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    again = prints.groupBy("doc_id", "key").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "_key"]) if again else kept).select(*columns)
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,8 @@
+import math
 import random
+import zlib
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
@@ -27,3 +31,62 @@ def test_filters_follow_the_counts(docs):
     some = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(2000)), "en") for i in range(120)]
     size = lambda rows, mb: lm.train(docs(rows).select("text"), mb)[1].agg(F.sum("size")).first()[0]
     assert size(some, 0) == size(some, 64) > 3 * size(some[:30], 0)
+
+
+def exact_model(rows, quantised=False):
+    """The model of the docstring by dictionaries: P(w | u), with exact counts or with counts as their levels give them."""
+    from collections import Counter
+
+    texts = [[*(t or "").encode().lower().split(), b""] for i, t, _ in rows if not is_out(i)]
+    flat = [w for t in texts for w in t]
+    words, pairs = Counter(flat), Counter((u, w) for t in texts for u, w in zip([b"", *t], t))
+    followers, n = Counter(u for u, _ in pairs), len(flat)
+    once, twice = (sum(c == k for c in words.values()) for k in (1, 2))
+    p0, unseen = min(max(once, 1) / (n + 1), 0.5), max(once * once / (2 * twice) if twice else once * (once - 1) / 2, 1)
+
+    def level(kind, x):
+        return float(lm.value_of(kind, lm.levels(kind, np.array([x], float)))[0]) if x and quantised else x
+
+    read = {w: level(1, c) for w, c in words.items()}
+    whole = sum(read.values())
+
+    def p(u, w):
+        own = (1 - p0) * read[w] / whole if w in words else p0 / unseen
+        if u not in words:
+            return own
+        left = lm.D / (level(3, 1e6 * words[u] / followers[u]) if quantised else words[u] / followers[u])
+        pair = min(level(2, pairs[u, w]), read[u], read[w]) if (u, w) in pairs else 0
+        return max(pair - lm.D, 0) / read[u] + left * own
+
+    return p, words, unseen
+
+
+def is_out(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+def test_scores_are_those_of_a_distribution(docs):
+    """Probabilities of all words and the unseen add up to 1, and the filter's scores are near those of exact counts."""
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{min(int(r.paretovariate(0.7)), 400)}" for _ in range(80)), "en") for i in range(150)]
+    p, words, unseen = exact_model(rows)
+    for u in [b"", b"w1", b"w7", b"unknown"]:
+        assert math.isclose(sum(p(u, w) for w in words) + unseen * p(u, b"no such word"), 1, rel_tol=1e-9)
+    model = lm.train(docs([x for x in rows if not is_out(x[0])]).select("text"))[0]
+    every = lm.Hashes().of([w for w in words if w]).tolist() + [int(lm.END)]
+    unknown = lm.Hashes().of([b"no such word"]).tolist()
+    keys = np.array([*every, *unknown], np.uint64)
+    values = model.word_values(keys)
+    assert math.isclose(values[:-1, 1].sum() + model.unseen * values[-1, 1], 1, rel_tol=1e-6)
+    for u in (b"w1", b"w3"):
+        context = model.word_values(lm.Hashes().of([u]))
+        given = [10 ** model.log10_of(model.filters[2].level(lm.pair_keys(lm.Hashes().of([u]), keys[k : k + 1])), values[k : k + 1], context)[0] for k in range(len(keys))]
+        assert abs(sum(given[:-1]) + model.unseen * given[-1] - 1) < 0.15  # quantised counts, false hits
+    q, off, hits = exact_model(rows, True)[0], [], []
+    for x in lm.score_all(docs(rows)).collect():
+        tokens = [*rows[x["doc_id"]][1].encode().split(), b""]
+        exact, read = (sum(math.log10(f(u, w)) for u, w in zip([b"", *tokens], tokens)) for f in (p, q))
+        hits.append((x["score"] - read) / len(tokens))
+        off.append((x["score"] - exact) / len(tokens))
+    assert np.mean(np.abs(hits) < 1e-6) > 0.7 and np.mean(np.abs(hits)) < 0.005  # false hits of the filter
+    assert max(map(abs, off)) < 0.06 and abs(np.mean(off)) < 0.02  # quantised counts

@@ -46,7 +46,7 @@ def test_pipeline(spark, tmp_path):
     assert len(ids) == len(set(ids)) and not {200, 201, 202, 203} & set(ids) and 1 in ids
     assert len(set(ids) & toxic) <= 3 and len(set(ids)) >= 110
     assert out.where(~F.col("round_trip")).count() == 0
-    docs = spark.read.parquet(str(folder / "documents.parquet"))
+    docs = spark.read.parquet(str(folder / "documents.parquet")).selectExpr("*", "1 AS key", "'x' AS tokens", "2L AS row", "3L AS _seeds", "4 AS fp")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(folder)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(folder)).count() == 0
