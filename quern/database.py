@@ -58,7 +58,7 @@ class Database:
         """Learn collections, counters, schemas and expiries from the log."""
         rows = self.log.read()
         top = rows.agg(F.max("ord").alias("o")).first()["o"]
-        self.next_ord = 0 if top is None else top + 1
+        self.next_ord = 0 if top is None else max(0, top + 1)
         self.next_seq: dict[str, int] = {}
         for r in self.state().groupBy("collection").agg(F.max("seq").alias("s")).collect():  # one row for each collection
             self._register(r["collection"])
@@ -117,24 +117,22 @@ class Database:
             if any(k.startswith("_") for k in d):
                 raise RequestError("Field names that begin with _ are reserved")
         if any("extends" in d for _, d in items):
-            items = [(k, self._extended(d)) for k, d in items]
+            items = self._extended(items)
         if "ttl" in b or "maxSize" in b:
             self.schema({k: b[k] for k in ("collection", "ttl", "maxSize") if k in b})
         frame = self.spark.createDataFrame([(k, json.dumps(d, ensure_ascii=False), n) for n, (k, d) in enumerate(items)], "key string, value string, at long")
         self.insert(name, frame, len(items))
         return {"count": len(items), "keys": [k for k, _ in items]}
 
-    def _extended(self, doc: dict) -> dict:
-        """Embed the documents that extends names by "collection.key"; what isn't found is left out."""
-        refs = doc.get("extends")
-        out = {k: x for k, x in doc.items() if k != "extends"}
-        for alias, ref in (refs or {}).items() if isinstance(refs, dict) else ():
-            source, _, key = str(ref).partition(".")
+    def _extended(self, items: list[tuple[str, dict]]) -> list[tuple[str, dict]]:
+        """Embed the documents that extends names by "collection.key"; what isn't found is left out.  One job for each collection named."""
+        wanted: dict[str, set[str]] = {}
+        refs = [{a: str(r).partition(".")[::2] for a, r in d["extends"].items()} if isinstance(d.get("extends"), dict) else {} for _, d in items]
+        for source, key in (x for r in refs for x in r.values()):
             if source in self.catalog and key:
-                found = self.state(source).where(F.col("key") == key).select("value").head()
-                if found:
-                    out[alias] = json.loads(found["value"])
-        return out
+                wanted.setdefault(source, set()).add(key)
+        found = {(source, r["key"]): json.loads(r["value"]) for source, keys in wanted.items() for r in self.state(source).where(F.col("key").isin(sorted(keys))).select("key", "value").collect()}  # what the request names
+        return [(k, {n: x for n, x in d.items() if n != "extends"} | {a: found[x] for a, x in r.items() if x in found}) for (k, d), r in zip(items, refs)]
 
     def insert(self, name: str, frame: DataFrame, count: int) -> None:
         """frame: (key, value, at), keys distinct, at from 0 to count - 1."""
@@ -158,40 +156,49 @@ class Database:
     def _evict(self, name: str, max_size: int) -> None:
         over = self.state(name).count() - max_size
         if over > 0:
-            self._remove(name, self.state(name).orderBy("seq").limit(over).select("key"))
+            self._remove(name, self.state(name).orderBy("seq").limit(over).select("key", "seq"))
 
-    def _remove(self, name: str, keys: DataFrame) -> int:
-        gone = [r["key"] for r in keys.collect()]  # at most MAX_COUNT, or what one batch put over the cap
-        if gone:
-            frame = self.spark.createDataFrame([(k, n) for n, k in enumerate(gone)], "key string, at long")
+    def _remove(self, name: str, gone: DataFrame) -> int:
+        """gone: (key, seq), appended as they are, however many; their places follow their sequence numbers."""
+        some = gone.agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+        if some["n"]:
             null = F.lit(None)
-            self._append(frame.select(F.lit(DELETE).alias("cmd"), F.lit(name).alias("collection"), "key", null.cast("string").alias("value"), *[null.cast("long").alias(c) for c in ("v", "seq", "created")], "at"), len(gone))
-        return len(gone)
+            rows = gone.select(F.lit(DELETE).alias("cmd"), F.lit(name).alias("collection"), "key", null.cast("string").alias("value"), *[null.cast("long").alias(c) for c in ("v", "created")], (F.col("seq") - some["first"]).alias("at"))
+            self._append(rows.withColumn("seq", null.cast("long")), some["last"] - some["first"] + 1)
+        return some["n"]
 
     def update(self, body: dict) -> dict:
-        """A shallow merge for each key, in order; a key that isn't there is passed over, a wrong _v guard is a conflict."""
+        """A shallow merge for each key, in order, in one batch; a key that isn't there is passed over; the first error (a wrong _v guard is a conflict) ends it, earlier keys stay applied."""
         b = v.request("update", body)
         name, data = b["collection"], b.get("data")
         if not isinstance(data, dict):
             raise RequestError("data must be an object")
+        if any(not isinstance(p, dict) for p in data.values()):
+            raise RequestError("A patch must be an object")
         collection = self.catalog[name]
-        done = 0
-        current = {r["key"]: r for r in self.state(name).where(F.col("key").isin([v.key_name(k) for k in data])).collect()}  # at most MAX_KEYS
+        now = {r["key"]: r for r in self.state(name).where(F.col("key").isin([v.key_name(k) for k in data])).collect()}  # at most MAX_KEYS
+        rows, failure = [], None
         for key, patch in sorted(data.items()):
             if any(k.startswith("_") and k != "_v" for k in patch):
-                raise RequestError("Field names that begin with _ are reserved")
-            now = current.get(key)
-            if now is None:
-                continue
-            if "_v" in patch and patch["_v"] != now["v"]:
-                raise Conflict(f"{key} is at version {now['v']}")
-            row = self.spark.createDataFrame([(key, now["value"], json.dumps({k: x for k, x in patch.items() if k != "_v"}, ensure_ascii=False))], "key string, base string, patch string")
-            merged = row.select("key", f.merge(F.col("base"), F.col("patch")).alias("value"))
-            if collection.schema is not None and merged.where(~valid(F.parse_json("value"), collection.schema)).head(1):
-                raise RequestError(INVALID)
-            self._append(merged.select(F.lit(INSERT).alias("cmd"), F.lit(name).alias("collection"), "key", "value", F.lit(now["v"] + 1).cast("long").alias("v"), F.lit(now["seq"]).cast("long").alias("seq"), F.lit(now["created"]).cast("long").alias("created"), F.lit(0).cast("long").alias("at")), 1)
-            done += 1
-        return {"count": done}
+                failure = RequestError("Field names that begin with _ are reserved")
+            elif key in now and "_v" in patch and patch["_v"] != now[key]["v"]:
+                failure = Conflict(f"{key} is at version {now[key]['v']}")
+            if failure:
+                break
+            if key in now:
+                r = now[key]
+                rows.append((key, r["value"], json.dumps({k: x for k, x in patch.items() if k != "_v"}, ensure_ascii=False), r["v"] + 1, r["seq"], r["created"], len(rows)))
+        if rows:
+            merged = self.spark.createDataFrame(rows, "key string, base string, patch string, v long, seq long, created long, at long").withColumn("value", f.merge(F.col("base"), F.col("patch")))
+            if collection.schema is not None:
+                bad = merged.where(~valid(F.parse_json("value"), collection.schema)).agg(F.min("at")).first()[0]
+                if bad is not None:
+                    rows, failure = rows[:bad], RequestError(INVALID)
+            if rows:
+                self._append(merged.where(F.col("at") < len(rows)).select(F.lit(INSERT).alias("cmd"), F.lit(name).alias("collection"), "key", "value", "v", "seq", "created", "at"), len(rows))
+        if failure:
+            raise failure
+        return {"count": len(rows)}
 
     def delete(self, body: dict) -> dict:
         """Drop, then where, then count, then keys: the first that the request has."""
@@ -208,14 +215,14 @@ class Database:
         order = F.col("_seq").asc() if ascending else F.col("_seq").desc()
         if "where" in b:
             docs = docs.where(where_column(b["where"], Resolver(docs), *planner.EVALUATORS[s.Route.DELETE]))
-            return {"count": self._remove(name, docs.orderBy(order).limit(v.DEFAULT_COUNT if n is None else n).select(F.col("_key").alias("key")))}
+            return {"count": self._remove(name, docs.orderBy(order).limit(v.DEFAULT_COUNT if n is None else n).select(F.col("_key").alias("key"), F.col("_seq").alias("seq")))}
         if "keys" in b:
             keys = [b["keys"]] if isinstance(b["keys"], str) else b["keys"]
-            self._remove(name, docs.where(F.col("_key").isin([v.key_name(k) for k in keys])).select(F.col("_key").alias("key")))
+            self._remove(name, docs.where(F.col("_key").isin([v.key_name(k) for k in keys])).select(F.col("_key").alias("key"), F.col("_seq").alias("seq")))
             return {"count": len(keys)}
         if n is None:
             raise RequestError("One of keys, where, count and drop is needed")
-        return {"count": self._remove(name, docs.orderBy(order).limit(n).select(F.col("_key").alias("key")))}
+        return {"count": self._remove(name, docs.orderBy(order).limit(n).select(F.col("_key").alias("key"), F.col("_seq").alias("seq")))}
 
     def drop(self, name: str) -> None:
         self._note(DROP, name)
@@ -226,6 +233,29 @@ class Database:
             self._register(name)
             self.catalog.settle(name, ttl_ms=kept.ttl_ms, max_size=kept.max_size, schema=kept.schema)
 
+    def clear(self) -> dict:
+        """Every collection with its schema, expiry and cap, in one append."""
+        names = list(self.catalog)
+        if names:
+            rows = [(self.next_ord + 2 * n + k, None, cmd, name, None, value, None, None, None, self.clock()) for n, name in enumerate(names) for k, (cmd, value) in enumerate(((DROP, None), (SCHEMA, "{}")))]
+            self.log.append(self.spark.createDataFrame(rows, COLUMNS))
+            self.next_ord += 2 * len(names)
+        for name in names:
+            self.catalog.forget(name)
+        self.next_seq.clear()
+        return {"cleared": len(names)}
+
+    def sweep(self) -> list[str]:
+        """Drop the collections that have expired; their names.  To be called when the next expiry, or a timer, is due."""
+        gone = [n for n in self.catalog if self.catalog[n].expired(self.clock())]
+        for name in gone:
+            self.drop(name)
+        return gone
+
+    def next_expiry(self) -> int | None:
+        """When the first collection expires."""
+        return min((self.catalog[n].expires_at for n in self.catalog if self.catalog[n].expires_at is not None), default=None)
+
     def schema(self, body: dict) -> dict:
         b = v.request("schema", body)
         if not {"schema", "ttl", "maxSize"} & set(b):
@@ -257,6 +287,14 @@ class Database:
             raise NotFound()
         return rows[0] if isinstance(body.get("keys"), str) else rows
 
+    def many(self, bodies: list[dict]) -> DataFrame:
+        """Scans of one collection in one pass: ``request`` is the number of the body that a row answers."""
+        return planner.together([s.read(b) for b in bodies], self.catalog, self.clock())
+
+    def page(self, collection: str, limit: int | None = None, offset: int | None = None) -> DataFrame:
+        """A page of a collection, as the paged scan of an HTTP front end: the newest first."""
+        return self.find({"collection": collection} | {k: x for k, x in (("count", limit), ("offset", offset)) if x is not None})
+
     def stats(self, body: dict) -> DataFrame:
         b = v.request("stats", body)
         if "collection" in b:
@@ -280,8 +318,10 @@ class Database:
 
     def snapshot(self) -> None:
         """A new generation of the log that begins with the state, settings and expiries."""
-        # before everything that the log holds or will hold
-        rows = self.state().select((F.col("seq") - (1 << 40)).alias("ord"), F.lit(None).cast("string").alias("tx_id"), F.lit(INSERT).alias("cmd"), "collection", "key", "value", "v", "seq", "created", F.col("modified").alias("_t"))
+        # before everything that the log holds or will hold, in the order of collection and sequence number
+        names = sorted(self.next_seq)
+        number = F.element_at(F.create_map(*[x for n, c in enumerate(names) for x in (F.lit(c), F.lit(n))]), F.col("collection")) if names else F.lit(0)
+        rows = self.state().select((number.cast("long") * (1 << 40) + F.col("seq") - (1 << 61)).alias("ord"), F.lit(None).cast("string").alias("tx_id"), F.lit(INSERT).alias("cmd"), "collection", "key", "value", "v", "seq", "created", F.col("modified").alias("_t"))
         kept = f.committed(self.log.read()).where(F.col("cmd").isin(SCHEMA, EXPIRY))
         self.log.replace(rows.unionByName(kept.select(*rows.columns)))
         top = self.log.read().agg(F.max("ord").alias("o")).first()["o"]

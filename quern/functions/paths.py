@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import RequestError
+
 SYSTEM = ("_v", "_seq", "_createdAt", "_modifiedAt")
 DOC = "doc"
 NO = F.lit
@@ -168,4 +170,7 @@ class Resolver:
 
 
 def json_path(parts: list[str]) -> str:
-    return "$" + "".join(f"['{p}']" for p in parts)
+    """The path of nested names, each in whichever quotes it doesn't hold."""
+    if any("'" in p and '"' in p for p in parts):
+        raise RequestError("A field name may not hold both kinds of quotes")
+    return "$" + "".join(f"['{p}']" if "'" not in p else f'["{p}"]' for p in parts)

@@ -19,6 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import RequestError
+from ..plans.validation import field_path
 from .paths import SYSTEM, Field, Missing, Resolver, VariantField, same
 
 # Operator names and their aliases.
@@ -109,7 +110,9 @@ def system_leaf(f: Field, op: str, value: Any) -> Column:
 
 
 def compile_where(where: Any, resolver: Resolver, raw: bool) -> Column:
-    """The whole clause: an object's members and an array's elements all have to hold."""
+    """The whole clause: an object's members and an array's elements all have to hold; a Column is taken as it is."""
+    if isinstance(where, Column):
+        return where
     if isinstance(where, list):
         return every([compile_where(x, resolver, raw) for x in where])
     if not isinstance(where, dict):
@@ -124,7 +127,7 @@ def compile_where(where: Any, resolver: Resolver, raw: bool) -> Column:
         elif name.startswith("$"):
             raise RequestError(f"Unknown operator: {name}")
         else:
-            parts.append(field_clause(name, clause, resolver, raw))
+            parts.append(field_clause(field_path(name), clause, resolver, raw))
     return every(parts)
 
 

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from ..sources.log import BEGIN, COMMIT, DELETE, DROP, EXPIRY, INSERT
 
 
+OPEN = 64  # keys that rows outside a transaction share in the semi-join, so that no single one is hot
+
+
 def committed(log: DataFrame) -> DataFrame:
-    """Rows outside a transaction, and those of transactions that were committed."""
-    done = log.where(F.col("cmd") == COMMIT).select("tx_id").distinct()
-    inside = log.where(F.col("tx_id").isNotNull() & ~F.col("cmd").isin(BEGIN, COMMIT))
-    return log.where(F.col("tx_id").isNull()).unionByName(inside.join(done, "tx_id", "left_semi").select(*log.columns))
+    """Rows outside a transaction, and those of transactions that were committed: one reading of the log, one of its commits."""
+    outside = F.concat(F.lit("none-"), F.pmod("ord", F.lit(OPEN)).cast("string"))
+    done = log.where(F.col("cmd") == COMMIT).select(F.col("tx_id").alias("_tx")).distinct()
+    done = done.unionByName(log.sparkSession.range(OPEN).select(F.concat(F.lit("none-"), F.col("id").cast("string")).alias("_tx")))
+    rows = log.where(~F.col("cmd").isin(BEGIN, COMMIT) | F.col("tx_id").isNull()).withColumn("_tx", F.coalesce("tx_id", outside))
+    return rows.join(done, "_tx", "left_semi").select(*log.columns)
 
 
 def fold(log: DataFrame, now_ms: int | None = None) -> DataFrame:
@@ -22,12 +27,9 @@ def fold(log: DataFrame, now_ms: int | None = None) -> DataFrame:
     expiry that lies before now_ms, clears what a collection held before it.
     """
     rows = committed(log)
-    ends = F.col("cmd") == DROP
-    if now_ms is not None:
-        ends = ends | ((F.col("cmd") == EXPIRY) & (F.col("value").cast("long") <= now_ms))
-    latest_expiry = rows.where(F.col("cmd") == EXPIRY).groupBy("collection").agg(F.max("ord").alias("last"))
-    cleared = rows.where(ends).join(latest_expiry, "collection", "left").where((F.col("cmd") == DROP) | (F.col("ord") == F.col("last")))
-    cleared = cleared.groupBy("collection").agg(F.max("ord").alias("cleared"))
+    ends = rows.where(F.col("cmd").isin(DROP, EXPIRY)).groupBy("collection").agg(F.max(F.when(F.col("cmd") == DROP, F.col("ord"))).alias("dropped"), F.max(F.when(F.col("cmd") == EXPIRY, F.struct("ord", "value"))).alias("expiry"))
+    expired = F.when(F.col("expiry.value").cast("long") <= (now_ms if now_ms is not None else -(1 << 62)), F.col("expiry.ord"))
+    cleared = ends.select("collection", F.greatest("dropped", expired).alias("cleared"))
     entry = F.struct("cmd", "value", "v", "seq", "created", "_t", "ord")
     latest = rows.where(F.col("cmd").isin(INSERT, DELETE)).groupBy("collection", "key").agg(F.max_by(entry, "ord").alias("e"))
     live = latest.where(F.col("e.cmd") == INSERT).join(cleared, "collection", "left").where("cleared is null or e.ord > cleared")

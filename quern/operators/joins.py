@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.paths import DOC, SYSTEM, Resolver
+from ..functions.paths import DOC, Resolver
 from ..plans.spec import JoinSpec
 from .projection import keep, keep_variant, trie
 
@@ -55,5 +55,3 @@ def listed(df: DataFrame, keys: DataFrame, key: str = "_key") -> DataFrame:
     """The documents whose key is in another collection's stored list."""
     return df.join(keys.select(F.col(key).alias("_key")).distinct(), "_key", "left_semi")
 
-
-SYSTEM_COLUMNS = SYSTEM

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import Resolver
+from ..errors import RequestError
 from ..functions.predicates import where_column
 from ..operators.joins import lookups
 from ..operators.projection import shape
@@ -47,3 +48,26 @@ def plan(spec: s.QuerySpec, catalog: Catalog, now_ms: int | None = None) -> Data
 def query(catalog: Catalog, body: dict, now_ms: int | None = None) -> DataFrame:
     """A request, validated and planned."""
     return plan(s.read(body), catalog, now_ms)
+
+
+def together(specs: list[s.QuerySpec], catalog: Catalog, now_ms: int | None = None) -> DataFrame:
+    """Scans of one collection (where, order, offset and count alone) that share one reading of it.
+
+    Each row is tagged with the requests that it answers; a request's page is cut in
+    each task before the shuffle.  (request, place, columns of the collection); place is the row's in its request.
+    """
+    if not specs or len({x.collection for x in specs}) != 1 or any(x.keys is not None or x.joins or x.sort or x.prefixes is not None or x.fields is not None or x.excluded is not None for x in specs):
+        raise RequestError("Only scans of one collection go together")
+    collection = catalog[specs[0].collection]
+    df = collection.documents()
+    if collection.expired(now_ms):
+        df = df.where(F.lit(False))
+    resolver, n = Resolver(df), len(specs)
+    hits = [F.when(F.lit(True) if x.where is None else where_column(x.where, resolver, *EVALUATORS[s.Route.SCAN]), F.lit(k)) for k, x in enumerate(specs)]
+    tagged = df.withColumn("request", F.explode(F.array_compact(F.array(*hits))))
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("request") + 1)
+    order = F.when(pick([x.ascending for x in specs]), F.col("_seq")).otherwise(-F.col("_seq"))
+    ranked = tagged.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy(order)))
+    most = max(x.offset + x.count for x in specs)  # a bound that every task can cut by
+    ranked = ranked.where(F.col("place") <= most).where((F.col("place") > pick([x.offset for x in specs])) & (F.col("place") <= pick([x.offset + x.count for x in specs])))
+    return ranked.withColumn("place", F.col("place") - pick([x.offset for x in specs])).select("request", "place", *df.columns)

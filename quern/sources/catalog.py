@@ -108,7 +108,7 @@ def tables(spark: SparkSession, folder: str) -> Catalog:
                 e = spark.read.parquet(f"{folder}/events.parquet")
                 catalog.variant("props", e, F.col("event_id"), F.col("props"), F.col("event_id"))
             elif name == "lineitem":
-                catalog.typed(name, read(name), F.monotonically_increasing_id())
+                catalog.typed(name, read(name), F.concat_ws("-", "l_orderkey", "l_linenumber"), F.col("l_orderkey") * 1000 + F.col("l_linenumber"))
             elif name == "conversations":
                 catalog.typed(name, read(name), F.concat_ws("-", "conv_id", "turn"), F.col("conv_id") * 1000 + F.col("turn"))
             elif name in TABLE_KEYS:

@@ -42,8 +42,16 @@ def idle_expiry(writes: DataFrame, ttl: str, lateness: str = "0 seconds", at: st
 
 
 def rate_limited(requests: DataFrame, window_seconds: int, most: int, who: str = "user_id", at: str = "ts") -> DataFrame:
-    """Adds ``limited``: were ``most`` requests or more already made in the window before this one."""
+    """Adds ``limited``: were ``most`` requests or more already made in the window before this one?
+
+    A user's time is cut into spans of the window's length, and each request goes
+    to its own span and, as an earlier one, to the next.  So a busy user is dealt
+    out over tasks by time.
+    """
     from pyspark.sql import Window
 
-    before = Window.partitionBy(who).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-window_seconds * 1_000_000 + 1, -1)
-    return requests.withColumn("limited", F.count(F.lit(1)).over(before) >= most)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    span = F.floor(micros / (window_seconds * 1_000_000)).cast("long")
+    both = requests.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_late")).withColumn("_span", span + F.col("_late"))
+    before = Window.partitionBy(who, "_span").orderBy(micros).rangeBetween(-window_seconds * 1_000_000 + 1, -1)
+    return both.withColumn("limited", F.count(F.lit(1)).over(before) >= most).where("_late = 0").select(*requests.columns, "limited")
