@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .database import Database
 from .functions.jsonschema import valid
 from .functions.paths import Resolver
 from .operators import fold, joins, metrics
-from .operators.projection import iso
-from .plans.planner import query, selected
+from .operators.projection import iso, shape
+from .plans.planner import query, selected, together
 from .plans.spec import read
 from .sources.catalog import tables
 from .sources.log import BEGIN, COMMIT, DELETE, DROP, EXPIRY, INSERT
@@ -53,6 +54,17 @@ def whole(name: str, body: dict, sql: str, select: list[str]) -> None:
     add(name, run, sql)
 
 
+def shaped(name: str, body: dict, sql: str, flat: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """A request without its page: all rows, in the request's shape."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        catalog, spec = tables(spark, folder), read(body)
+        df = shape(selected(catalog[spec.collection].documents(), spec, catalog), spec.fields, spec.excluded, [])
+        return flat(df) if flat else df
+
+    add(name, run, sql)
+
+
 ORDERS = "o_orderkey, o_orderstatus, o_totalprice"
 F3 = ["o_orderkey", "o_orderstatus", "o_totalprice"]
 
@@ -63,7 +75,7 @@ ask("scan_offset", {"collection": "orders", "order": "asc", "fields": F3, "count
 ask("keys_batch", {"collection": "orders", "keys": ["1", "5", "17", "42", "42", "none"], "fields": F3}, f"SELECT {K.format('o_orderkey')}, {ORDERS} FROM orders WHERE o_orderkey IN (1, 5, 17, 42)")
 ask("keys_single", {"collection": "customer", "keys": "7", "fields": ["c_name", "c_acctbal"]}, "SELECT CAST(1 AS BIGINT) AS _v, c_name, c_acctbal FROM customer WHERE c_custkey = 7")
 ask("keys_where", {"collection": "customer", "keys": ["7", "8", "9", "10"], "where": {"c_acctbal": {"$gt": 0}}, "fields": ["c_acctbal"]}, f"SELECT {K.format('c_custkey')}, c_acctbal FROM customer WHERE c_custkey IN (7, 8, 9, 10) AND c_acctbal > 0")
-ask("key_prefix_scope", {"collection": "orders", "_allowed_prefixes": ["12", "7"], "fields": ["o_totalprice"]}, f"SELECT {K.format('o_orderkey')}, o_totalprice FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '12') OR starts_with(CAST(o_orderkey AS VARCHAR), '7') ORDER BY o_orderkey DESC LIMIT 100")
+shaped("key_prefix_scope", {"collection": "orders", "_allowed_prefixes": ["12", "7"], "fields": ["o_totalprice"]}, f"SELECT {K.format('o_orderkey')}, o_totalprice FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '12') OR starts_with(CAST(o_orderkey AS VARCHAR), '7')")
 ask("prefix_where_sort", {"collection": "orders", "_allowed_prefixes": ["1"], "where": {"o_orderstatus": "F"}, "sort": {"field": "o_totalprice", "order": "desc"}, "fields": ["o_totalprice"], "count": 30}, f"SELECT {K.format('o_orderkey')}, o_totalprice FROM orders WHERE starts_with(CAST(o_orderkey AS VARCHAR), '1') AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
 
 # predicates, over whole tables
@@ -114,16 +126,14 @@ ask("sort_nulls_desc_first", {"collection": "documents", "joins": [{"label": {"f
 ask("sort_variant", {"collection": "props", "sort": {"field": "k", "order": "desc"}, "count": 30}, f"SELECT {K.format('event_id')}, CAST(props->>'k' AS BIGINT) AS k FROM events WHERE props->>'k' IS NOT NULL ORDER BY CAST(props->>'k' AS DOUBLE) DESC, CAST(event_id AS VARCHAR) LIMIT 30", lambda df: df.select("_key", "_v", F.try_variant_get("doc", "$.k", "long").alias("k")))
 
 # projections
-ask("project_fields", {"collection": "part", "fields": ["p_name", "p_brand", "absent"], "count": 100}, f"SELECT {K.format('p_partkey')}, p_name, p_brand FROM part ORDER BY p_partkey DESC LIMIT 100")
-ask("project_empty", {"collection": "part", "fields": [], "count": 100}, f"SELECT {K.format('p_partkey')} FROM part ORDER BY p_partkey DESC LIMIT 100")
-ask("exclude_fields", {"collection": "customer", "excludedFields": ["c_name", "c_mktsegment", "nation_ref", "_v"], "count": 100}, f"SELECT {K.format('c_custkey')}, c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY c_custkey DESC LIMIT 100")
+shaped("project_fields", {"collection": "part", "fields": ["p_name", "p_brand", "absent"]}, f"SELECT {K.format('p_partkey')}, p_name, p_brand FROM part")
+shaped("project_empty", {"collection": "part", "fields": []}, f"SELECT {K.format('p_partkey')} FROM part")
+shaped("exclude_fields", {"collection": "customer", "excludedFields": ["c_name", "c_mktsegment", "nation_ref", "_v"]}, f"SELECT {K.format('c_custkey')}, c_custkey, c_nationkey, c_acctbal FROM customer")
 ask("project_system", {"collection": "region", "fields": ["_seq", "_createdAt", "r_name"]}, f"SELECT {K.format('r_regionkey')}, CAST(r_regionkey AS BIGINT) AS _seq, '1970-01-01T00:00:00Z' AS _createdAt, r_name FROM region")
-ask("project_variant", {"collection": "props", "fields": ["k"], "count": 50}, f"SELECT {K.format('event_id')}, CAST(props->>'k' AS BIGINT) AS k FROM events ORDER BY event_id DESC LIMIT 50", lambda df: df.select("_key", "_v", F.try_variant_get("doc", "$.k", "long").alias("k")))
+shaped("project_variant", {"collection": "props", "fields": ["k"]}, f"SELECT {K.format('event_id')}, CAST(props->>'k' AS BIGINT) AS k FROM events", lambda df: df.select("_key", "_v", F.try_variant_get("doc", "$.k", "long").alias("k")))
 
 
 def _nested(spark: SparkSession, folder: str, fields=None, excluded=None) -> DataFrame:
-    from .operators.projection import shape
-
     catalog = tables(spark, folder)
     orders = catalog["orders"].documents()
     nested = orders.select("_key", "_v", "_seq", F.struct(F.struct("o_orderstatus", "o_totalprice").alias("a"), F.struct("o_orderpriority").alias("b")).alias("doc1"))
@@ -192,11 +202,12 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
 
     def rows(df: DataFrame, cmd: str, base: int, v: int, times: float, tx: str | None) -> DataFrame:
         value = F.to_json(F.struct((F.col("o_totalprice") * times).alias("price"))) if cmd == INSERT else F.lit(None).cast("string")
-        return df.select((F.col("k") + base).alias("ord"), F.lit(tx).cast("string").alias("tx_id"), F.lit(cmd).alias("cmd"), F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("collection"), F.col("k").cast("string").alias("key"), value.alias("value"), F.lit(v).cast("long").alias("v"), F.col("k").alias("seq"), F.lit(0).cast("long").alias("created"), (F.col("k") + base).alias("_t"))
+        batch = F.when(F.col("k").isNotNull(), F.concat(F.lit(tx), F.lit("-"), F.lit(base // n).cast("string"))) if tx else F.lit(None).cast("string")
+        return df.select((F.col("k") + base).alias("ord"), batch.alias("tx_id"), F.lit(cmd).alias("cmd"), F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("collection"), F.col("k").cast("string").alias("key"), value.alias("value"), F.lit(v).cast("long").alias("v"), F.col("k").alias("seq"), F.lit(0).cast("long").alias("created"), (F.col("k") + base).alias("_t"))
 
     third, fifth, ninth = o.where("k % 3 = 0"), o.where("k % 5 = 0"), o.where("k % 9 = 0")
-    one = lambda cmd, ord_, tx, coll=None, value=None: spark.range(1).select(F.lit(ord_).cast("long").alias("ord"), F.lit(tx).cast("string").alias("tx_id"), F.lit(cmd).alias("cmd"), F.lit(coll).cast("string").alias("collection"), F.lit(None).cast("string").alias("key"), F.lit(value).cast("string").alias("value"), *[F.lit(None).cast("long").alias(c) for c in ("v", "seq", "created")], F.lit(ord_).cast("long").alias("_t"))
-    parts = [rows(o, INSERT, 0, 1, 1.0, None), one(BEGIN, n - 1, "a"), rows(third, INSERT, n, 2, 2.0, "a"), one(COMMIT, 2 * n - 1, "a"), rows(fifth, DELETE, 2 * n, 0, 0.0, None), one(BEGIN, 3 * n - 1, "b"), rows(ninth, INSERT, 3 * n, 3, 3.0, "b")]
+    one = lambda cmd, ord_, tx, coll=None, value=None: spark.range(1).select(F.lit(ord_).cast("long").alias("ord"), F.when(F.col("id") >= 0, F.lit(tx)).cast("string").alias("tx_id"), F.lit(cmd).alias("cmd"), F.lit(coll).cast("string").alias("collection"), F.lit(None).cast("string").alias("key"), F.lit(value).cast("string").alias("value"), *[F.lit(None).cast("long").alias(c) for c in ("v", "seq", "created")], F.lit(ord_).cast("long").alias("_t"))
+    parts = [rows(o, INSERT, 0, 1, 1.0, None), one(BEGIN, n - 1, "a-1"), rows(third, INSERT, n, 2, 2.0, "a"), one(COMMIT, 2 * n - 1, "a-1"), rows(fifth, DELETE, 2 * n, 0, 0.0, None), one(BEGIN, 3 * n - 1, "b-3"), rows(ninth, INSERT, 3 * n, 3, 3.0, "b")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -245,5 +256,48 @@ add("idle_expiry", lambda s, d: feed.idle_expiry(s.read.parquet(f"{d}/events.par
 add("rate_limit", lambda s, d: feed.rate_limited(s.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts"), 86_400, 3).select("event_id", "limited"), "SELECT event_id, (SELECT count(*) FROM events o WHERE o.user_id = e.user_id AND o.ts < e.ts AND o.ts > e.ts - INTERVAL 86400 SECOND) >= 3 AS limited FROM events e")
 
 
+# writes through the request interface, over an in-memory log
+def _written(spark: SparkSession, folder: str) -> Database:
+    """All customers as documents, the first third of the keys (by remainder) written twice."""
+    db = Database(spark, clock=lambda: 1_000_000)
+    rows = spark.read.parquet(f"{folder}/customer.parquet").select(F.col("c_custkey").cast("string").alias("key"), F.to_json(F.struct("c_name", "c_acctbal")).alias("value"), F.col("c_custkey").alias("at"))
+    last = rows.agg(F.max("at")).first()[0]
+    db.insert("customers", rows, last + 1)
+    db.insert("customers", rows.where("at % 3 = 0"), last + 1)
+    return db
+
+
+def _state(db: Database) -> DataFrame:
+    return db.state("customers").select("key", "v", F.get_json_object("value", "$.c_name").alias("c_name"), F.get_json_object("value", "$.c_acctbal").cast("double").alias("c_acctbal"), F.get_json_object("value", "$.tag").alias("tag"))
+
+
+def _updated(spark: SparkSession, folder: str, guards: bool) -> DataFrame:
+    """Tags by update; with guards each key guards its version, and the first (in the order of keys as text) that isn't at 1 ends it."""
+    db = _written(spark, folder)
+    answer = db.request("update", {"collection": "customers", "data": {str(k): {"tag": "new"} | ({"_v": 1} if guards else {}) for k in range(10, 60)}})
+    return _state(db).withColumn("answer", F.lit(answer.get("statusCode", 200)))
+
+
+def _deleted(spark: SparkSession, folder: str) -> DataFrame:
+    db = _written(spark, folder)
+    db.delete({"collection": "customers", "keys": [str(k) for k in range(1, 90, 2)] + ["none"]})
+    return _state(db).drop("tag")
+
+
+_V = "CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT)"
+add("set_versions", lambda s, d: _state(_written(s, d)).drop("tag"), f"SELECT CAST(c_custkey AS VARCHAR) AS key, {_V} AS v, c_name, c_acctbal FROM customer")
+add("update_keys", lambda s, d: _updated(s, d, False), f"SELECT CAST(c_custkey AS VARCHAR) AS key, {_V} + CASE WHEN c_custkey BETWEEN 10 AND 59 THEN 1 ELSE 0 END AS v, c_name, c_acctbal, CASE WHEN c_custkey BETWEEN 10 AND 59 THEN 'new' END AS tag, 200 AS answer FROM customer")
+add("update_conflict", lambda s, d: _updated(s, d, True), f"WITH t AS (SELECT *, {_V} AS v0, c_custkey BETWEEN 10 AND least(59, (SELECT min(c_custkey) FROM customer WHERE c_custkey BETWEEN 10 AND 59 AND c_custkey % 3 = 0) - 1) AS hit FROM customer) SELECT CAST(c_custkey AS VARCHAR) AS key, v0 + CASE WHEN hit THEN 1 ELSE 0 END AS v, c_name, c_acctbal, CASE WHEN hit THEN 'new' END AS tag, 409 AS answer FROM t")
+add("delete_keys", _deleted, f"SELECT CAST(c_custkey AS VARCHAR) AS key, {_V} AS v, c_name, c_acctbal FROM customer WHERE NOT (c_custkey < 90 AND c_custkey % 2 = 1)")
+_SHARED = [{"collection": "orders", "where": {"o_orderstatus": "F"}, "count": 20}, {"collection": "orders", "where": {"o_totalprice": {"$gt": 300000}}, "order": "asc", "offset": 5, "count": 10}, {"collection": "orders", "count": 15}]
+add("scans_one_pass", lambda s, d: together([read(b) for b in _SHARED], tables(s, d)).select("request", "place", "o_orderkey"), """
+WITH r AS (
+    SELECT 0 AS request, o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders WHERE lower(o_orderstatus) = 'f'
+    UNION ALL SELECT 1, o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 5 FROM orders WHERE o_totalprice > 300000
+    UNION ALL SELECT 2, o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) FROM orders)
+SELECT request, CAST(place AS INTEGER) AS place, o_orderkey FROM r WHERE place > 0 AND place <= CASE request WHEN 0 THEN 20 WHEN 1 THEN 10 ELSE 15 END""")
+add("schema_composed", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", valid(F.parse_json("props"), {"required": ["k"], "properties": {"k": {"$ref": "#/definitions/n"}}, "definitions": {"n": {"oneOf": [{"multipleOf": 2}, {"minimum": 50}], "not": {"const": 60}}}}).alias("ok")), "SELECT event_id, ((CAST(props->>'k' AS BIGINT) % 2 = 0) <> (CAST(props->>'k' AS BIGINT) >= 50)) AND CAST(props->>'k' AS BIGINT) <> 60 AS ok FROM events")
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     return QUERIES["sort_top_n_desc"](spark, folder)
