@@ -61,9 +61,9 @@ BITS, PROBES = 12, 8
 BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts: the factor between levels
 SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
-FLUSH, MERGE = 4_000_000, 2_000_000  # tokens and keys held before they are reduced
-REMEMBERED = 500_000
-BLOCK, GROUP = 4 << 20, 16 << 20  # bytes: texts scored together, filters in a group
+FLUSH, MERGE = 2_000_000, 1_000_000  # tokens and keys held before they are reduced
+REMEMBERED = 200_000
+BLOCK, GROUP = 2 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
 TOLD_DDL = "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>"
 BLOBS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -124,13 +124,12 @@ def count(docs: DataFrame, shard_bits: int) -> DataFrame:
             for kind, keys in ((1, t), (2, pair_keys(np.concatenate([[END], t[:-1]]), t))):
                 yield shards(kind, *np.unique(keys, return_counts=True))
 
-        for batch in rows:
-            for text in texts(batch.column(0)):
-                held.append(np.append(hashes.of(words(text)), END))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
+        for text in (t for batch in rows for k in range(0, batch.num_rows, 500) for t in texts(batch.column(0).slice(k, 500))):
+            held.append(np.append(hashes.of(words(text)), END))
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 
@@ -354,7 +353,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x, kind in zip(block, (pa.int64(), pa.bool_(), pa.binary()))], names=["ids", "held", "bodies"])
 
         for batch in rows:
-            for one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2))):
+            for one in (x for k in range(0, batch.num_rows, 500) for x in zip(batch.column(0).slice(k, 500).to_pylist(), batch.column(1).slice(k, 500).to_pylist(), texts(batch.column(2).slice(k, 500)))):
                 for held, x in zip(block, one):
                     held.append(x)
                 size += len(one[2]) + 64
@@ -438,9 +437,8 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
         end = model.word_values(np.array([END]))
         keys, values = np.full(4096, END), np.repeat(end, 4096, axis=0)  # row 0: the end
         for batch in rows:
-            bodies = texts(batch.column(2))
-            for k in range(0, len(bodies), 256):
-                some = [words(b) for b in bodies[k : k + 256]]
+            for k in range(0, batch.num_rows, 256):
+                some = [words(b) for b in texts(batch.column(2).slice(k, 256))]
                 new = list({w for ws in some for w in ws if w not in known})
                 if len(known) + len(new) > REMEMBERED:
                     known = {}
