@@ -57,12 +57,12 @@ from .common import checkpointed, held_out, mix, partitions, shared_dir, table,
 END = np.uint64(0xE05D_E05D_E05D_E05D)
 D = 0.75
 HEAD = 300_000
-BITS, PROBES = 12, 8
+BITS, PROBES = 10, 7
 BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts: the factor between levels
 SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
-FLUSH, MERGE = 2_000_000, 1_000_000  # tokens and keys held before they are reduced
-REMEMBERED = 200_000
+FLUSH, MERGE = 3_000_000, 1_000_000  # tokens and keys held before they are reduced
+REMEMBERED = 400_000
 BLOCK, GROUP = 2 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
 TOLD_DDL = "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>"
@@ -284,7 +284,7 @@ class Model:
         return np.log10(np.clip(p, 1e-300, 1))
 
 
-def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, DataFrame, int]:
+def train(docs: DataFrame, max_mb: int = 160) -> tuple[Model, DataFrame, DataFrame, int]:
     """docs: (text).  The model, its filters' table (kind, shard, size, bits), the table (key, c) of the words outside its head, and the head's least count."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
@@ -306,8 +306,9 @@ def train(docs: DataFrame, max_mb: int = 64) -> tuple[Model, DataFrame, DataFram
     rows = {r["kind"]: r for r in built.groupBy("kind").agg(*(F.sum(x).alias(x) for x in sums), F.array(*(F.sum(F.get("above", F.lit(j))) for j in range(48))).alias("above")).collect()}
     filters = {}
     if sum(r["size"] for r in rows.values()) <= max_mb << 23:  # the bound of what is broadcast
-        parts = built.select("kind", "shard", "size", "bits").collect()
-        filters = {k: LogBloom(k, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in parts if r["kind"] == k}) for k in (1, 2, 3)}
+        for kind in (1, 2, 3):  # kind by kind and part by part, so that the driver holds them about once
+            own = built.where(F.col("kind") == kind).select("shard", "size", "bits").toLocalIterator()
+            filters[kind] = LogBloom(kind, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in own})
     totals = rows[1].asDict() if 1 in rows else {"n": 0, "distinct": 0, "once": 0, "twice": 0, "mass": 0.0, "above": [0] * 48}
     least = 1 << int(np.flatnonzero(np.array(totals["above"]) <= HEAD)[0])
 
@@ -465,7 +466,7 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
     )
 
 
-def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = 64) -> DataFrame:
+def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = 160) -> DataFrame:
     """Learn from the documents whose crc32 remainder differs, and score all of them."""
     out = held_out("doc_id", modulus, remainder)
     model, filters, rest, _ = train(docs.where(~out).select("text"), max_mb)
