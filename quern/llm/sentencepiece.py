@@ -34,11 +34,11 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +47,9 @@ from .common import TOKENIZERS, partitions, pieces_of, remove, shared_dir, table
 
 BLOCK = 256  # ends of pieces exploded from a row
 HEAD = 400_000
-FLUSH = 600_000
+FLUSH = 600_000  # counts that a task merges at a time
+TOGETHER = 4_000_000  # bytes of texts cut at a time, about
 GROUPS = 12_000  # chunks of a task of the lattice, about
-REMEMBERED = 300_000
 FALLBACK = -1e6
 
 
@@ -62,31 +62,48 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [(p.replace("▁", " "), i, s) for p, i, s in pieces_of(path)]
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.bytes_of = [b""] * sp.get_piece_size()
+        bytes_of = [b""] * sp.get_piece_size()
         for p, i, _ in self.pieces:
-            self.bytes_of[i] = p.encode()
+            bytes_of[i] = p.encode()
         for b, i in enumerate(self.byte_ids):
-            self.bytes_of[i] = bytes([b])
+            bytes_of[i] = bytes([b])
+        self.bytes_of = pa.array(bytes_of, pa.binary())
         self.longest = max(len(p) for p, _, _ in self.pieces)
         if self.longest > 200:
             raise ValueError("pieces of over 200 characters")
         self.id_of = {p: i for p, i, _ in self.pieces}
-        self.pairs = frozenset(p[k : k + 2] for p, _, _ in self.pieces for k in range(len(p) - 1))
-        self.by_words = not any(q[1] == " " != q[0] for q in self.pairs)
+        pairs = sorted({p[k : k + 2] for p, _, _ in self.pieces for k in range(len(p) - 1)})
+        before, after = (sorted({q[k] for q in pairs}) for k in (0, 1))
+        if (len(before) + 1) * (len(after) + 1) > 100_000_000:
+            raise ValueError("pieces join too many kinds of characters")
+        # joined[before[x] + after[y]]: whether a piece has x and y side by side; 0 stands for all other characters
+        self.before, self.after = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        self.before[[ord(x) for x in before]] = np.arange(1, len(before) + 1) * (len(after) + 1)
+        self.after[[ord(y) for y in after]] = np.arange(1, len(after) + 1)
+        self.joined = np.zeros((len(before) + 1) * (len(after) + 1), bool)
+        self.joined[[self.before[ord(q[0])] + self.after[ord(q[1])] for q in pairs]] = True
 
     def chunks(self, text: str) -> list[str]:
-        """The chunks of a text, a space in front of it."""
-        text, pairs = " " + text, self.pairs
-        cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in pairs]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-
-    def words(self, text: str) -> list[str] | None:
-        """The words between single spaces, whose chunks, each with its space, are the text's; None if spaces meet or end it."""
-        words = text.split(" ")
-        return words if self.by_words and "" not in words else None
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
+        return self.cut([text])[0].to_pylist()
+
+    def cut(self, some: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The chunks of the texts, one text or more, in a row, a space in front of each text; and how many each text has."""
+        joined = "".join([x for text in some for x in (" ", text)])
+        points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), joined.encode()
+        sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        heads = np.cumsum(sizes) - sizes
+        cut = np.ones(len(points), bool)
+        np.logical_not(self.joined[self.before[points[:-1]] + self.after[points[1:]]], out=cut[1:])
+        cut[heads] = True
+        at = np.flatnonzero(cut)
+        starts = at if len(data) == len(points) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[at]
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+        return found, np.diff(np.append(np.searchsorted(at, heads), len(at)))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        found = self.bytes_of.take(pa.array(ids, pa.int32()))
+        return found.buffers()[2].to_pybytes()[1 : pc.sum(pc.binary_length(found)).as_py()] if len(found) else b""
 
     def ids(self, chunk: str, ways: str) -> bytes:
         """The ids, as int32, along the ways back that the fold found: the length of the last piece into each place, as a character from "0" on."""
@@ -100,37 +117,40 @@ class Vocabulary:
         return np.array(out[::-1], np.int32).tobytes()
 
 
+def groups(bodies: Iterable[bytes]) -> Iterator[tuple[int, list[bytes], list[str]]]:
+    """(index of the first, bodies, texts) of bodies in a row, until they have TOGETHER bytes or more."""
+    some, start, size = [], 0, 0
+    for k, body in enumerate(bodies):
+        some.append(body)
+        size += len(body)
+        if size >= TOGETHER:
+            yield start, some, [x.decode("utf-8", "replace") for x in some]
+            some, start, size = [], k + 1, 0
+    if some:
+        yield start, some, [x.decode("utf-8", "replace") for x in some]
+
+
 def chunk_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """docs: (text).  (chunk, n) over all texts."""
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        counts: Counter = Counter()
-        chunks_of, words_of = shared.value.chunks, shared.value.words
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for word, n in words.items():
-                for chunk in chunks_of(word):
-                    counts[chunk] += n
-            keys, values = list(counts), list(counts.values())
-            for k in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 50_000], pa.string()), pa.array(values[k : k + 50_000], pa.int64())], schema=schema)
-            counts.clear()
-            words.clear()
+        parts: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(parts).group_by("chunk", use_threads=False).aggregate([("n", "sum")]).select(["chunk", "n_sum"]).rename_columns(schema.names)
 
         for batch in rows:
-            for body in texts(batch.column(0)):
-                text = body.decode("utf-8", "replace")
-                found = words_of(text)
-                if found is None:
-                    counts.update(chunks_of(text))
-                else:
-                    words.update(found)
-                if len(counts) + len(words) > FLUSH:
-                    yield from flush()
-        yield from flush()
+            for _, _, some in groups(texts(batch.column(0))):
+                counts = shared.value.cut(some)[0].value_counts()
+                parts.append(pa.table([counts.field(0), counts.field(1)], schema=schema))
+                if sum(map(len, parts)) > FLUSH:
+                    parts[:] = [merged()]
+                    if 2 * len(parts[0]) > FLUSH:
+                        yield from parts.pop().to_batches(50_000)
+        if parts:
+            yield from merged().to_batches(50_000)
 
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
@@ -189,39 +209,28 @@ def dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-class Outside:
-    """What the broadcast chunks don't hold of a text, and a text's ids once that is known; words are remembered."""
-
-    def __init__(self, vocabulary: Vocabulary, head: dict[str, bytes]):
-        self.vocabulary, self.head = vocabulary, head
-        self.known: dict[str, tuple[str, ...] | bytes] = {}  # a word: its ids, or its chunks if some are outside
-
-    def word(self, word: str) -> tuple[str, ...] | bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        chunks = self.vocabulary.chunks(word)
-        parts = [self.head.get(c) for c in chunks]
-        self.known[word] = out = tuple(chunks) if None in parts else b"".join(parts)
-        return out
+class Head:
+    """The broadcast chunks, in a row, and their ids, flat."""
 
-    def values(self, text: str) -> list:
-        words = self.vocabulary.words(text)
-        if words is None:
-            return [self.vocabulary.chunks(text)]
-        known = self.known
-        out = list(map(known.get, words))
-        if None in out:
-            out = [v if v is not None else self.word(w) for v, w in zip(out, words)]
-        return out
+    def __init__(self, vocabulary: Vocabulary, common: pa.Table):
+        self.chunks = common.column("chunk").cast(pa.string()).combine_chunks()
+        ids = [vocabulary.ids(c, w) for c, w in zip(self.chunks.to_pylist(), common.column("ways").to_pylist())]
+        self.sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.ids = np.frombuffer(b"".join(ids), np.int32)
 
-    def of(self, text: str) -> list[str]:
-        """The chunks outside, each once, in the order of their first places."""
-        head = self.head
-        return list(dict.fromkeys(c for v in self.values(text) if type(v) is not bytes for c in v if c not in head))
+    def places(self, chunks: pa.StringArray) -> np.ndarray:
+        """Each chunk's place in the head, -1 if it is outside."""
+        coded = chunks.dictionary_encode()
+        return pc.index_in(coded.dictionary, value_set=self.chunks).fill_null(-1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy()]
 
-    def ids(self, text: str, own: dict[str, bytes]) -> bytes:
-        head = self.head
-        return b"".join([v if type(v) is bytes else b"".join([head[c] if c in head else own[c] for c in v]) for v in self.values(text)])
+    def fill(self, places: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, flat, and how many each has; own: the ids of those outside, in their order."""
+        sizes, flat = np.append(self.sizes, [len(x) // 4 for x in own]).astype(np.int64), np.append(self.ids, np.frombuffer(b"".join(own), np.int32))
+        starts = np.cumsum(sizes) - sizes
+        at = places.astype(np.int64)
+        at[at < 0] = len(self.sizes) + np.arange(len(own))
+        ends = np.cumsum(sizes[at])
+        return flat[np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(ends[-1])], sizes[at]
 
 
 def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", head: int = HEAD) -> DataFrame:
@@ -234,27 +243,26 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
     tallies = cut.select(band.alias("b")).groupBy("b").count().collect()  # at most 504 rows
     least = 1 + max((r["b"] for r in tallies if sum(x["count"] for x in tallies if x["b"] >= r["b"]) > head), default=-1)
     common = cut.where(band >= least).select("chunk", "ways").toArrow()  # at most ``head`` rows
-    known = spark.sparkContext.broadcast({c: vocabulary.ids(c, w) for c, w in zip(common.column(0).to_pylist(), common.column(1).to_pylist())})
+    known = spark.sparkContext.broadcast(Head(vocabulary, common))
     shared = spark.sparkContext.broadcast(vocabulary)
     key = F.xxhash64("doc_id", "text")
 
     def rest(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outside = Outside(shared.value, known.value)
         for batch in rows:
-            keys, places, chunks = [], [], []
-            for k, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                others = outside.of(text.decode("utf-8", "replace"))
-                keys += [k] * len(others)
-                places += range(len(others))
-                chunks += others
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(chunks, pa.string())], names=["key", "place", "chunk"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, _, some in groups(texts(batch.column(1))):
+                chunks, counts = shared.value.cut(some)
+                out = np.flatnonzero(known.value.places(chunks) < 0)
+                row = np.repeat(np.arange(len(some)), counts)[out]
+                place = np.arange(len(out)) - np.searchsorted(row, row)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[start + row]), pa.array(place, pa.int32()), chunks.take(pa.array(out))], names=["key", "place", "chunk"])
 
     keyed = docs.select(key.alias("key"), "doc_id", "text")
     sample = [r["text"].encode() for r in docs.where(F.length("text").between(500, 20_000)).select("text").limit(400).collect()]  # shapes the packing alone
     packing = spark.sparkContext.broadcast(zstandard.train_dictionary(1 << 17, sample).as_bytes() if len(sample) >= 100 else b"")
 
     def packed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=5, dict_data=dictionary(packing.value))
+        codec = zstandard.ZstdCompressor(level=3, dict_data=dictionary(packing.value))
         for batch in rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array([codec.compress(t) for t in texts(batch.column(2))], pa.binary())], names=["key", "doc_id", "packed"])
 
@@ -265,21 +273,23 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("round_trip", pa.bool_())])
 
     def put_together(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, outside = shared.value, Outside(shared.value, known.value)
+        vocabulary, head = shared.value, known.value
         codec = zstandard.ZstdDecompressor(dict_data=dictionary(packing.value))
         for batch in rows:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out, fits = [], []
-                for body, tail in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    source = codec.decompress(body)
-                    text = source.decode("utf-8", "replace")
-                    found = {o["place"]: o["ways"] for o in tail or ()}
-                    own = {c: vocabulary.ids(c, found[k]) for k, c in enumerate(outside.of(text))}
-                    ids = np.frombuffer(outside.ids(text, own), np.int32)
-                    out.append(ids)
-                    fits.append(vocabulary.decode(ids.tolist()) == source)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, schema.field("ids").type), pa.array([len(x) for x in out], pa.int64()), pa.array(fits)], schema=schema)
+            tails = batch.column(2).to_pylist()
+            for start, sources, some in groups(map(codec.decompress, batch.column(1).to_pylist())):
+                chunks, counts = vocabulary.cut(some)
+                places = head.places(chunks)
+                out = np.flatnonzero(places < 0)
+                row = np.repeat(np.arange(len(some)), counts)[out]
+                place = np.arange(len(out)) - np.searchsorted(row, row)
+                ways = [{o["place"]: o["ways"] for o in tail or ()} for tail in tails[start : start + len(some)]]
+                own = [vocabulary.ids(c, ways[r][k]) for c, r, k in zip(chunks.take(pa.array(out)).to_pylist(), row.tolist(), place.tolist())]
+                ids, sizes = head.fill(places, own)
+                bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+                fits = [vocabulary.decode(ids[a:b]) == source for a, b, source in zip(bounds[:-1], bounds[1:], sources)]
+                listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), listed, pa.array(np.diff(bounds)), pa.array(fits)], schema=schema)
 
     return bodies.join(others, "key", "left").select("doc_id", "packed", "others").mapInArrow(put_together, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
