@@ -48,7 +48,8 @@ from .common import TOKENIZERS, partitions, pieces_of, remove, shared_dir, table
 BLOCK = 256  # ends of pieces exploded from a row
 HEAD = 400_000
 FLUSH = 600_000  # counts that a task merges at a time
-TOGETHER = 4_000_000  # bytes of texts cut at a time, about
+TOGETHER = 3_000_000  # bytes of texts looked up at a time, about
+AT_ONCE = 400_000  # characters cut at a time, about
 GROUPS = 12_000  # chunks of a task of the lattice, about
 FALLBACK = -1e6
 
@@ -87,7 +88,16 @@ class Vocabulary:
         return self.cut([text])[0].to_pylist()
 
     def cut(self, some: list[str]) -> tuple[pa.StringArray, np.ndarray]:
-        """The chunks of the texts, one text or more, in a row, a space in front of each text; and how many each text has."""
+        """The chunks of the texts, one text or more, in a row, a space in front of each text; and how many each has."""
+        parts, start, size = [], 0, 0
+        for k, text in enumerate(some):
+            size += len(text) + 1
+            if size >= AT_ONCE or k == len(some) - 1:
+                parts.append(self._cut(some[start : k + 1]))
+                start, size = k + 1, 0
+        return pa.concat_arrays([x for x, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _cut(self, some: list[str]) -> tuple[pa.StringArray, np.ndarray]:
         joined = "".join([x for text in some for x in (" ", text)])
         points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), joined.encode()
         sizes = np.fromiter(map(len, some), np.int64, len(some)) + 1
@@ -131,7 +141,7 @@ def groups(bodies: Iterable[bytes]) -> Iterator[tuple[int, list[bytes], list[str
 
 
 def chunk_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs: (text).  (chunk, n) over all texts."""
+    """docs: (text).  (chunk, n) over all texts; a task's are put in order, so that they pack well in the shuffle."""
     schema = pa.schema([("chunk", pa.string()), ("n", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a fixed file
 
@@ -148,9 +158,9 @@ def chunk_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 if sum(map(len, parts)) > FLUSH:
                     parts[:] = [merged()]
                     if 2 * len(parts[0]) > FLUSH:
-                        yield from parts.pop().to_batches(50_000)
+                        yield from parts.pop().sort_by("chunk").to_batches(50_000)
         if parts:
-            yield from merged().to_batches(50_000)
+            yield from merged().sort_by("chunk").to_batches(50_000)
 
     return docs.select("text").mapInArrow(run, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
 
@@ -276,14 +286,14 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
         vocabulary, head = shared.value, known.value
         codec = zstandard.ZstdDecompressor(dict_data=dictionary(packing.value))
         for batch in rows:
-            tails = batch.column(2).to_pylist()
             for start, sources, some in groups(map(codec.decompress, batch.column(1).to_pylist())):
                 chunks, counts = vocabulary.cut(some)
                 places = head.places(chunks)
                 out = np.flatnonzero(places < 0)
                 row = np.repeat(np.arange(len(some)), counts)[out]
                 place = np.arange(len(out)) - np.searchsorted(row, row)
-                ways = [{o["place"]: o["ways"] for o in tail or ()} for tail in tails[start : start + len(some)]]
+                tails = batch.column(2).slice(start, len(some)).to_pylist()
+                ways = [{o["place"]: o["ways"] for o in tail or ()} for tail in tails]
                 own = [vocabulary.ids(c, ways[r][k]) for c, r, k in zip(chunks.take(pa.array(out)).to_pylist(), row.tolist(), place.tolist())]
                 ids, sizes = head.fill(places, own)
                 bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
