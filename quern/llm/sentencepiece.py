@@ -51,6 +51,7 @@ FLUSH = 600_000  # counts that a task merges at a time
 TOGETHER = 3_000_000  # bytes of texts looked up at a time, about
 AT_ONCE = 400_000  # characters cut at a time, about
 GROUPS = 12_000  # chunks of a task of the lattice, about
+ROWS = 100  # texts whose ids are put together at a time
 FALLBACK = -1e6
 
 
@@ -225,7 +226,8 @@ class Head:
     def __init__(self, vocabulary: Vocabulary, common: pa.Table):
         self.chunks = common.column("chunk").cast(pa.string()).combine_chunks()
         ids = [vocabulary.ids(c, w) for c, w in zip(self.chunks.to_pylist(), common.column("ways").to_pylist())]
-        self.sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        self.sizes = np.array([len(x) // 4 for x in ids], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
         self.ids = np.frombuffer(b"".join(ids), np.int32)
 
     def places(self, chunks: pa.StringArray) -> np.ndarray:
@@ -235,12 +237,15 @@ class Head:
 
     def fill(self, places: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks in a row, flat, and how many each has; own: the ids of those outside, in their order."""
-        sizes, flat = np.append(self.sizes, [len(x) // 4 for x in own]).astype(np.int64), np.append(self.ids, np.frombuffer(b"".join(own), np.int32))
-        starts = np.cumsum(sizes) - sizes
-        at = places.astype(np.int64)
-        at[at < 0] = len(self.sizes) + np.arange(len(own))
-        ends = np.cumsum(sizes[at])
-        return flat[np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(ends[-1])], sizes[at]
+        out, extra = places < 0, np.array([len(x) // 4 for x in own], np.int32)
+        sizes, starts = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
+        sizes[~out], starts[~out] = self.sizes[places[~out]], self.starts[places[~out]]
+        sizes[out], starts[out] = extra, len(self.ids) + np.cumsum(extra) - extra
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])
+        ids, apart = np.empty(len(at), np.int32), at >= len(self.ids)
+        ids[~apart], ids[apart] = self.ids[at[~apart]], np.frombuffer(b"".join(own), np.int32)
+        return ids, sizes
 
 
 def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", head: int = HEAD) -> DataFrame:
@@ -295,11 +300,15 @@ def encode(docs: DataFrame, path: str = f"{TOKENIZERS}/piece_bpe_32k.model", hea
                 tails = batch.column(2).slice(start, len(some)).to_pylist()
                 ways = [{o["place"]: o["ways"] for o in tail or ()} for tail in tails]
                 own = [vocabulary.ids(c, ways[r][k]) for c, r, k in zip(chunks.take(pa.array(out)).to_pylist(), row.tolist(), place.tolist())]
-                ids, sizes = head.fill(places, own)
-                bounds = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
-                fits = [vocabulary.decode(ids[a:b]) == source for a, b, source in zip(bounds[:-1], bounds[1:], sources)]
-                listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(some)), listed, pa.array(np.diff(bounds)), pa.array(fits)], schema=schema)
+                upto = np.append(0, np.cumsum(counts))
+                for r in range(0, len(some), ROWS):
+                    to = min(r + ROWS, len(some))
+                    first, last = np.searchsorted(row, [r, to])
+                    ids, sizes = head.fill(places[upto[r] : upto[to]], own[first:last])
+                    bounds = np.append(0, np.cumsum(sizes))[upto[r : to + 1] - upto[r]]
+                    fits = [vocabulary.decode(ids[a:b]) == source for a, b, source in zip(bounds[:-1], bounds[1:], sources[r:to])]
+                    listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start + r, to - r), listed, pa.array(np.diff(bounds), pa.int64()), pa.array(fits)], schema=schema)
 
     return bodies.join(others, "key", "left").select("doc_id", "packed", "others").mapInArrow(put_together, "doc_id long, ids array<int>, n_pieces long, round_trip boolean")
 
