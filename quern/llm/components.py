@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+PER_TASK = 100_000  # links
+
 
 def forest(pairs: DataFrame) -> DataFrame:
     """A spanning forest of each partition's (a, b) links; components stay the same."""
@@ -37,7 +39,11 @@ def forest(pairs: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(node, root) for every node of (a, b) links but the roots themselves; root is the component's least node."""
+    """(node, root) for every node of (a, b) links but the roots themselves; root is the component's least node.
+
+    The links of a round are written by as many tasks as they need, since each file of a checkpoint, an empty one too, costs
+    the executor some processes.
+    """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         # (u, v) as seen from u; least: the least of u and the neighbours considered
@@ -59,7 +65,7 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = checkpointed(forest(pairs).distinct())
     before = mark(edges)
     while before[0]:
-        edges = checkpointed(star(star(edges, True), False))
+        edges = checkpointed(star(star(edges, True), False).coalesce(-(-2 * before[0] // PER_TASK)))
         now = mark(edges)
         if now == before:
             break

@@ -130,8 +130,14 @@ def anchors(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def links(distinct: DataFrame, t: int = 2) -> DataFrame:
-    """distinct: (fp).  (a, b), a < b: the pairs of fingerprints that differ in 1 to t bits, each once."""
-    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
+    """distinct: (fp).  (a, b), a < b: the pairs of fingerprints that differ in 1 to t bits, each once.
+
+    With a column root, a long, of distinct: (a, ra, b, rb), the pairs of different roots alone.
+    """
+    rooted = "root" in distinct.columns
+    distinct = distinct.select("fp", *["root"] * rooted)
+    schema = pa.schema([(x, pa.int64()) for x in ("anchor", *distinct.columns)])
+    names = ", ".join(f"{x} long" for x in schema.names)
 
     def spread(homes: bool):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +145,18 @@ def links(distinct: DataFrame, t: int = 2) -> DataFrame:
                 for k in range(0, batch.num_rows, 2000):
                     fps = batch.column(0).slice(k, 2000).to_numpy(zero_copy_only=False)
                     home, near, sizes = anchors(fps, t)
-                    yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(fps)] if homes else [pa.array(near), pa.array(np.repeat(fps, sizes))], schema=schema)
+                    values = [fps, *(c.slice(k, 2000).to_numpy(zero_copy_only=False) for c in batch.columns[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ([home, *values] if homes else [near, *(np.repeat(v, sizes) for v in values)])], schema=schema)
 
         return run
 
     # dealt out by number before replicas are made, and sized so that a task's homes fit in its hash table
     tasks = max(partitions(distinct.sparkSession), -(-distinct.count() // PER_TASK))
-    dealt = distinct.select("fp").repartition(tasks, "fp")
-    home = dealt.mapInArrow(spread(True), "anchor long, fp long").withColumnRenamed("fp", "a").repartition(tasks, "anchor")
-    near = dealt.mapInArrow(spread(False), "anchor long, fp long").withColumnRenamed("fp", "b").repartition(tasks, "anchor")
-    return near.join(home.hint("shuffle_hash"), "anchor").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t).select("a", "b")
+    dealt = distinct.repartition(tasks, "fp")
+    home = dealt.mapInArrow(spread(True), names).withColumnsRenamed({"fp": "a", "root": "ra"}).repartition(tasks, "anchor")
+    near = dealt.mapInArrow(spread(False), names).withColumnsRenamed({"fp": "b", "root": "rb"}).repartition(tasks, "anchor")
+    met = near.join(home.hint("shuffle_hash"), "anchor").where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= t)
+    return met.where("ra != rb").select("a", "ra", "b", "rb") if rooted else met.select("a", "b")
 
 
 def classes(prints: DataFrame, t: int = 2) -> DataFrame:
@@ -170,10 +178,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, t: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, t: int = 2) -> DataFrame:
     """One row of each component of near copies, all columns as they are: the smallest doc_id (null last), then text hash.
 
-    Near copies are texts with a similarity of 4/5 or more of their 5-word shingles.  Fingerprints of such texts differ
-    in up to a dozen bits, which no anchors can cover at a bearable number of replicas.  So the anchors give the first
-    candidates, those within t bits, which the whole sets verify; and a second covering, of the sets by their rare
-    shingles (see ``similar``), finds every link between texts that are still apart.
+    Near copies by weight are texts whose fingerprints of 5-word shingles are within t bits, as the anchors find them, and
+    whose shingles with repeats have a similarity of 4/5 or more.  Near copies as sets are texts whose sets of shingles
+    have one of 4/5 or more; their fingerprints differ in up to a dozen bits, which no anchors can cover at a bearable
+    number of replicas, so a second covering, of the sets by their rare shingles (see ``similar``), finds them.  Both
+    kinds of links count.
     """
     at, columns = docs.columns.index("text"), docs.columns
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("fp", pa.int64())])
@@ -189,15 +198,9 @@ def keep_one(docs: DataFrame, t: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([similar.key(x) for x in texts(batch.column(at))], pa.int64())], names=[*columns, "_key"])
 
     prints = checkpointed(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, fp long"))
-    by = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("key")))
-    same = prints.select("fp", "key").distinct().join(by.withColumnRenamed("key", "a"), "fp").where("key != a").select("a", F.col("key").alias("b"))
-    ends = (by.select(F.col("fp").alias(x), F.col("key").alias(f"k{x}")) for x in "ab")
-    near = links(by.select("fp"), t)
-    for end in ends:
-        near = near.join(end, end.columns[0])
-    pairs = same.union(near.select("ka", "kb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    each = checkpointed(prints.select("key", "fp").distinct())
     texts_ = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
-    roots = components(similar.links(texts_.select(F.col("_key").alias("key"), "text"), pairs))
+    roots = components(similar.links(docs.select("text"), texts_.select(F.col("_key").alias("key"), "text"), prints.count(), each, lambda some: links(some, t)))
     joined = prints.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_first"))

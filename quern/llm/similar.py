@@ -1,19 +1,30 @@
-"""The second covering of ``simhash.keep_one``: near copies by the similarity of their word shingles, exactly.
+"""The links of ``simhash.keep_one``: near copies by SimHash and by the similarity of their word shingles, exactly.
 
-Two texts are linked if the Jaccard similarity of their sets of WIDTH-word
-shingles (of the whole sequence, where it has fewer words) is 4/5 or more; texts
-of the same words (A-Z lower-cased) are one text.  No link is missed but by a
-collision of 64-bit hashes (XXH64).
+Two texts are linked
 
-Candidates: put each set in one order.  Of sets with n and m shingles that are
+    by weight   if their fingerprints link and the similarity of their WIDTH-word
+                shingles with repeats (sum of least counts over sum of greatest)
+                is 4/5 or more, as fingerprints count repeats, or
+    as sets     if the Jaccard similarity of their sets of shingles is 4/5 or more
+
+(a text of fewer words is one shingle).  Texts of the same words (A-Z lower-cased)
+are one text.  Neither kind holds the other: texts of one line, again and again,
+and some words of their own are linked by weight alone.  No link is missed but by
+a collision of 64-bit hashes (XXH64).
+
+Candidates by weight: the texts of linked fingerprints.  The least text of each
+fingerprint is compared first, along a spanning forest of the links; at the end,
+all that are still apart.
+
+Candidates as sets: put each set in one order.  Of sets with n and m shingles that are
 linked, each has the first shared one among its first n - ceil(4n/5) + 1, and
 from there on both are long enough for the overlap (prefix and position
 filters).  Any order common to all sets is exact; shingles that a bounded sample
 of texts holds often come last, so that common lines and passages give few
 candidates.
 
-Links: the candidates that the anchors gave are verified first.  Where components
-remain apart, each text is compared with the least and the greatest text of each
+Links: the candidates that the fingerprints gave are verified first, in both
+ways.  Where components remain apart, each text is compared with the least and the greatest text of each
 of its prefix shingles, then with two texts that
 a hash picks for each, so a large group of copies costs little more than its size.
 Then only texts of still different components that share a prefix shingle are
@@ -28,7 +39,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -37,8 +48,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, texts, words
-from .components import components
+from .common import mix, shared_dir, texts, words
+from .components import components, forest
 
 WIDTH = 5
 SKETCH = 256  # ranges of hashes, a power of two
@@ -50,16 +61,29 @@ def key(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(words(text)), 7) - (1 << 63)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The hashes of the text's shingles, signed, sorted, each once."""
+def hashes(text: bytes) -> np.ndarray:
+    """The hashes of the text's shingles, repeats included, in their order."""
     found = words(text)
     if not found:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     digest, joined = xxhash.xxh64_intdigest, b" ".join(found)
     ends = list(accumulate(len(w) + 1 for w in found))
     total = max(1, len(found) - WIDTH + 1)
-    hashes = (digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(WIDTH, len(found)) - 1 :]))
-    return np.unique(np.fromiter(hashes, np.uint64, total).view(np.int64))
+    each = (digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(WIDTH, len(found)) - 1 :]))
+    return np.fromiter(each, np.uint64, total)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """The hashes of the text's shingles, signed, sorted, each once."""
+    return np.unique(hashes(text).view(np.int64))
+
+
+def repeats(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """shingles(text), and a hash of shingle and number for each time that one comes again, signed, sorted."""
+    grams, counts = np.unique(hashes(text).view(np.int64), return_counts=True)
+    more = counts - 1
+    number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+    return grams, np.sort(mix(np.repeat(grams, more).view(np.uint64), number.astype(np.uint64)).view(np.int64))
 
 
 def prefix(n: int) -> int:
@@ -67,23 +91,23 @@ def prefix(n: int) -> int:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """docs: (key, text).  (key, grams, sketch), once for each key of a task; sketch: the number of grams in each range."""
-    schema = pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+    """docs: (text).  (key, grams, again, sketch), once for each key of a task; again: see repeats; sketch: the number of grams in each range."""
+    schema = pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64())), ("again", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in rows:
             for k in range(0, batch.num_rows, 500):
-                some = [(i, t) for i, t in zip(batch.column(0).slice(k, 500).to_pylist(), texts(batch.column(1).slice(k, 500))) if i not in seen and not seen.add(i)]
-                grams = [shingles(t) for _, t in some]
+                some = [(i, t) for t in texts(batch.column(0).slice(k, 500)) if (i := key(t)) not in seen and not seen.add(i)]
+                grams, again = zip(*(repeats(t) for _, t in some)) if some else ((), ())
                 sketches = [np.bincount(g.view(np.uint64) // np.uint64(2**64 // SKETCH), minlength=SKETCH).astype(np.int32) for g in grams]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(grams, schema[1].type), pa.array(sketches, schema[2].type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([i for i, _ in some], grams, again, sketches), schema)], schema=schema)
 
-    return docs.select("key", "text").mapInArrow(run, "key long, grams array<long>, sketch array<int>")
+    return docs.select("text").mapInArrow(run, "key long, grams array<long>, again array<long>, sketch array<int>")
 
 
 def postings(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """docs: (key, text).  (gram, key, n, pos) for each shingle of a prefix; common: sorted shingles that come last, by their rank."""
+    """docs: (text).  (gram, key, n, pos) for each shingle of a prefix; common: sorted shingles that come last, by their rank."""
     shared = docs.sparkSession.sparkContext.broadcast((common, rank))  # at most COMMONEST
     schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
@@ -91,21 +115,22 @@ def postings(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame
         common, rank = shared.value
         for batch in rows:
             for k in range(0, batch.num_rows, 500):
-                keys, out, sizes, whole = batch.column(0).slice(k, 500).to_numpy(zero_copy_only=False), [np.zeros(0, np.int64)], [], []
-                for text in texts(batch.column(1).slice(k, 500)):
+                keys, out, sizes, whole = [], [np.zeros(0, np.int64)], [], []
+                for text in texts(batch.column(0).slice(k, 500)):
                     grams = shingles(text)
                     if len(common):
                         at = np.searchsorted(common, grams).clip(max=len(common) - 1)
                         order = np.where(common[at] == grams, rank[at], 0)
                         if order.any():
                             grams = grams[np.argsort(order, kind="stable")]
+                    keys.append(key(text))
                     out.append(grams[: prefix(len(grams))])
                     sizes.append(len(out[-1]))
                     whole.append(len(grams))
                 pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if sizes else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(np.array(whole, np.int32), sizes)), pa.array(pos)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), sizes)), pa.array(np.repeat(np.array(whole, np.int32), sizes)), pa.array(pos)], schema=schema)
 
-    return docs.select("key", "text").mapInArrow(run, "gram long, key long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "gram long, key long, n int, pos int")
 
 
 def possible(a: str, b: str) -> Column:
@@ -113,15 +138,18 @@ def possible(a: str, b: str) -> Column:
     return F.expr(f"9 * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= 4 * ({a}.n + {b}.n)")
 
 
-def both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of keys with both keys' values, as xa and xb."""
+def both(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
+    """The pairs (a, b) of keys with both keys' values: the first as xa and xb, the second as ya and yb."""
     for end in "ab":
-        pairs = pairs.join(values.select(F.col("key").alias(end), F.col(name).alias(f"x{end}")), end)
+        pairs = pairs.join(values.select(F.col("key").alias(end), *(F.col(name).alias(f"{x}{end}") for x, name in zip("xy", names))), end)
     return pairs
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """docs: (key, text); pairs: (a, b), candidates.  (a, b), a < b: links of keys that give the components of all links."""
+def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b), a < b: links of keys that give the components of all links.
+
+    docs: (text); keyed: the same with key; total: about how many; prints: (key, fp), once each; linked: simhash.links.
+    """
     spark = docs.sparkSession
     folder = shared_dir(spark, "similar")
 
@@ -129,15 +157,23 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    total = docs.count()
-    sampled = sets(docs.where(F.pmod(F.xxhash64("key"), F.lit(max(1, total // SAMPLED))) == 0)).dropDuplicates(["key"])
+    near = stored(forest(linked(prints.select("fp").distinct())), "near")  # the links themselves grow with the square of a group
+    least = prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n"))
+    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"k{x}")) for x in "ab"]
+    pairs = prints.join(least, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    pairs = pairs.union(near.join(ends[0], "a").join(ends[1], "b").select(F.least("ka", "kb"), F.greatest("ka", "kb")))
+    some = least.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
+    members = stored(prints.join(some, "fp", "left_semi").select("key", "fp"), "members")
+
+    sampled = sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLED))) == 0)).dropDuplicates(["key"])
     often = sampled.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "gram").limit(COMMONEST).toArrow()
     common, rank = (often.column(x).to_numpy() for x in ("gram", "count"))
     order = np.argsort(common)
     found = stored(postings(docs, common[order], rank[order]), "postings")
-    ends = found.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram")
-    shared = stored(found.join(ends, "gram", "left_semi").dropDuplicates(["gram", "key"]), "shared")
-    grams = stored(sets(docs.join(shared.select("key").distinct(), "key", "left_semi")), "sets")  # a key comes once a task
+    several = found.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram")
+    shared = stored(found.join(several, "gram", "left_semi").dropDuplicates(["gram", "key"]), "shared")
+    asked = shared.select("key").union(members.select("key")).distinct()
+    grams = stored(sets(keyed.join(asked, "key", "left_semi")), "sets")  # a key comes once a task
     sketches = grams.select("key", "sketch").dropDuplicates(["key"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -145,10 +181,21 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         size, least = (lambda x: F.aggregate(x, F.lit(0), lambda n, k: n + k)), F.zip_with("xa", "xb", lambda x, y: F.least(x, y))
         likely = both(stored(pairs, f"{name}-pairs"), sketches, "sketch").where(9 * size(least) >= 4 * (size("xa") + size("xb"))).select("a", "b")
         likely = stored(likely, f"{name}-likely")
-        needed = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        whole = grams.select("key", "grams").join(needed, "key", "left_semi").dropDuplicates(["key"])
         overlap = 9 * F.size(F.array_intersect("xa", "xb")) >= 4 * (F.size("xa") + F.size("xb"))
-        return stored(both(likely, whole, "grams").where(overlap).select("a", "b"), name)
+        return stored(both(likely, of(likely), "grams").where(overlap).select("a", "b"), name)
+
+    def of(pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs' keys."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        return grams.join(needed, "key", "left_semi").dropDuplicates(["key"])
+
+    def weighed(pairs: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) of keys of linked fingerprints that are linked by weight or as sets."""
+        pairs = stored(pairs, f"{name}-pairs")
+        overlap, sizes = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
+        again, more = F.size(F.array_intersect("ya", "yb")), F.size("ya") + F.size("yb")
+        alike = (9 * overlap >= 4 * sizes) | (9 * (overlap + again) >= 4 * (sizes + more))
+        return stored(both(pairs, of(pairs), "grams", "again").where(alike).select("a", "b"), name)
 
     def stars(some: DataFrame, by: Column, name: str) -> DataFrame:
         ends = some.groupBy("gram").agg(*(f(F.struct(by.alias("by"), "key", "n", "pos")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))))
@@ -162,10 +209,20 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         several = roots.groupBy("gram").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("gram")
         return roots.join(several, "gram", "left_semi")
 
-    anchored = verified(pairs, "anchored")
+    anchored = weighed(pairs, "anchored")
     first = anchored.union(stars(apart(shared, anchored), F.col("key"), "first"))
     second = first.union(stars(apart(shared, first), F.xxhash64("gram", "key"), "second"))
     live = stored(apart(shared, second), "live")
     x, y = live.alias("x"), live.alias("y")
     rest = x.join(y, F.expr("x.gram = y.gram and x.key < y.key and x.root != y.root") & possible("x", "y")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    return second.union(verified(rest, "rest"))
+    as_sets = second.union(verified(rest, "rest"))
+    rooted = members.join(components(as_sets), F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("root"))
+    group = components(near).select(F.col("node").alias("fp"), F.col("root").alias("group"))
+    rooted = stored(rooted.join(group, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "rooted")
+    mixed = rooted.groupBy("group").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("group")
+    cells = stored(rooted.join(mixed, "group", "left_semi").select("fp", "root").distinct(), "cells")  # texts of one component aren't paired
+    x, y = (cells.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    last = x.join(y, F.expr("a = b and ra < rb")).select("a", "ra", "b", "rb").union(linked(cells))
+    for x in "ab":
+        last = last.join(rooted.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("key").alias(f"k{x}")), [x, f"r{x}"])
+    return as_sets.union(weighed(last.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "last"))

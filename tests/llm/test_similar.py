@@ -1,8 +1,9 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import corpus_pipeline
-from quern.llm import similar
+from quern.llm import similar, simhash
 
 
 def grams(text):
@@ -56,3 +57,31 @@ def test_near_duplicates_stage_finds_all_planted_copies(spark, docs, awkward):
 def test_prefixes_and_short_texts():
     assert [similar.prefix(n) for n in (0, 1, 4, 5, 10)] == [0, 1, 1, 2, 3]
     assert [len(similar.shingles(t)) for t in (b"", b"a", b"a b c d", b"A b c d e", b"a b c d e f")] == [0, 1, 1, 1, 2]
+
+
+def test_links_of_fingerprints_count(spark, docs, monkeypatch):
+    """Texts of a line again and again, with some words of their own: only the anchors' links join them."""
+    line = " ".join(f"line{k}" for k in range(21))
+    own = lambda n, k: " ".join(f"own{n}x{j}" for j in range(k))
+    rows = [(n, f"{line} " * 10 + own(n, 20), "en") for n in range(1, 9)]  # 206 shingles in common, 24 of each text's own
+    rows += [(n, f"{line} " * 60 + own(n, 1500), "en") for n in (11, 12)]  # as many of their own
+    rows += [(21, own(21, 80), "en"), (22, own(21, 80) + " more", "en"), (23, own(23, 80), "en")]
+
+    def weighed(a, b):
+        a, b = (Counter(zip(*(w[k:] for k in range(5)))) for w in (a.split(), b.split()))
+        return sum((a & b).values()) / sum((a | b).values())
+
+    def least(bits):
+        """The least id of each component."""
+        fps, of = {i: simhash.fingerprint(t.encode(), 5) for i, t, _ in rows}, {i: i for i, _, _ in rows}
+        for (i, t, _), (j, u, _) in combinations(rows, 2):
+            if linked(t, u) or (fps[i] ^ fps[j]).bit_count() <= bits and weighed(t, u) >= 0.8:
+                of = {k: min(of[i], of[j]) if r in (of[i], of[j]) else r for k, r in of.items()}
+        return sorted(set(of.values()))
+
+    kept = lambda: sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect())
+    assert not linked(rows[0][1], rows[1][1]) and len(least(2)) < len(least(0)) < len(rows)
+    assert kept() == least(2)
+    links = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, t: links(distinct, t).where("false"))
+    assert kept() == least(0)
