@@ -5,18 +5,20 @@ than 64 dimensions are first projected on 64 fixed random directions).  Equal
 codes are one entry of the index with their k + 1 smallest ids, cut in each task
 before the shuffle, so a hot code stays small; equal query codes are one search.
 
-The 64 bits are cut into m segments of about log2(entries) bits, so that a
-segment's value leads to about one entry.  The index is one table of (segment,
-value, entry).  In round s = 0, 1, 2, ... each open query makes, for each
-segment, all values that differ from its own in exactly s bits, and meets the
-index in an equi-join; full distances are verified, and the best so far kept.  A
-pair that several probes find counts at the first of them alone, which the two
-codes themselves tell.  After round s every code within distance m (s + 1) - 1 has
-been seen, as otherwise each segment would differ in over s bits.  So a query is
-done, and leaves, once its last wanted distance is at most that: the result is
-exact.  When another round would make more probes for a query than there are
-entries, the queries still open read the entries instead, ``block`` queries at a
-time, which is exact too.
+The entries are dealt out in blocks of at most about ``most`` entries, the queries
+in parts, and a task holds the codes of one block and one part in arrays.  The
+64 bits are cut into m segments of about log2(entries) - 4 bits, so that a
+segment's value leads to some entries in a row; for each segment the block's codes
+lie in order of its values, with the place where each value begins.  In round
+s = 0, 1, 2, ... each open query probes, segment by segment, all values that
+differ from its own in exactly s bits; full distances are verified, and the best
+so far kept.  After segment j (from 0) of round s every code within distance
+m s + j has been seen, as otherwise the segments up to j would differ in over s
+bits each and the others in s at least.  So a query is done once its last wanted
+distance is at most that: the result is exact.  When another round would make
+more probes for a query than the block has entries, the queries still open read
+the block's entries instead, which is exact too.  The first block's last wanted
+distances bound the search in all others.
 
 Neighbours are ordered by (distance, id); a vector isn't its own neighbour, but
 copies under other ids are.  Fewer than k others give fewer rows.  Null, empty
@@ -29,6 +31,7 @@ ignored; vectors of any length are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 from math import comb, log2
 
@@ -37,9 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, partitions, table
 
 PROJECT = "id long, code long"
+MOST = 1 << 21  # entries in a block
+AT_ONCE = 1 << 17  # candidates verified at a time
+TASKS, FEWEST, QUERIES = 96, 200, 250_000  # tasks as far as each has FEWEST queries; the most queries of a task
 
 
 def bits_of(column: pa.Array, seed: int, planes: dict[int, np.ndarray]) -> np.ndarray:
@@ -73,24 +79,15 @@ def codes(vectors: DataFrame, seed: int = 11) -> DataFrame:
 
 def segments(entries: int, most: int = 8) -> list[tuple[int, int]]:
     """(shift, width) of each segment."""
-    m = min(most, max(1, round(64 / log2(max(entries, 2)))))
+    m = min(most, max(1, round(64 / max(1.0, log2(max(entries, 2)) - 4))))
     cuts = [64 * j // m for j in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def part(code, shift: int, width: int):
-    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-
-
-def parts(code, cuts: list[tuple[int, int]]):
-    return F.array(*(part(code, *c) for c in cuts))
-
-
-def masks(spark, cuts: list[tuple[int, int]], s: int) -> DataFrame:
-    """(segment, mask): the ways to differ in s bits."""
-    by = {w: np.array([sum(1 << b for b in c) for c in combinations(range(w), s)], np.uint64).view(np.int64) for w in {w for _, w in cuts}}
-    each = [by[w] for _, w in cuts]
-    return spark.createDataFrame(pa.table({"segment": np.repeat(np.arange(len(cuts), dtype=np.int32), [len(x) for x in each]), "mask": np.concatenate(each)}))
+@cache
+def masks(width: int, s: int) -> np.ndarray:
+    """The ways to differ in s bits."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), s)], np.int64)
 
 
 def best_of(found: DataFrame, want: int) -> DataFrame:
@@ -99,74 +96,147 @@ def best_of(found: DataFrame, want: int) -> DataFrame:
     return found.withColumn("_rank", rank).where(F.col("_rank") <= want).drop("_rank")
 
 
-def read_all(asked: DataFrame, entries: DataFrame, want: int, block: int) -> DataFrame:
-    """The first ``want`` of each asked code by reading all entries, ``block`` codes at a time."""
-    spark, out = asked.sparkSession, None
-    n = max(1, -(-asked.count() // block))
-    for b in range(n):
-        some = asked.where(F.pmod(F.xxhash64("asked"), F.lit(n)) == b).select("asked").toArrow().column(0).to_numpy().view(np.uint64)  # about ``block`` codes
-        shared = spark.sparkContext.broadcast(some)
-
-        def run(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held: list[list[tuple[int, int]]] = [[] for _ in shared.value]
-            for batch in rows:
-                code, ids = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_pylist()
-                for n, q in enumerate(shared.value):
-                    d = np.bitwise_count(code ^ q)
-                    near = np.flatnonzero(d <= np.partition(d, want - 1)[want - 1]) if len(d) > want else np.arange(len(d))
-                    if len(held[n]) >= want:
-                        near = near[d[near] <= held[n][-1][0]]
-                    if len(near):
-                        held[n] = sorted(held[n] + [(int(d[x]), i) for x in near.tolist() for i in ids[x]])[:want]
-            for n, q in enumerate(shared.value.view(np.int64).tolist()):
-                if held[n]:
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(held[n])), pa.array([x for x, _ in held[n]], pa.int32()), pa.array([i for _, i in held[n]], pa.int64())], names=["asked", "distance", "neighbor_id"])
-
-        part_ = best_of(entries.select("code", "ids").mapInArrow(run, "asked long, distance int, neighbor_id long"), want)
-        out = part_ if out is None else out.union(part_)
-    return out
+class Block:
+    """The entries of a block: codes, and each one's ids, flat, ascending."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, most_segments: int = 8):
+        self.codes, self.sizes, self.ids, self.starts = codes, sizes, ids, np.cumsum(sizes) - sizes
+        self.first = ids[self.starts]
+        self.cuts, self.index = segments(len(codes), most_segments), []
+        for shift, width in self.cuts:
+            value = self.values(codes, shift, width)
+            order = np.argsort(value, kind="stable").astype(np.int32)
+            begins = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << width))]).astype(np.int32)
+            self.index.append((order, codes[order], begins))
+
+    @staticmethod
+    def values(codes: np.ndarray, shift: int, width: int) -> np.ndarray:
+        return ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+    def probe(self, asked: np.ndarray, limit: np.ndarray, s: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place among asked, distance, entry) of what segment j gives within the limits in round s, AT_ONCE candidates at a time, about."""
+        (shift, width), (order, codes, begins) = self.cuts[j], self.index[j]
+        mask, own = masks(width, s), self.values(asked, shift, width)
+        step = max(1, AT_ONCE // max(1, len(mask)))
+        for k in range(0, len(asked) if len(mask) else 0, step):
+            value = (own[k : k + step, None] ^ mask).ravel()
+            low = begins[value]
+            n = begins[value + 1] - low
+            met = np.flatnonzero(n)
+            low, n, query = low[met], n[met].astype(np.int64), (k + met // len(mask)).astype(np.int32)
+            upto = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, side="right")))
+                some = n[at:to]
+                places = np.repeat((low[at:to] - (np.cumsum(some) - some)).astype(np.int32), some) + np.arange(some.sum(), dtype=np.int32)
+                who = np.repeat(query[at:to], some)
+                d = np.bitwise_count(codes[places] ^ asked[who])
+                near = np.flatnonzero(d <= limit[who])
+                yield who[near], d[near].astype(np.int64), order[places[near]].astype(np.int64)
+                at = to
+
+    def best(self, who: np.ndarray, d: np.ndarray, entry: np.ndarray, limit: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The first ``want`` entries of each query, each once; limits come down to the distance at which a query has ``want`` ids."""
+        order = np.lexsort((self.first[entry], d, who))
+        who, d, entry = who[order], d[order], entry[order]
+        once = np.concatenate([[True], (who[1:] != who[:-1]) | (entry[1:] != entry[:-1])]) if len(who) else np.zeros(0, bool)  # an id is of one entry, as a rule
+        who, d, entry = who[once], d[once], entry[once]
+        begin = np.searchsorted(who, who)
+        upto = np.cumsum(self.sizes[entry])
+        have = upto - (upto - self.sizes[entry])[begin] if len(who) else upto
+        full = np.flatnonzero(have >= want)
+        np.minimum.at(limit, who[full], d[full])
+        keep = (np.arange(len(who)) - begin < want) & (d <= limit[who])
+        return who[keep], d[keep], entry[keep]
+
+    def search(self, asked: np.ndarray, limit: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place among asked, distance, id): the first ``want`` of each asked code within its limit."""
+        none, limit = np.zeros(0, np.int64), limit.copy()
+        found, open_, m, s = (none, none, none), np.arange(len(asked)), len(self.cuts), 0
+        while len(open_) and s <= max(w for _, w in self.cuts) and sum(comb(w, s) for _, w in self.cuts) <= len(self.codes):
+            for j in range(m):
+                held, size = [found], 0
+                for who, d, entry in self.probe(asked[open_], limit[open_].astype(np.uint8), s, j):
+                    held.append((open_[who], d, entry))
+                    size += len(who)
+                    if size > AT_ONCE:
+                        held, size = [self.best(*map(np.concatenate, zip(*held)), limit, want)], 0
+                found = self.best(*map(np.concatenate, zip(*held)), limit, want) if size else held[0]
+                open_ = open_[limit[open_] > m * s + j]
+            s += 1
+        if len(open_):
+            rest = ~np.isin(found[0], open_)
+            held = [tuple(x[rest] for x in found)]
+            for q in open_.tolist():
+                d = np.bitwise_count(self.codes ^ asked[q]).astype(np.int64)
+                have = np.cumsum(np.bincount(d, weights=self.sizes, minlength=65))
+                near = np.flatnonzero(d <= min(limit[q], int(np.searchsorted(have, want))))
+                held.append(self.best(np.full(len(near), q), d[near], near, limit, want))
+            found = tuple(map(np.concatenate, zip(*held)))
+        who, d, entry = found
+        n = self.sizes[entry]
+        ids = self.ids[np.repeat(self.starts[entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        who, d = np.repeat(who, n), np.repeat(d, n)
+        order = np.lexsort((ids, d, who))
+        order = order[np.arange(len(order)) - np.searchsorted(who[order], who[order]) < want]
+        return who[order], d[order], ids[order]
+
+
+def meet(asked: DataFrame, entries: DataFrame, want: int, parts: int, block: int, most_segments: int) -> DataFrame:
+    """asked: (asked, bound, block); entries: (code, ids, block).  (asked, distance, neighbor_id): the first ``want`` in each block within the bound."""
+    out = pa.schema([("asked", pa.int64()), ("distance", pa.int32()), ("neighbor_id", pa.int64())])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block and part; in each, entries first."""
+        at, held, here = None, [], None
 
+        def answer(codes: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(codes) if here else 0, block):
+                some = codes[k : k + block]
+                who, d, ids = here.search(some, bounds[k : k + block], want)
+                yield pa.RecordBatch.from_arrays([pa.array(some[who].view(np.int64)), pa.array(d, pa.int32()), pa.array(ids, pa.int64())], schema=out)
 
-def search(vectors: DataFrame, k: int = 10, every: int = 20, block: int = 1 << 12, most_segments: int = 8) -> DataFrame:
-    """vectors: (id, vector).  (id, rank, neighbor_id, distance) for each id divisible by ``every``."""
-    spark = vectors.sparkSession
+        for batch in rows:
+            cell, bound = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | ((bound[1:] < 0) != (bound[:-1] < 0))) + 1, [len(cell)]]) if len(cell) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if cell[a] != at:
+                    at, held, here = cell[a], [], None
+                codes = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).view(np.uint64)
+                if bound[a] < 0:
+                    ids = batch.column(3).slice(a, b - a)
+                    held.append((codes, np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False)))
+                    continue
+                if held:
+                    here, held = Block(*map(np.concatenate, zip(*held)), most_segments), []
+                yield from answer(codes, bound[a:b].astype(np.int64))
+
+    cell = lambda part: (F.col("block") * parts + part).cast("long").alias("cell")
+    each = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(cell(F.col("part")), "code", F.lit(-1).alias("bound"), "ids")
+    queries = asked.select(cell(F.pmod(F.xxhash64("asked"), F.lit(parts))), F.col("asked").alias("code"), F.col("bound").cast("int"), F.lit(None).cast("array<bigint>").alias("ids"))
+    tasks = max(partitions(asked.sparkSession), parts * entries.select("block").distinct().count())  # by work, not by bytes
+    return each.union(queries).repartition(tasks, "cell").sortWithinPartitions("cell", "bound").mapInArrow(run, "asked long, distance int, neighbor_id long")
+
+
+def search(vectors: DataFrame, k: int = 10, every: int = 20, block: int = 1 << 12, most_segments: int = 8, most: int = MOST) -> DataFrame:
+    """vectors: (id, vector).  (id, rank, neighbor_id, distance) for each id divisible by ``every``.  block: queries searched together; most: entries in a block."""
     coded = checkpointed(codes(vectors).distinct())
     rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     entries = checkpointed(coded.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     own = coded.groupBy("id").count().agg(F.max("count")).first()[0] or 1  # how many codes an id has, one as a rule: so many places its own may take
-    want, total = k + own, entries.count()
-    cuts = segments(total, most_segments)
-    m = len(cuts)
-    index = checkpointed(entries.select("code", "ids", F.posexplode(parts(F.col("code"), cuts)).alias("segment", "value")))
+    want = k + own
+    blocks = max(1, -(-entries.count() // most))
     queries = coded.where(F.col("id") % every == 0)
-    open_ = checkpointed(queries.select(F.col("code").alias("asked")).distinct().withColumn("bound", F.lit(64)))
-    found, done, s = None, [], 0
-    while s <= max(w for _, w in cuts) and sum(comb(w, s) for _, w in cuts) <= total and not open_.isEmpty():
-        probes = open_.select("asked", "bound", F.posexplode(parts(F.col("asked"), cuts)).alias("segment", "own")).join(masks(spark, cuts, s), "segment")
-        met = probes.withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).join(index, ["segment", "value"])
-        apart = F.col("asked").bitwiseXOR(F.col("code"))
-        first = None  # no earlier probe of this or a former round finds the pair
-        for j, c in enumerate(cuts):
-            other = F.bit_count(part(apart, *c))
-            test = F.when(F.col("segment") > j, other > s).when(F.col("segment") < j, other >= s).otherwise(True)
-            first = test if first is None else first & test
-        met = met.withColumn("distance", F.bit_count(apart)).where(first & (F.col("distance") <= F.col("bound"))).select("asked", "distance", F.explode("ids").alias("neighbor_id"))
-        if found is not None:
-            met = met.unionByName(found.join(open_.select("asked"), "asked", "left_semi"))
-        found = checkpointed(best_of(met, want))
-        state = found.groupBy("asked").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
-        sure = (F.col("n") == want) & (F.col("last") <= m * (s + 1) - 1)
-        state = open_.select("asked").join(state, "asked", "left")
-        done.append(found.join(state.where(sure).select("asked"), "asked", "left_semi"))
-        open_ = checkpointed(state.where(~F.coalesce(sure, F.lit(False))).select("asked", F.when(F.col("n") == want, F.col("last")).otherwise(64).alias("bound")))
-        s += 1
-    if not open_.isEmpty():
-        done.append(read_all(open_, entries, want, block))
-    if not done:
-        return spark.createDataFrame([], "id long, rank int, neighbor_id long, distance int")
-    near = done[0]
-    for more in done[1:]:
-        near = near.unionByName(more)
+    asked = checkpointed(queries.select(F.col("code").alias("asked")).distinct().withColumn("bound", F.lit(64)))
+    n = asked.count()
+    parts = max(1, min(-(-TASKS // blocks), -(-n // FEWEST)), -(-n // QUERIES))  # a block goes to so many tasks
+    entries = entries.withColumn("block", F.pmod(F.xxhash64("code"), F.lit(blocks)).cast("int"))
+    near = checkpointed(meet(asked.withColumn("block", F.lit(0)), entries.where("block = 0"), want, parts, block, most_segments))
+    if blocks > 1:
+        bound = near.groupBy("asked").agg(F.when(F.count("*") == want, F.max("distance")).otherwise(64).alias("bound"))
+        others = asked.select("asked").join(bound, "asked", "left").select("asked", F.coalesce("bound", F.lit(64)).alias("bound"), F.explode(F.sequence(F.lit(1), F.lit(blocks - 1))).alias("block"))
+        near = best_of(near.union(meet(others, entries.where("block > 0"), want, parts, block, most_segments)), want)
     near = near.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))  # ``want`` at most
     each = queries.join(near, F.col("code") == F.col("asked"))
     others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k)

@@ -28,6 +28,27 @@ def test_search_is_exact(spark, most_segments, block):
     assert topk.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [60, 1 << 21])
+def test_candidates_are_probed_in_arrays(spark, monkeypatch, most):
+    """Blocks of entries give the first of all entries, ties by id, and no join makes a row for each probe or candidate."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2, (6, 64))
+    rows = [(n, [float(x) - 0.5 for x in base[n % 6] ^ (r.random(64) < (0.02 if n % 4 else 0.4))]) for n in range(900)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    out = topk.search(df, 5, 20, 7, 8, most)
+    known = {i: code(v) for i, v in rows}
+    got = {}
+    for x in out.collect():
+        got.setdefault(x["id"], []).append((x["rank"], x["distance"], x["neighbor_id"]))
+    for q in range(0, 900, 20):
+        want = sorted((bin(known[q] ^ c).count("1"), i) for i, c in known.items() if i != q)[:5]
+        assert [(d, i) for _, d, i in sorted(got[q])] == want
+    made = []
+    monkeypatch.setattr(topk, "checkpointed", lambda df, f=topk.checkpointed: made.append(f(df)) or made[-1])
+    topk.search(df, 5, 20, 7, 8, most)
+    assert max(x.count() for x in made) <= len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     words = {"en": "the of and with thing house over water light".split(), "de": "der und nicht haus wasser schön über straße".split()}
     r = np.random.default_rng(2)
