@@ -48,6 +48,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,8 @@ SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
 FLUSH, MERGE = 3_000_000, 1_000_000  # tokens and keys held before they are reduced
 REMEMBERED = 400_000
-BLOCK, GROUP = 2 << 20, 8 << 20  # bytes: texts scored together, filters in a group
+TOGETHER, HIGH = 1 << 16, 3  # keys probed together, so that they stay in the processor's cache; the least level that is remembered
+BLOCK, GROUP = 4 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
 TOLD_DDL = "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>"
 BLOBS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -225,25 +227,54 @@ class LogBloom:
         return m, np.packbits(bits, bitorder="little").tobytes()
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Probe level after level until one misses; 0 is absence."""
+        """Probe level after level until one misses; 0 is absence.  Sorted keys read the bits shard by shard."""
+        return np.concatenate([self._level(keys[k : k + TOGETHER]) for k in range(0, len(keys), TOGETHER)]) if len(keys) else np.zeros(0, np.int64)
+
+    def _level(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
         shard = keys >> self.shift
         m, offset, n = self.size[shard], self.offset[shard], 1
         while len(at):
-            h = mix(keys[at], np.uint64(n))
+            x = mix(keys, np.uint64(n))
+            step = (x << np.uint64(32)) | (x >> np.uint64(32)) | np.uint64(1)  # see places
             for probe in range(PROBES):
-                p = places(h, probe, m) + offset
-                hit = np.flatnonzero((self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(hit) < len(at):
-                    at, h, m, offset = at[hit], h[hit], m[hit], offset[hit]
+                p = ((((x >> np.uint64(32)) * m) >> np.uint64(32)) + offset).view(np.int64)
+                hit = (self.bits.take(p >> 3) >> (p & 7).astype(np.uint8) & 1).view(bool)
+                if not hit.all():
+                    hit = np.flatnonzero(hit)
+                    keys, at, x, step, m, offset = keys[hit], at[hit], x[hit], step[hit], m[hit], offset[hit]
                 if not len(at):
                     break
+                x += step
             out[at] = n
             n += 1
         return out
 
 
+class Remembered:
+    """Levels in a filter, the same as the filter's: each distinct key is probed once and in order, and those of high levels are remembered."""
+
+    def __init__(self, bloom: LogBloom):
+        self.bloom, self.keys, self.levels = bloom, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        distinct, place = np.unique(keys, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        out, fresh = np.zeros(len(distinct), np.int64), distinct[~known]
+        out[known], out[~known] = self.levels[at[known]], self.bloom.level(fresh)
+        high = ~known & (out >= HIGH)
+        if len(self.keys) > REMEMBERED:
+            self.keys, self.levels = self.keys[:0], self.levels[:0]
+        found = np.concatenate([self.keys, distinct[high]])
+        order = np.argsort(found, kind="stable")
+        self.keys, self.levels = found[order], np.concatenate([self.levels, out[high]])[order]
+        return out[place]
+
+
 class Model:
     """filters: empty where they are too large to be broadcast."""
 
@@ -270,9 +301,9 @@ class Model:
             exact[k[at] == keys] = n[at][k[at] == keys]
         return np.stack([c, p, left, exact], axis=1)
 
-    def log10(self, keys: np.ndarray, values: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def log10(self, keys: np.ndarray, values: np.ndarray, end: np.ndarray, pairs: Remembered) -> np.ndarray:
         """log10 P of each token after the one before; the first comes after an end, whose values are ``end``."""
-        return self.log10_of(self.filters[2].level(pair_keys(np.concatenate([[END], keys[:-1]]), keys)), values, end)
+        return self.log10_of(pairs.level(pair_keys(np.concatenate([[END], keys[:-1]]), keys)), values, end)
 
     def log10_of(self, level: np.ndarray, values: np.ndarray, end: np.ndarray) -> np.ndarray:
         """log10, by the levels of the pairs."""
@@ -328,6 +359,17 @@ def train(docs: DataFrame, max_mb: int = 160) -> tuple[Model, DataFrame, DataFra
     return Model(filters, shard_bits, totals, (keys[order], exact[order])), built.select("kind", "shard", "size", "bits"), unpack(False), least
 
 
+def runs(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows in a row, until their texts have BLOCK bytes or more."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        size += n + 64
+        if size >= BLOCK or k == len(sizes) - 1:
+            yield start, k + 1
+            start, size = k + 1, 0
+
+
 def told_batch(ids: pa.Array, held: pa.Array, sizes: list[int], t: np.ndarray, v: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
     """The rows of texts of so many tokens each, from all tokens' keys, word values and log10 P."""
     starts, out = np.concatenate([[0], np.cumsum(sizes)]), []
@@ -368,11 +410,12 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
     docs.select("doc_id", "held_out", "text").mapInArrow(pack, "ids array<long>, held array<boolean>, bodies array<binary>").withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
     blocks = spark.read.parquet(folder)
 
-    def tokens(bodies: list[bytes], hashes: Hashes) -> tuple[np.ndarray, list[int], dict[int, np.ndarray]]:
-        """Token keys, tokens of each text, and the keys of each kind for the tokens."""
+    def tokens(bodies: list[bytes], hashes: Hashes) -> tuple[np.ndarray, list[int], np.ndarray, dict[int, np.ndarray]]:
+        """Token keys, tokens of each text, the place of each token's key among the distinct ones, and the keys of each kind, of distinct tokens but for the pairs."""
         each = [np.append(hashes.of(words(b)), END) for b in bodies]
         t = np.concatenate(each)
-        return t, [len(x) for x in each], {1: t, 2: pair_keys(np.concatenate([[END], t[:-1]]), t), 3: t >> LOW << LOW}
+        own, place = np.unique(t, return_inverse=True)
+        return t, [len(x) for x in each], place, {1: own, 2: pair_keys(np.concatenate([[END], t[:-1]]), t), 3: own >> LOW << LOW}
 
     probes = pa.schema([("kind", pa.int32()), ("group", pa.int32()), ("block", pa.int64()), ("shard", pa.int32()), ("size", pa.int64()), ("data", pa.binary())])
 
@@ -380,7 +423,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
         hashes = Hashes()
         for batch in rows:
             for block, bodies in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for kind, keys in tokens(bodies.as_py(), hashes)[2].items():
+                for kind, keys in tokens(bodies.as_py(), hashes)[3].items():
                     keys = np.unique(keys)
                     own = keys >> np.uint64(64 - group_bits) if group_bits else np.zeros(len(keys), np.uint64)
                     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -388,25 +431,40 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, own[starts].tolist(), [block] * n, [0] * n, [0] * n, [keys[a:b].tobytes() for a, b in cuts]), probes)], schema=probes)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, bloom = None, {}, None
+        """Rows come by kind and group, the filter's first; several blocks' keys are probed together."""
+        at, parts, bloom, asked, size = None, {}, None, [], 0
+
+        def told() -> pa.RecordBatch:
+            level = bloom.level(np.concatenate([keys for _, keys in asked])).astype(np.uint16)
+            cuts = np.cumsum([len(keys) for _, keys in asked])[:-1]
+            n = len(asked)
+            return pa.RecordBatch.from_arrays([pa.array([block for block, _ in asked]), pa.array([at[0]] * n, pa.int32()), pa.array([at[1]] * n, pa.int32()), pa.array([x.tobytes() for x in np.split(level, cuts)], pa.binary())], names=["block", "kind", "group", "data"])
+
         for batch in rows:
-            for kind, group, block, shard, size, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if (kind, group) != at:
-                    at, parts, bloom = (kind, group), {}, None
-                if block < 0:  # these come first
-                    parts[shard] = size, data
+            for kind, group, block, shard, bits, data in zip(*batch.columns):
+                if (kind.as_py(), group.as_py()) != at:
+                    if asked:
+                        yield told()
+                    at, parts, bloom, asked, size = (kind.as_py(), group.as_py()), {}, None, [], 0
+                if block.as_py() < 0:
+                    parts[shard.as_py()] = bits.as_py(), data.as_py()
                     continue
-                bloom = bloom or LogBloom(kind, shard_bits, parts)
-                level = bloom.level(np.frombuffer(data, np.uint64)).astype(np.uint16).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([kind], pa.int32()), pa.array([group], pa.int32()), pa.array([level], pa.binary())], names=["block", "kind", "group", "data"])
+                bloom = bloom or Remembered(LogBloom(at[0], shard_bits, parts))
+                asked.append((block.as_py(), np.frombuffer(data.as_py(), np.uint64)))
+                size += len(asked[-1][1])
+                if size >= MERGE:
+                    yield told()
+                    asked, size = [], 0
+        if asked:
+            yield told()
 
     def tell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hashes = shared.value, Hashes()
 
         def finish(ids: list, held: list, bodies: list[bytes], found: dict[int, list[bytes]]) -> pa.RecordBatch:
-            t, sizes, keys = tokens(bodies, hashes)
+            t, sizes, place, keys = tokens(bodies, hashes)
             level = {k: np.frombuffer(b"".join(found[k]), np.uint16).astype(np.int64)[np.unique(keys[k], return_inverse=True)[1]] for k in keys}
-            v = model.values_of(t, level[1], level[3])
+            v = model.values_of(keys[1], level[1], level[3])[place]
             return told_batch(pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), sizes, t, v, model.log10_of(level[2], v, v[sizes[0] - 1 : sizes[0]]))
 
         block = None
@@ -435,26 +493,28 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         known: dict[bytes, int] = {}
-        end = model.word_values(np.array([END]))
+        end, pairs = model.word_values(np.array([END])), Remembered(model.filters[2])
         keys, values = np.full(4096, END), np.repeat(end, 4096, axis=0)  # row 0: the end
         for batch in rows:
-            for k in range(0, batch.num_rows, 256):
-                some = [words(b) for b in texts(batch.column(2).slice(k, 256))]
+            for start, upto in runs(batch.column(2)):
+                some = [words(b) for b in texts(batch.column(2).slice(start, upto - start))]
                 new = list({w for ws in some for w in ws if w not in known})
                 if len(known) + len(new) > REMEMBERED:
                     known = {}
                     new = list({w for ws in some for w in ws})
                 if new:
                     fresh = np.fromiter((xxhash.xxh64_intdigest(w) for w in new), np.uint64, len(new))
-                    start = len(known) + 1
-                    while len(keys) < start + len(new):
+                    order = np.argsort(fresh)
+                    fresh, new = fresh[order], [new[k] for k in order.tolist()]
+                    first = len(known) + 1
+                    while len(keys) < first + len(new):
                         keys, values = np.concatenate([keys, keys]), np.concatenate([values, values])
-                    keys[start : start + len(new)], values[start : start + len(new)] = fresh, model.word_values(fresh)
-                    known.update(zip(new, range(start, start + len(new))))
+                    keys[first : first + len(new)], values[first : first + len(new)] = fresh, model.word_values(fresh)
+                    known.update(zip(new, range(first, first + len(new))))
                 ids = np.concatenate([np.fromiter((*map(known.__getitem__, ws), 0), np.int64, len(ws) + 1) for ws in some])
                 t, v = keys[ids], values[ids]
-                logs = model.log10(t, v, end)
-                yield told_batch(batch.column(0).slice(k, 256), batch.column(1).slice(k, 256), [len(ws) + 1 for ws in some], t, v, logs)
+                logs = model.log10(t, v, end, pairs)
+                yield told_batch(batch.column(0).slice(start, upto - start), batch.column(1).slice(start, upto - start), [len(ws) + 1 for ws in some], t, v, logs)
 
     told = docs.select("doc_id", "held_out", "text").mapInArrow(run, TOLD_DDL) if model.filters else dealt(docs, model, filters)
     told = checkpointed(told.withColumn("row", F.monotonically_increasing_id()))

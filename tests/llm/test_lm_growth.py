@@ -90,3 +90,21 @@ def test_scores_are_those_of_a_distribution(docs):
         off.append((x["score"] - exact) / len(tokens))
     assert np.mean(np.abs(hits) < 1e-6) > 0.4 and np.mean(np.abs(hits)) < 0.01  # false hits of the filter
     assert max(map(abs, off)) < 0.06 and abs(np.mean(off)) < 0.02  # quantised counts
+
+
+def test_keys_that_come_again_are_probed_once(monkeypatch):
+    """Remembered levels are the filter's, and a key of a high level isn't probed again, here or in the next texts."""
+    r = random.Random(3)
+    keys, values = np.array([r.randrange(1 << 64) for _ in range(4000)], np.uint64), np.array([1 + int(r.paretovariate(0.6)) % 10**6 for _ in range(4000)], float)
+    shards = {s: lm.LogBloom.build(2, keys[keys >> np.uint64(60) == s], values[keys >> np.uint64(60) == s]) for s in range(16)}
+    bloom, probed = lm.LogBloom(2, 4, shards), []
+    plain = lm.LogBloom.level
+    monkeypatch.setattr(lm.LogBloom, "level", lambda self, keys: probed.extend(keys.tolist()) or plain(self, keys))
+    monkeypatch.setattr(lm, "TOGETHER", 100)
+    pairs = lm.Remembered(bloom)
+    for _ in range(3):
+        some = np.array([keys[r.randrange(4000)] if r.random() < 0.8 else r.randrange(1 << 64) for _ in range(9000)], np.uint64)
+        assert (pairs.level(some) == plain(bloom, some)).all()
+    high = {k for k, n in zip(keys.tolist(), plain(bloom, keys)) if n >= lm.HIGH}
+    assert len(high) > 500 and not any(n > 1 for k, n in zip(*map(list, np.unique(np.array(probed, np.uint64), return_counts=True))) if int(k) in high)
+    assert len(pairs.level(keys[:0])) == 0
