@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import similar
-from .common import checkpointed, partitions, table, texts, words
+from .common import checkpointed, partitions, remove, table, texts, words
 from .components import components
 
 #: Generator polynomial of the binary Golay code of length 23, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -200,7 +200,9 @@ def keep_one(docs: DataFrame, t: int = 2) -> DataFrame:
     prints = checkpointed(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, fp long"))
     each = checkpointed(prints.select("key", "fp").distinct())
     texts_ = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_key", LongType())]))
-    roots = components(similar.links(docs.select("text"), texts_.select(F.col("_key").alias("key"), "text"), prints.count(), each, lambda some: links(some, t)))
+    pairs, folder = similar.links(docs.select("text"), texts_.select(F.col("_key").alias("key"), "text"), each, lambda some: links(some, t))
+    roots = components(pairs)
+    remove(docs.sparkSession, folder)
     joined = prints.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
     first = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_first"))

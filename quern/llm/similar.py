@@ -19,19 +19,25 @@ all that are still apart.
 Candidates as sets: put each set in one order.  Of sets with n and m shingles that are
 linked, each has the first shared one among its first n - ceil(4n/5) + 1, and
 from there on both are long enough for the overlap (prefix and position
-filters).  Any order common to all sets is exact; shingles that a bounded sample
-of texts holds often come last, so that common lines and passages give few
-candidates.
+filters).  Any order common to all sets is exact.  It goes by the number of texts
+that hold a shingle, from few to many, as a log-frequency Bloom filter gives it
+(see ``lm``), so a text with a fifth of its own, whatever lines and passages it
+shares with others, is nobody's candidate.  All shingles are counted, in 40 bits of
+their hashes, sorted, packed and dealt out in shards; those of two texts or more enter
+the filter.  One of more than FILTER_MB would hold those of 4, 8, ... texts or more;
+shingles outside it then come first and stay candidates.
 
 Links: the candidates that the fingerprints gave are verified first, in both
 ways.  Where components remain apart, each text is compared with the least and the greatest text of each
-of its prefix shingles, then with two texts that
-a hash picks for each, so a large group of copies costs little more than its size.
+of its prefix shingles.  While those of different components would still make more
+than PAIRS pairs for each posting, and links are found, the texts of each shingle are dealt by a hash, anew each time and
+ROUNDS times at most, into heaps of about HEAP and compared within them, so a large group of copies costs little more than its size.
 Then only texts of still different components that share a prefix shingle are
 compared, all of them.  Candidates are verified in two steps: the number of
 shingles in each of SKETCH ranges of hashes bounds the overlap from above and
 sends most of the others away; the rest are verified on the whole sets, and only
-sets that such a pair needs travel.
+sets that such a pair needs travel.  Sets are made of texts with a candidate alone: up to ASKED
+keys of them are broadcast, more are joined.
 
 Null and empty texts are one text without shingles.  Repeated rows are copies;
 an empty table gives no rows.
@@ -45,15 +51,21 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shared_dir, texts, words
+from .common import checkpointed, mix, partitions, shared_dir, texts, words
 from .components import components, forest
+from .lm import BITS, LogBloom, levels, merged
 
 WIDTH = 5
 SKETCH = 256  # ranges of hashes, a power of two
-SAMPLED, OFTEN, COMMONEST = 5_000, 3, 200_000  # texts, texts that hold a common shingle, common shingles
+SHARD, FLUSH = 32 << 20, 3_000_000  # bytes of text for each shard of the counts; shingles that a task counts at a time
+FILTER_MB, LEAST = 64, 12  # the least numbers of texts tried are 2, 4, ... up to 2^LEAST
+ASKED = 4_000_000
+HEAP, ROUNDS, PAIRS = 64, 3, 2
+DROPPED = np.uint64(24)  # bits of a hash that counting leaves out
 
 
 def key(text: bytes) -> int:
@@ -90,45 +102,137 @@ def prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """docs: (text).  (key, grams, again, sketch), once for each key of a task; again: see repeats; sketch: the number of grams in each range."""
+def sets(docs: DataFrame, keyed: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs: (text); keyed: the same with key.  (key, grams, again, sketch) of the asked keys, once for each key of a task.
+
+    again: see repeats; sketch: the number of grams in each range.
+    """
     schema = pa.schema([("key", pa.int64()), ("grams", pa.list_(pa.int64())), ("again", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int32()))])
+    few = asked.count() <= ASKED
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(asked.toArrow().column(0).to_numpy()) if few else None)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen, wanted_ = set(), wanted.value
         for batch in rows:
             for k in range(0, batch.num_rows, 500):
-                some = [(i, t) for t in texts(batch.column(0).slice(k, 500)) if (i := key(t)) not in seen and not seen.add(i)]
+                bodies = texts(batch.column(0).slice(k, 500))
+                keys = [key(t) for t in bodies]
+                if few:
+                    own = np.array(keys, np.int64)
+                    inside = np.searchsorted(wanted_, own, "right") > np.searchsorted(wanted_, own)
+                else:
+                    inside = np.ones(len(keys), bool)
+                some = [(keys[j], bodies[j]) for j in np.flatnonzero(inside).tolist() if keys[j] not in seen and not seen.add(keys[j])]
                 grams, again = zip(*(repeats(t) for _, t in some)) if some else ((), ())
                 sketches = [np.bincount(g.view(np.uint64) // np.uint64(2**64 // SKETCH), minlength=SKETCH).astype(np.int32) for g in grams]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([i for i, _ in some], grams, again, sketches), schema)], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "key long, grams array<long>, again array<long>, sketch array<int>")
+    found = docs if few else keyed.join(asked, "key", "left_semi")
+    return found.select("text").mapInArrow(run, "key long, grams array<long>, again array<long>, sketch array<int>")
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers packed as their first bytes, then their second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def frequent(docs: DataFrame) -> tuple[LogBloom, bool]:
+    """docs: (text).  The filter of the shingles, without DROPPED bits, that several texts hold, and whether it has all that two do."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    shard_bits = (max(15, 2 * partitions(spark) - 1, size // SHARD)).bit_length()
+    blobs = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    kept = pa.schema([*blobs, ("entries", pa.list_(pa.int64()))])
+
+    def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held, size = set(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            own = keys >> np.uint64(40 - shard_bits)
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            cuts = list(zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist()))
+            steps = [planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cuts]
+            return pa.RecordBatch.from_arrays([pa.array(own[starts].astype(np.int32)), pa.array(steps, pa.binary()), pa.array([planes(counts[a:b]) for a, b in cuts], pa.binary())], schema=blobs)
+
+        for batch in rows:
+            for k in range(0, batch.num_rows, 500):
+                for text in texts(batch.column(0).slice(k, 500)):
+                    if (i := key(text)) not in seen:
+                        seen.add(i)
+                        held.append(shingles(text).view(np.uint64) >> DROPPED)
+                        size += len(held[-1])
+                        if size >= FLUSH:
+                            yield flush()
+                            held, size = [], 0
+        if size:
+            yield flush()
+
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shard, so that one shard is held at a time."""
+        at, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            keys, counts = merged(*zip(*held))
+            keys, counts = keys[counts > 1], counts[counts > 1]
+            entries = [int(levels(2, counts[counts >= n] - n + 1.0).sum()) for n in (2 << j for j in range(LEAST))]
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((at, (keys << DROPPED).tobytes(), counts.tobytes(), entries), kept)], schema=kept)
+
+        for batch in rows:
+            for shard, keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                if shard != at:
+                    if held:
+                        yield finish()
+                    at, held = shard, []
+                held.append((np.cumsum(unplaned(keys), dtype=np.uint64), unplaned(counts).astype(np.int64)))
+                if sum(len(x) for x, _ in held[1:]) > max(FLUSH, len(held[0][0])):
+                    held = [merged(*zip(*held))]
+        if held:
+            yield finish()
+
+    names = "shard int, keys binary, counts binary"
+    counted = docs.select("text").mapInArrow(gather, names).repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, f"{names}, entries array<long>")
+    counted = checkpointed(counted)
+    entries = counted.select(*(F.sum(F.get("entries", F.lit(j))) for j in range(LEAST))).first()
+    j = next((j for j in range(LEAST) if BITS * (entries[j] or 0) <= FILTER_MB << 23), LEAST)
+    least, parts = 2 << j, pa.schema([("shard", pa.int32()), ("size", pa.int64()), ("bits", pa.binary())])
+
+    def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for shard, keys, counts in zip(*(column.to_pylist() for column in batch.columns)):
+                keys, counts = np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)
+                if j < LEAST and (counts >= least).any():
+                    size, bits = LogBloom.build(2, keys[counts >= least], counts[counts >= least] - least + 1.0)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((shard, size, bits), parts)], schema=parts)
+
+    rows = counted.select("shard", "keys", "counts").mapInArrow(build, "shard int, size long, bits binary").toLocalIterator()  # FILTER_MB in all
+    return LogBloom(2, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in rows}), j == 0
 
 
-def postings(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """docs: (text).  (gram, key, n, pos) for each shingle of a prefix; common: sorted shingles that come last, by their rank."""
-    shared = docs.sparkSession.sparkContext.broadcast((common, rank))  # at most COMMONEST
+def postings(docs: DataFrame, filter: LogBloom, whole: bool) -> DataFrame:
+    """docs: (text).  (gram, key, n, pos) for each shingle of a prefix; without those that no other text holds, if the filter is whole."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter)  # FILTER_MB at most
     schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = shared.value
         for batch in rows:
             for k in range(0, batch.num_rows, 500):
-                keys, out, sizes, whole = [], [np.zeros(0, np.int64)], [], []
-                for text in texts(batch.column(0).slice(k, 500)):
-                    grams = shingles(text)
-                    if len(common):
-                        at = np.searchsorted(common, grams).clip(max=len(common) - 1)
-                        order = np.where(common[at] == grams, rank[at], 0)
-                        if order.any():
-                            grams = grams[np.argsort(order, kind="stable")]
-                    keys.append(key(text))
-                    out.append(grams[: prefix(len(grams))])
-                    sizes.append(len(out[-1]))
-                    whole.append(len(grams))
-                pos = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if sizes else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(keys, np.int64), sizes)), pa.array(np.repeat(np.array(whole, np.int32), sizes)), pa.array(pos)], schema=schema)
+                bodies = texts(batch.column(0).slice(k, 500))
+                each = [shingles(t) for t in bodies]
+                grams, sizes = np.concatenate(each), np.array([len(x) for x in each])
+                owner, level = np.repeat(np.arange(len(each)), sizes), shared.value.level(grams.view(np.uint64) >> DROPPED << DROPPED)
+                order = np.lexsort((level, owner))  # stable, so by hash among those of a level
+                pos = np.arange(len(grams)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                take = pos < np.array([prefix(n) for n in sizes.tolist()])[owner]
+                if whole:
+                    take &= level[order] > 0
+                at = owner[take]
+                keys = np.array([key(t) if n else 0 for t, n in zip(bodies, np.bincount(at, minlength=len(each)).tolist())], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[order][take]), pa.array(keys[at]), pa.array(sizes[at].astype(np.int32)), pa.array(pos[take].astype(np.int32))], schema=schema)
 
     return docs.select("text").mapInArrow(run, "gram long, key long, n int, pos int")
 
@@ -145,10 +249,10 @@ def both(pairs: DataFrame, values: DataFrame, *names: str) -> DataFrame:
     return pairs
 
 
-def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(a, b), a < b: links of keys that give the components of all links.
+def links(docs: DataFrame, keyed: DataFrame, prints: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, str]:
+    """(a, b), a < b: links of keys that give the components of all links; and the folder of the tables that they are read from.
 
-    docs: (text); keyed: the same with key; total: about how many; prints: (key, fp), once each; linked: simhash.links.
+    docs: (text); keyed: the same with key; prints: (key, fp), once each; linked: simhash.links.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "similar")
@@ -159,21 +263,17 @@ def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, link
 
     near = stored(forest(linked(prints.select("fp").distinct())), "near")  # the links themselves grow with the square of a group
     least = prints.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n"))
-    ends = [least.select(F.col("fp").alias(x), F.col("least").alias(f"k{x}")) for x in "ab"]
+    tips = [least.select(F.col("fp").alias(x), F.col("least").alias(f"k{x}")) for x in "ab"]
     pairs = prints.join(least, "fp").where("key != least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    pairs = pairs.union(near.join(ends[0], "a").join(ends[1], "b").select(F.least("ka", "kb"), F.greatest("ka", "kb")))
+    pairs = pairs.union(near.join(tips[0], "a").join(tips[1], "b").select(F.least("ka", "kb"), F.greatest("ka", "kb")))
     some = least.where("n > 1").select("fp").union(near.select("a")).union(near.select("b")).distinct()
     members = stored(prints.join(some, "fp", "left_semi").select("key", "fp"), "members")
 
-    sampled = sets(docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLED))) == 0)).dropDuplicates(["key"])
-    often = sampled.select(F.explode("grams").alias("gram")).groupBy("gram").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "gram").limit(COMMONEST).toArrow()
-    common, rank = (often.column(x).to_numpy() for x in ("gram", "count"))
-    order = np.argsort(common)
-    found = stored(postings(docs, common[order], rank[order]), "postings")
+    found = stored(postings(docs, *frequent(docs)), "postings")
     several = found.groupBy("gram").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("gram")
     shared = stored(found.join(several, "gram", "left_semi").dropDuplicates(["gram", "key"]), "shared")
     asked = shared.select("key").union(members.select("key")).distinct()
-    grams = stored(sets(keyed.join(asked, "key", "left_semi")), "sets")  # a key comes once a task
+    grams = stored(sets(docs, keyed, stored(asked, "asked")), "sets")  # a key comes once a task
     sketches = grams.select("key", "sketch").dropDuplicates(["key"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -197,11 +297,22 @@ def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, link
         alike = (9 * overlap >= 4 * sizes) | (9 * (overlap + again) >= 4 * (sizes + more))
         return stored(both(pairs, of(pairs), "grams", "again").where(alike).select("a", "b"), name)
 
-    def stars(some: DataFrame, by: Column, name: str) -> DataFrame:
-        ends = some.groupBy("gram").agg(*(f(F.struct(by.alias("by"), "key", "n", "pos")).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))))
-        one = some.join(ends, "gram").select(F.struct("key", "n", "pos").alias("one"), F.explode(F.array("low", "high")).alias("end"))
-        one = one.where("one.key != end.key").where(possible("one", "end"))
-        return verified(one.select(F.least("one.key", "end.key").alias("a"), F.greatest("one.key", "end.key").alias("b")).distinct(), name)
+    def ends(some: DataFrame, name: str) -> DataFrame:
+        """The links of each text with the least and the greatest one of each of its shingles, if their components differ."""
+        one = F.struct("key", "n", "pos", "root")
+        least = some.groupBy("gram").agg(*(f(one).alias(x) for f, x in ((F.min, "low"), (F.max, "high"))))
+        met = some.join(least, "gram").select(one.alias("x"), F.explode(F.array("low", "high")).alias("y"))
+        return verified(pairs_of(met.where("x.root != y.root").where(possible("x", "y"))), name)
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+    def heaps(some: DataFrame, sizes: DataFrame, turn: int, name: str) -> DataFrame:
+        """The links of texts of different components that meet in a heap of a shingle; sizes: (gram, n)."""
+        number = F.pmod(F.xxhash64("gram", "key", F.lit(turn)), F.ceil(F.col("size") / HEAP))
+        dealt = some.join(sizes.select("gram", F.col("n").alias("size")), "gram").withColumn("heap", number).drop("size")
+        x, y = dealt.alias("x"), dealt.alias("y")
+        return verified(pairs_of(x.join(y, F.expr("x.gram = y.gram and x.heap = y.heap and x.key < y.key and x.root != y.root") & possible("x", "y"))), name)
 
     def apart(some: DataFrame, pairs: DataFrame) -> DataFrame:
         """The postings of shingles that texts of different components hold, with their components."""
@@ -210,12 +321,22 @@ def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, link
         return roots.join(several, "gram", "left_semi")
 
     anchored = weighed(pairs, "anchored")
-    first = anchored.union(stars(apart(shared, anchored), F.col("key"), "first"))
-    second = first.union(stars(apart(shared, first), F.xxhash64("gram", "key"), "second"))
-    live = stored(apart(shared, second), "live")
+    so_far = anchored.union(ends(apart(shared, anchored), "first"))
+    bound = shared.count()
+    for turn in range(ROUNDS + 1):
+        live = stored(apart(shared, so_far), f"live{turn}")
+        held = live.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        held = stored(held, f"held{turn}")
+        left = held.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+        if turn == ROUNDS or left <= PAIRS * bound:
+            break
+        more = heaps(live, held, turn, f"turn{turn}")
+        so_far = so_far.union(more)
+        if more.isEmpty():
+            break
     x, y = live.alias("x"), live.alias("y")
-    rest = x.join(y, F.expr("x.gram = y.gram and x.key < y.key and x.root != y.root") & possible("x", "y")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
-    as_sets = second.union(verified(rest, "rest"))
+    rest = pairs_of(x.join(y, F.expr("x.gram = y.gram and x.key < y.key and x.root != y.root") & possible("x", "y")))
+    as_sets = so_far.union(verified(rest, "rest"))
     rooted = members.join(components(as_sets), F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("root"))
     group = components(near).select(F.col("node").alias("fp"), F.col("root").alias("group"))
     rooted = stored(rooted.join(group, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "rooted")
@@ -225,4 +346,4 @@ def links(docs: DataFrame, keyed: DataFrame, total: int, prints: DataFrame, link
     last = x.join(y, F.expr("a = b and ra < rb")).select("a", "ra", "b", "rb").union(linked(cells))
     for x in "ab":
         last = last.join(rooted.select(F.col("fp").alias(x), F.col("root").alias(f"r{x}"), F.col("key").alias(f"k{x}")), [x, f"r{x}"])
-    return as_sets.union(weighed(last.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "last"))
+    return as_sets.union(weighed(last.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct(), "last")), folder

@@ -85,3 +85,35 @@ def test_links_of_fingerprints_count(spark, docs, monkeypatch):
     links = simhash.links
     monkeypatch.setattr(simhash, "links", lambda distinct, t: links(distinct, t).where("false"))
     assert kept() == least(0)
+
+
+def test_shared_passages_alone_make_no_candidates(spark, docs, monkeypatch):
+    """Texts with passages in common and a third of their own are never paired; the stage's tables go when it ends."""
+    passages = [" ".join(f"p{k}x{j}" for j in range(40)) for k in range(6)]
+    rows = [(n, f"{passages[n % 6]} {passages[(n + 1) % 6]} " + " ".join(f"own{n}x{j}" for j in range(50)), "en") for n in range(60)]
+    folders, shared_dir, seen = [], similar.shared_dir, {}
+    monkeypatch.setattr(similar, "shared_dir", lambda *x: folders.append(shared_dir(*x)) or folders[-1])
+    components = simhash.components
+
+    def spied(pairs):
+        seen.update({name: spark.read.parquet(f"{folders[-1]}/{name}").count() for name in ("shared", "sets")})
+        return components(pairs)
+
+    monkeypatch.setattr(simhash, "components", spied)
+    assert corpus_pipeline.near_duplicates(spark, docs(rows), "").count() == 60
+    assert seen == {"shared": 0, "sets": 0}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders[-1])
+    assert not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
+def test_bounds_of_candidates_change_no_row(spark, docs, monkeypatch):
+    """A filter that holds nothing, sets that are joined, and small heaps in many turns give the same rows."""
+    df = docs(planted())
+    kept = lambda: sorted(str(x["doc_id"]) for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    want = kept()
+    monkeypatch.setattr(similar, "FILTER_MB", 0)
+    monkeypatch.setattr(similar, "ASKED", 0)
+    assert kept() == want
+    for name, value in (("FILTER_MB", 64), ("HEAP", 2), ("ROUNDS", 2), ("PAIRS", 0)):
+        monkeypatch.setattr(similar, name, value)
+    assert kept() == want
