@@ -63,7 +63,7 @@ BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts: the factor between l
 SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
 FLUSH, MERGE = 3_000_000, 1_000_000  # tokens and keys held before they are reduced
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 TOGETHER, HIGH = 1 << 16, 3  # keys probed together, so that they stay in the processor's cache; the least level that is remembered
 BLOCK, GROUP = 4 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
@@ -518,6 +518,7 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
 
     told = docs.select("doc_id", "held_out", "text").mapInArrow(run, TOLD_DDL) if model.filters else dealt(docs, model, filters)
     told = checkpointed(told.withColumn("row", F.monotonically_increasing_id()))
+    shared.unpersist()  # the executors' copies; the rows are written
     found = told.select("row", F.explode("others").alias("key")).join(rest, "key").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("logs_rest"))
     whole = F.log10(F.lit(float(model.n + model.distinct + 1)))
     return told.join(found, "row", "left").select(

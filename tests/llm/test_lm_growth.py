@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
 
 from quern.llm import lm
@@ -108,3 +109,11 @@ def test_keys_that_come_again_are_probed_once(monkeypatch):
     high = {k for k, n in zip(keys.tolist(), plain(bloom, keys)) if n >= lm.HIGH}
     assert len(high) > 500 and not any(n > 1 for k, n in zip(*map(list, np.unique(np.array(probed, np.uint64), return_counts=True))) if int(k) in high)
     assert len(pairs.level(keys[:0])) == 0
+
+
+def test_executors_let_the_filters_go(spark, docs, monkeypatch):
+    """Once the rows are scored, no executor keeps a copy of the broadcast filters; a repeated run doesn't add to the one before."""
+    freed, unpersist = [], Broadcast.unpersist
+    monkeypatch.setattr(Broadcast, "unpersist", lambda self, blocking=False: freed.append(isinstance(self.value, lm.Model)) or unpersist(self, blocking))
+    rows = [(i, f"some words and {i}", "en") for i in range(30)]
+    assert lm.score_all(docs(rows)).count() == 30 and freed == [True]
