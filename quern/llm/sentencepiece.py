@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, partitions, pieces_of, remove, shared_dir, table, texts
+from .common import TOKENIZERS, partitions, pieces_of, remove, shared_dir, table, texts, written
 
 BLOCK = 256  # ends of pieces exploded from a row
 HEAD = 400_000
@@ -208,12 +208,11 @@ def lattice(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The segmentations of all chunks of the texts, as a table in the shared folder."""
     spark = docs.sparkSession
     # written once, so that a chunk's number is the same in every reading
-    chunk_counts(docs, vocabulary).withColumn("cid", F.monotonically_increasing_id()).write.parquet(counted := shared_dir(spark, "chunks"))
-    chunks = spark.read.parquet(counted)
+    chunks = written(chunk_counts(docs, vocabulary).withColumn("cid", F.monotonically_increasing_id()), counted := shared_dir(spark, "chunks"))
     chunks = chunks.repartition(max(partitions(spark), -(-chunks.count() // GROUPS)), "cid")
-    segmentations(chunks, vocabulary).write.parquet(folder := shared_dir(spark, "lattice"))
+    cut = written(segmentations(chunks, vocabulary), shared_dir(spark, "lattice"))
     remove(spark, counted)
-    return spark.read.parquet(folder)
+    return cut
 
 
 def dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
