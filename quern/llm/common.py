@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Where the public vocabulary files are; every operator takes a path of its own.
 TOKENIZERS = "/opt/tokenizers"
+#: Texts that keep_rows judges at a time.
+AT_ONCE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,14 +112,19 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
 def keep_rows(docs: DataFrame, judge: Callable[[], Callable[[list[bytes]], np.ndarray]]) -> DataFrame:
     """The rows of docs whose text a mask keeps, all columns as they are, without a shuffle.
 
-    ``judge`` is called once in each task and gives the function from texts to the mask.
+    ``judge`` is called once in each task and gives the function from texts to the mask.  It sees AT_ONCE texts at a
+    time, and rows go on as they are judged, so that a batch's texts and kept rows aren't held whole beside it.
     """
     at = docs.columns.index("text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = judge()
         for batch in rows:
-            yield batch.filter(pa.array(np.asarray(mask(texts(batch.column(at))), bool)))
+            for k in range(0, batch.num_rows, AT_ONCE):
+                some = batch.slice(k, AT_ONCE)
+                yield some.filter(pa.array(np.asarray(mask(texts(some.column(at))), bool)))
+        batch = some = None
+        pa.default_memory_pool().release_unused()  # idle workers would hold it
 
     return docs.mapInArrow(run, docs.schema)
 

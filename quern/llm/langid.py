@@ -47,7 +47,7 @@ from .common import TOKENIZERS, held_out, keep_rows, least_hashed, pieces_of, ta
 MARK = "▁"
 STEP = 16  # characters between two rescalings
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -142,22 +142,32 @@ def split_words(text: str) -> list[str]:
 
 
 class Memory:
-    """The scores of the words that a worker has met, across its tasks; it starts afresh at REMEMBERED words."""
+    """The scores of words that a worker has met, across its tasks, in two generations of half REMEMBERED words each.
+
+    When one is full, it replaces the one before it.  Words met again come along, so frequent words are scored once.
+    """
 
     def __init__(self, model: Model):
-        self.model, self.known, self.scores = model, {}, np.zeros((4096, len(model.langs)))
+        self.model = model
+        self.known, self.scores = self.before = {}, np.zeros((0, len(model.langs)))
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(words)
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.before, self.known, self.scores = (self.known, self.scores), {}, self.scores[:0]
+            new = list(words)
         if not new:
             return
-        start = len(self.known)
-        while len(self.scores) < start + len(new):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[start : start + len(new)] = word_scores(new, self.model.index, self.model.table)
-        self.known.update(zip(new, range(start, start + len(new))))
+        start, end = len(self.known), len(self.known) + len(new)
+        if len(self.scores) < end:
+            rows = np.zeros((max(end, min(2 * end, REMEMBERED // 2)), len(self.model.langs)))
+            rows[:start] = self.scores[:start]
+            self.scores = rows
+        at = np.fromiter((self.before[0].get(w, -1) for w in new), np.int64, len(new))
+        rows = self.scores[start:end]
+        rows[at >= 0] = self.before[1][at[at >= 0]]
+        rows[at < 0] = word_scores([w for w, k in zip(new, at.tolist()) if k < 0], self.model.index, self.model.table)
+        self.known.update(zip(new, range(start, end)))
 
     def total(self, words: list[str]) -> np.ndarray:
         return self.scores[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(axis=0)

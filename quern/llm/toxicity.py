@@ -42,7 +42,7 @@ WIDTH, STRIDE = 48, 32
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 BUCKETS = 1 << 13
 VOCABULARY = 20_000
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 RUN = 64
 _PUNCTUATION = string.punctuation.encode()
@@ -285,25 +285,32 @@ def train(docs: DataFrame, labels: DataFrame, learn, per_class: int = 300, max_c
 
 
 class Scorer:
-    """Scores texts; it remembers the gates of the words it has met, up to REMEMBERED of them."""
+    """Scores texts; it remembers the gates of words it has met, in two generations of half REMEMBERED words each.
+
+    When one is full, it replaces the one before it.  Words met again come along, so frequent words are computed once.
+    """
 
     def __init__(self, net: Network | None):
-        self.net, self.known = net, {}
-        self.gates = np.zeros((2, 4096, 3 * HIDDEN), np.float32)  # the last row is padding's
+        self.net = net
+        self.known, self.gates = self.before = {}, np.zeros((2, 1, 3 * HIDDEN), np.float32)  # the last row is padding's
 
     def learn(self, some: list[list[bytes]]) -> None:
         new = list({w for ws in some for w in ws if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.before, self.known, self.gates = (self.known, self.gates), {}, self.gates[:, :1]
             new = list({w for ws in some for w in ws})
         start, end = len(self.known), len(self.known) + len(new)
-        while self.gates.shape[1] <= end:
-            self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)], axis=1)
-        self.gates[:, -1] = 0
-        self.gates[:, -1, :HIDDEN] = 30
-        if new:
-            self.gates[:, start:end] = self.net.gates(self.net.inputs(self.net.features(new)))[:, :-1]
-            self.known.update(zip(new, range(start, end)))
+        if self.gates.shape[1] <= end:
+            rows = np.zeros((2, max(end, min(2 * end, REMEMBERED // 2)) + 1, 3 * HIDDEN), np.float32)
+            rows[:, :start] = self.gates[:, :start]
+            rows[:, -1, :HIDDEN] = 30
+            self.gates = rows
+        at = np.fromiter((self.before[0].get(w, -1) for w in new), np.int64, len(new))
+        rows = self.gates[:, start:end]
+        rows[:, at >= 0] = self.before[1][:, at[at >= 0]]
+        if unseen := [w for w, k in zip(new, at.tolist()) if k < 0]:
+            rows[:, at < 0] = self.net.gates(self.net.inputs(self.net.features(unseen)))[:, :-1]
+        self.known.update(zip(new, range(start, end)))
 
     def scores(self, bodies: list[bytes]) -> np.ndarray:
         result = np.zeros(len(bodies))
