@@ -6,6 +6,7 @@ import atexit
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Texts that keep_rows judges at a time.
 AT_ONCE = 1024
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,15 +59,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, folder: str) -> DataFrame:
     """df, written to the folder and read from there; its shuffles' files go as soon as it is written, since nothing reads them again."""
-    spark, cleanup = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, None)
-    spark.conf.set(cleanup, "true")
-    try:
+    spark = df.sparkSession
+    with settings(spark, {CLEANUP: "true"}):
         df.write.parquet(folder)
-    finally:
-        spark.conf.unset(cleanup) if before is None else spark.conf.set(cleanup, before)
     return spark.read.parquet(folder)
 
 

@@ -7,8 +7,10 @@ the XXH64 of their bytes.
 Counting: each task reduces its words and word pairs to sorted (key, count)
 arrays, cut by leading bits of the key into shards; the shards, whose number
 follows the size of the text, are shuffled and merged.  A pair's key is 34 bits
-of its first and 30 of its second token's hash, so a shard holds all pairs of a
-context.  Every count is kept, those of one included.
+of its first and 30 of its second token's hash, with SPREAD leading bits of the
+second added to those of the first, so that the pairs of a common word don't
+meet in one shard; contexts are summed over those shards.  Every count is kept,
+those of one included.
 
 Filter: counts are quantised to levels, each its own whole number at first and
 then wider by a factor.  A count enters its level and all below, each with its
@@ -19,7 +21,7 @@ stored).  A shard's part of a filter has BITS bits an entry, so filters grow wit
 the corpus and their error rate doesn't rise.  Filters of up to ``max_mb`` in all
 are broadcast.  Larger ones stay dealt out in groups of shards: the texts are
 packed into blocks, a block's distinct keys are shuffled to their groups, and
-their levels back to the block.  Both ways give the same scores.
+their levels, once written, back to the block.  Both ways give the same scores.
 
 Model (absolute discounting by D, interpolated):
 
@@ -53,21 +55,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, held_out, mix, partitions, shared_dir, table, texts, words
+from .common import CLEANUP, checkpointed, held_out, mix, partitions, remove, settings, shared_dir, table, texts, words, written
 
 END = np.uint64(0xE05D_E05D_E05D_E05D)
 D = 0.75
 HEAD = 300_000
-BITS, PROBES = 10, 7
+BITS, PROBES, LEAST = 10, 7, 1 << 13
 BASES = {1: 1.4, 2: 1.5, 3: 1.1}  # words, pairs, contexts: the factor between levels
 SHARD = 64 << 20  # bytes of text for each shard of the counts
 LOW = np.uint64(30)
+SPREAD = 5  # bits: a context's pairs lie in up to 2^SPREAD shards
+#: While it runs: a task holds a batch of rows several times, in the JVM and in its worker, and the tasks of an executor share little beside the heap.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), CLEANUP: "true"}
 FLUSH, MERGE = 3_000_000, 1_000_000  # tokens and keys held before they are reduced
 REMEMBERED = 200_000
 TOGETHER, HIGH = 1 << 16, 3  # keys probed together, so that they stay in the processor's cache; the least level that is remembered
 BLOCK, GROUP = 4 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
 TOLD_DDL = "doc_id long, held_out boolean, n_tokens long, n_head long, logs double, score double, others array<long>"
+FILTERS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("bits", pa.binary())])
+FILTERS_DDL = "kind int, shard int, size long, bits binary"
+SHARDS = pa.schema([*FILTERS, *((x, pa.int64()) for x in ("n", "distinct", "once", "twice")), ("mass", pa.float64()), ("above", pa.list_(pa.int64())), ("keys", pa.binary()), ("counts", pa.binary())])
+SHARDS_DDL = FILTERS_DDL + ", n long, distinct long, once long, twice long, mass double, above array<long>, keys binary, counts binary"
 BLOBS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -91,7 +100,22 @@ class Hashes:
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (first >> LOW << LOW) | (second >> np.uint64(34))
+    """The leading bits of the second token's hash change those of the first's, so that the pairs of a common word are spread over shards."""
+    return ((first ^ (second >> np.uint64(64 - SPREAD) << np.uint64(64 - SPREAD))) >> LOW << LOW) | (second >> np.uint64(34))
+
+
+def contexts_of(pairs: np.ndarray) -> np.ndarray:
+    """The keys of the first tokens: 34 bits of their hashes."""
+    return (pairs ^ (pairs >> LOW - np.uint64(SPREAD) << np.uint64(64 - SPREAD))) >> LOW << LOW
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, all leading bytes first and then all second ones, which compresses better."""
+    return np.diff(keys, prepend=np.uint64(0)).byteswap().view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T).view(np.uint64).ravel().byteswap(), dtype=np.uint64)
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,69 +129,117 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[starts], np.add.reduceat(c, starts)
 
 
+def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values start and end."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(values))[: len(starts)]
+
+
+def row(schema: pa.Schema, **values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
+
 def count(docs: DataFrame, shard_bits: int) -> DataFrame:
-    """docs: (text).  One row for each kind (1 words, 2 pairs) and shard that has any: sorted keys and their counts, packed.
+    """docs: (text).  Rows of SHARDS: for each shard of the words (kind 1) its filter, sums, sorted keys and their counts; for each shard of the pairs (kind 2) its filter.
 
-    Beside the pairs (kind 3) their contexts, with the millionths of c(u) / T(u).
+    Beside a shard of the pairs, by shards of their contexts (kind 3): the contexts, and their c(u) and then their T(u) within it.
+    Counts of pairs aren't kept: they are several times the text's size on disk.
     """
     shift = np.uint64(64 - shard_bits)
 
     def shards(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         own = keys >> shift
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        ends, some = np.append(starts[1:], len(keys)), own[starts].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some), *(pa.array([x[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()) for x in (keys, counts.astype(np.uint32)))], schema=BLOBS)
+        starts, ends = runs_of(own)
+        some, cuts = own[starts].astype(np.int32), list(zip(starts.tolist(), ends.tolist()))
+        counts = counts.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some), pa.array([packed(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary())], schema=BLOBS)
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = Hashes(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = np.concatenate(held)
-            for kind, keys in ((1, t), (2, pair_keys(np.concatenate([[END], t[:-1]]), t))):
-                yield shards(kind, *np.unique(keys, return_counts=True))
+            held.clear()
+            for kind in (1, 2):
+                yield shards(kind, *np.unique(t if kind == 1 else pair_keys(np.concatenate([[END], t[:-1]]), t), return_counts=True))
 
         for text in (t for batch in rows for k in range(0, batch.num_rows, 500) for t in texts(batch.column(0).slice(k, 500))):
             held.append(np.append(hashes.of(words(text)), END))
             size += len(held[-1])
             if size >= FLUSH:
                 yield from flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield from flush()
 
-    def row(kind: int, shard: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.astype(np.uint64).tobytes()], pa.binary())], schema=BLOBS)
-
     def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by kind and shard, so that one shard is held at a time."""
         at, held, size, least = None, [], 0, MERGE
 
         def finish() -> Iterator[pa.RecordBatch]:
             k, c = merged(*zip(*held))
-            if at[0] == 2:
-                context = k >> LOW
-                starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-                ratio = np.add.reduceat(c, starts) / np.diff(np.append(starts, len(k)))
-                yield row(3, at[1], context[starts] << LOW, np.round(ratio * 1e6))
-            yield row(*at, k, c)
+            held.clear()
+            own = {"kind": at[0], "shard": at[1]} | dict(zip(("size", "bits"), LogBloom.build(at[0], k, c.astype(np.float64))))
+            if at[0] == 1:
+                mass = float(value_of(1, levels(1, c.astype(np.float64))).sum())
+                above = [int((c >= 1 << j).sum()) for j in range(48)]
+                yield row(SHARDS, **own, n=int(c.sum()), distinct=len(k), once=int((c == 1).sum()), twice=int((c == 2).sum()), mass=mass, above=above, keys=packed(k), counts=c.tobytes())
+                return
+            yield row(SHARDS, **own)
+            k = contexts_of(k)
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            starts, ends = runs_of(k)
+            k, c, t = k[starts], np.add.reduceat(c, starts), (ends - starts).astype(np.uint64)
+            for a, b in zip(*(x.tolist() for x in runs_of(k >> shift))):
+                yield row(SHARDS, kind=3, shard=int(k[a] >> shift), keys=packed(k[a:b]), counts=c[a:b].tobytes() + t[a:b].tobytes())
 
         for batch in rows:
             for kind, shard, k, c in zip(*(batch.column(n) for n in range(4))):
                 if (kind.as_py(), shard.as_py()) != at:
                     if at:
                         yield from finish()
-                    at, held, size, least = (kind.as_py(), shard.as_py()), [], 0, MERGE
-                held.append((np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64)))
+                    at, size, least = (kind.as_py(), shard.as_py()), 0, MERGE
+                held.append((unpacked(k), np.frombuffer(c.as_buffer(), np.uint32).astype(np.uint64)))
                 size += len(held[-1][0])
                 if size >= least:
-                    held = [merged(*zip(*held))]
+                    held[:] = [merged(*zip(*held))]
                     size = len(held[0][0])
-                    least = size + MERGE
+                    least = size + max(size, MERGE)
         if at:
             yield from finish()
 
     names = "kind int, shard int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(gather, names).repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge, names)
+    return docs.select("text").mapInArrow(gather, names).repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(merge, SHARDS_DDL)
+
+
+def contexts(counts: DataFrame) -> DataFrame:
+    """counts: rows of SHARDS.  The filter of each shard of the contexts, by the millionths of c(u) / T(u)."""
+
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def finish() -> pa.RecordBatch:
+            k = np.concatenate([x for x, _ in held])
+            order = np.argsort(k, kind="stable")
+            k, sums = k[order], np.concatenate([x for _, x in held], axis=1)[:, order]
+            held.clear()
+            starts, _ = runs_of(k)
+            c, t = np.add.reduceat(sums, starts, axis=1)
+            size, bits = LogBloom.build(3, k[starts], np.round(c / t * 1e6))
+            return row(FILTERS, kind=3, shard=at, size=size, bits=bits)
+
+        for batch in rows:
+            for shard, k, c in zip(*(batch.column(n) for n in range(3))):
+                if shard.as_py() != at:
+                    if held:
+                        yield finish()
+                    at = shard.as_py()
+                held.append((unpacked(k), np.frombuffer(c.as_buffer(), np.uint64).reshape(2, -1)))
+        if held:
+            yield finish()
+
+    return counts.where("kind = 3").select("shard", "keys", "counts").repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, FILTERS_DDL)
 
 
 @cache
@@ -218,7 +290,7 @@ class LogBloom:
     @staticmethod
     def build(kind: int, keys: np.ndarray, values: np.ndarray) -> tuple[int, bytes]:
         level = levels(kind, values)
-        m = max(64, BITS * int(level.sum()))
+        m = max(LEAST, BITS * int(level.sum()))
         bits = np.zeros(-(-m // 8) * 8, bool)
         for n in range(1, int(level.max(initial=0)) + 1):
             h = mix(keys[level >= n], np.uint64(n))
@@ -320,43 +392,37 @@ def train(docs: DataFrame, max_mb: int = 160) -> tuple[Model, DataFrame, DataFra
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     shard_bits = (max(15, 2 * partitions(spark) - 1, size // SHARD)).bit_length()
-    counts = checkpointed(count(docs, shard_bits))
-    sums = ("size", "n", "distinct", "once", "twice", "mass")
-    schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("bits", pa.binary()), *((x, pa.float64() if x == "mass" else pa.int64()) for x in sums), ("above", pa.list_(pa.int64()))])
-
-    def build(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for kind, shard, k, c in zip(*(batch.column(x) for x in range(4))):
-                kind, keys, values = kind.as_py(), np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint64).astype(np.float64)
-                size, bits = LogBloom.build(kind, keys, values)
-                mass = float(value_of(kind, levels(kind, values)).sum()) if kind == 1 else 0.0
-                above = [int((values >= 1 << j).sum()) if kind == 1 else 0 for j in range(48)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((kind, shard.as_py(), bits, size, int(values.sum()), len(keys), int((values == 1).sum()), int((values == 2).sum()), mass, above), schema)], schema=schema)
-
-    built = checkpointed(counts.mapInArrow(build, "kind int, shard int, bits binary, size long, n long, distinct long, once long, twice long, mass double, above array<long>"))
-    rows = {r["kind"]: r for r in built.groupBy("kind").agg(*(F.sum(x).alias(x) for x in sums), F.array(*(F.sum(F.get("above", F.lit(j))) for j in range(48))).alias("above")).collect()}
+    folder = shared_dir(spark, "lm")
+    counts = written(count(docs, shard_bits), folder)
+    own = counts.where("kind = 1")
+    sums = ("n", "distinct", "once", "twice", "mass")
+    totals = own.agg(*(F.sum(x).alias(x) for x in sums), F.array(*(F.sum(F.get("above", F.lit(j))) for j in range(48))).alias("above")).first().asDict()
+    if totals["n"] is None:
+        totals = {"n": 0, "distinct": 0, "once": 0, "twice": 0, "mass": 0.0, "above": [0] * 48}
+    built = checkpointed(counts.where("kind < 3").select(*FILTERS.names).union(contexts(counts)))
+    counted = checkpointed(own.select("keys", "counts"))
+    remove(spark, folder)
     filters = {}
-    if sum(r["size"] for r in rows.values()) <= max_mb << 23:  # the bound of what is broadcast
+    if (built.agg(F.sum("size").alias("bits")).first()["bits"] or 0) <= max_mb << 23:  # the bound of what is broadcast
         for kind in (1, 2, 3):  # kind by kind and part by part, so that the driver holds them about once
             own = built.where(F.col("kind") == kind).select("shard", "size", "bits").toLocalIterator()
             filters[kind] = LogBloom(kind, shard_bits, {r["shard"]: (r["size"], bytes(r["bits"])) for r in own})
-    totals = rows[1].asDict() if 1 in rows else {"n": 0, "distinct": 0, "once": 0, "twice": 0, "mass": 0.0, "above": [0] * 48}
     least = 1 << int(np.flatnonzero(np.array(totals["above"]) <= HEAD)[0])
 
     def unpack(common: bool):
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for k, c in zip(batch.column(0), batch.column(1)):
-                    keys, values = np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
+                    keys, values = unpacked(k).view(np.int64), np.frombuffer(c.as_buffer(), np.int64)
                     take = (values >= least) == common
                     yield pa.RecordBatch.from_arrays([pa.array(keys[take]), pa.array(values[take])], names=["key", "c"])
 
-        return counts.where("kind = 1").select("keys", "counts").mapInArrow(run, "key long, c long")
+        return counted.mapInArrow(run, "key long, c long")
 
     head = unpack(True).toArrow()  # at most HEAD rows
     keys, exact = head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy().astype(float)
     order = np.argsort(keys)
-    return Model(filters, shard_bits, totals, (keys[order], exact[order])), built.select("kind", "shard", "size", "bits"), unpack(False), least
+    return Model(filters, shard_bits, totals, (keys[order], exact[order])), built, unpack(False), least
 
 
 def runs(column: pa.Array) -> Iterator[tuple[int, int]]:
@@ -381,8 +447,11 @@ def told_batch(ids: pa.Array, held: pa.Array, sizes: list[int], t: np.ndarray, v
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), held, *(pa.array([o[x] for o in out], TOLD[x + 2].type) for x in range(5))], schema=TOLD)
 
 
-def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
-    """docs: (doc_id, held_out, text).  The rows of told_batch by shuffling each block's distinct keys to the filters' groups."""
+def dealt(docs: DataFrame, model: Model, filters: DataFrame, folder: str) -> DataFrame:
+    """docs: (doc_id, held_out, text).  The rows of told_batch by shuffling each block's distinct keys to the filters' groups.
+
+    They read the folder, where the blocks are and their levels, which are written first so that the keys' shuffle is gone when texts are.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most HEAD words
     bounds = filters.groupBy("kind").agg(F.sum(F.length("bits")).alias("bytes")).collect()
@@ -406,9 +475,8 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
         if size:
             yield row()
 
-    folder = shared_dir(spark, "lm")
-    docs.select("doc_id", "held_out", "text").mapInArrow(pack, "ids array<long>, held array<boolean>, bodies array<binary>").withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
-    blocks = spark.read.parquet(folder)
+    docs.select("doc_id", "held_out", "text").mapInArrow(pack, "ids array<long>, held array<boolean>, bodies array<binary>").withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
 
     def tokens(bodies: list[bytes], hashes: Hashes) -> tuple[np.ndarray, list[int], np.ndarray, dict[int, np.ndarray]]:
         """Token keys, tokens of each text, the place of each token's key among the distinct ones, and the keys of each kind, of distinct tokens but for the pairs."""
@@ -428,7 +496,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
                     own = keys >> np.uint64(64 - group_bits) if group_bits else np.zeros(len(keys), np.uint64)
                     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                     n, cuts = len(starts), zip(starts.tolist(), np.append(starts[1:], len(keys)).tolist())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, own[starts].tolist(), [block] * n, [0] * n, [0] * n, [keys[a:b].tobytes() for a, b in cuts]), probes)], schema=probes)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([kind] * n, own[starts].tolist(), [block] * n, [0] * n, [0] * n, [packed(keys[a:b]) for a, b in cuts]), probes)], schema=probes)
 
     def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by kind and group, the filter's first; several blocks' keys are probed together."""
@@ -450,7 +518,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
                     parts[shard.as_py()] = bits.as_py(), data.as_py()
                     continue
                 bloom = bloom or Remembered(LogBloom(at[0], shard_bits, parts))
-                asked.append((block.as_py(), np.frombuffer(data.as_py(), np.uint64)))
+                asked.append((block.as_py(), unpacked(data)))
                 size += len(asked[-1][1])
                 if size >= MERGE:
                     yield told()
@@ -482,6 +550,7 @@ def dealt(docs: DataFrame, model: Model, filters: DataFrame) -> DataFrame:
     asked = blocks.select("block", "bodies").mapInArrow(ask, "kind int, group int, block long, shard int, size long, data binary")
     own = filters.select("kind", F.shiftright("shard", shard_bits - group_bits).alias("group"), F.lit(-1).cast("long").alias("block"), "shard", "size", F.col("bits").alias("data"))
     levels = own.union(asked).repartition("kind", "group").sortWithinPartitions("kind", "group", "block").mapInArrow(answer, "block long, kind int, group int, data binary")
+    levels = written(levels, f"{folder}/levels")
     both = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("group"), F.lit(None).cast("binary").alias("data"), "ids", "held", "bodies").unionByName(levels, allowMissingColumns=True)
     return both.repartition("block").sortWithinPartitions("block", "kind", "group").mapInArrow(tell, TOLD_DDL)
 
@@ -516,8 +585,12 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
                 logs = model.log10(t, v, end, pairs)
                 yield told_batch(batch.column(0).slice(start, upto - start), batch.column(1).slice(start, upto - start), [len(ws) + 1 for ws in some], t, v, logs)
 
-    told = docs.select("doc_id", "held_out", "text").mapInArrow(run, TOLD_DDL) if model.filters else dealt(docs, model, filters)
-    told = checkpointed(told.withColumn("row", F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "lm")
+    with settings(spark, LEAN):
+        told = docs.select("doc_id", "held_out", "text").mapInArrow(run, TOLD_DDL) if model.filters else dealt(docs, model, filters, folder)
+        told = checkpointed(told.withColumn("row", F.monotonically_increasing_id()))
+    remove(spark, folder)
     shared.unpersist()  # the executors' copies; the rows are written
     found = told.select("row", F.explode("others").alias("key")).join(rest, "key").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("logs_rest"))
     whole = F.log10(F.lit(float(model.n + model.distinct + 1)))
@@ -530,7 +603,8 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
 def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = 160) -> DataFrame:
     """Learn from the documents whose crc32 remainder differs, and score all of them."""
     out = held_out("doc_id", modulus, remainder)
-    model, filters, rest, _ = train(docs.where(~out).select("text"), max_mb)
+    with settings(docs.sparkSession, LEAN):
+        model, filters, rest, _ = train(docs.where(~out).select("text"), max_mb)
     return score(docs.select("doc_id", out.alias("held_out"), "text"), model, filters, rest)
 
 

@@ -1,8 +1,10 @@
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import functions as F
@@ -117,3 +119,33 @@ def test_executors_let_the_filters_go(spark, docs, monkeypatch):
     monkeypatch.setattr(Broadcast, "unpersist", lambda self, blocking=False: freed.append(isinstance(self.value, lm.Model)) or unpersist(self, blocking))
     rows = [(i, f"some words and {i}", "en") for i in range(30)]
     assert lm.score_all(docs(rows)).count() == 30 and freed == [True]
+
+
+def test_pairs_of_a_common_word_are_spread_over_shards():
+    r = random.Random(8)
+    first, second = np.array([r.randrange(1 << 64)] * 20_000, np.uint64), np.array([r.randrange(1 << 64) for _ in range(20_000)], np.uint64)
+    keys = np.sort(lm.pair_keys(first, second))
+    assert np.bincount((keys >> np.uint64(60)).astype(int), minlength=16).max() < 2000
+    assert (lm.contexts_of(keys) == first >> lm.LOW << lm.LOW).all() and len(np.unique(keys)) == len(np.unique(second >> np.uint64(34)))
+
+
+def test_packed_keys_come_back():
+    r = random.Random(2)
+    for n in (0, 1, 7, 3000):
+        keys = np.sort(np.array([r.randrange(1 << 64) for _ in range(n)], np.uint64))
+        assert (lm.unpacked(pa.scalar(lm.packed(keys), pa.binary())) == keys).all()
+    near = (np.uint64(1) << np.uint64(63)) + np.arange(100_000, dtype=np.uint64) * np.uint64(900)
+    assert len(zlib.compress(lm.packed(near))) < len(zlib.compress(near.tobytes())) / 4
+
+
+def test_batches_are_small_and_tables_go(spark, docs, monkeypatch):
+    """Arrow batches of a few MB in every task, the session's own setting afterwards, and no folder left once texts are scored."""
+    setting, seen, folders = "spark.sql.execution.arrow.maxBytesPerBatch", [], []
+    before, count, new = spark.conf.get(setting), lm.count, lm.shared_dir
+    monkeypatch.setattr(lm, "count", lambda *a: seen.append(spark.conf.get(setting)) or count(*a))
+    monkeypatch.setattr(lm, "shared_dir", lambda *a: folders.append(new(*a)) or folders[-1])
+    rows = [(i, f"some words and {i}", "en") for i in range(30)]
+    for mb in (0, 160):
+        assert lm.score_all(docs(rows), max_mb=mb).count() == 30
+    assert spark.conf.get(setting) == before and len(seen) == 2 and all(int(x) <= 8 << 20 for x in seen)
+    assert folders and not any(Path(f).exists() for f in folders)
