@@ -69,6 +69,7 @@ SPREAD = 5  # bits: a context's pairs lie in up to 2^SPREAD shards
 LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), CLEANUP: "true"}
 FLUSH, MERGE = 3_000_000, 1_000_000  # tokens and keys held before they are reduced
 REMEMBERED = 200_000
+MAX_MB = 112  # filters that are broadcast: each worker holds them whole, two in an executor
 TOGETHER, HIGH = 1 << 16, 3  # keys probed together, so that they stay in the processor's cache; the least level that is remembered
 BLOCK, GROUP = 4 << 20, 8 << 20  # bytes: texts scored together, filters in a group
 TOLD = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("logs", pa.float64()), ("score", pa.float64()), ("others", pa.list_(pa.int64()))])
@@ -387,7 +388,7 @@ class Model:
         return np.log10(np.clip(p, 1e-300, 1))
 
 
-def train(docs: DataFrame, max_mb: int = 160) -> tuple[Model, DataFrame, DataFrame, int]:
+def train(docs: DataFrame, max_mb: int = MAX_MB) -> tuple[Model, DataFrame, DataFrame, int]:
     """docs: (text).  The model, its filters' table (kind, shard, size, bits), the table (key, c) of the words outside its head, and the head's least count."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
@@ -600,7 +601,7 @@ def score(docs: DataFrame, model: Model, filters: DataFrame, rest: DataFrame) ->
     )
 
 
-def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = 160) -> DataFrame:
+def score_all(docs: DataFrame, modulus: int = 7, remainder: int = 2, max_mb: int = MAX_MB) -> DataFrame:
     """Learn from the documents whose crc32 remainder differs, and score all of them."""
     out = held_out("doc_id", modulus, remainder)
     with settings(docs.sparkSession, LEAN):
